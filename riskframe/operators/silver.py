@@ -84,16 +84,20 @@ def column_medians(df: DataFrame, columns=MEDIAN_COLUMNS) -> DataFrame:
     ).select("feature", F.get("quantiles", F.lit(0)).alias("median"))
 
 
+def median_values(df: DataFrame, columns=MEDIAN_COLUMNS) -> dict[str, float]:
+    """The fitted medians, one number per column."""
+    return {r["feature"]: r["median"] for r in column_medians(df, columns).collect()}
+
+
 def fill_medians(df: DataFrame, columns=MEDIAN_COLUMNS, fit_on: DataFrame | None = None) -> DataFrame:
     """Replace NULL by the column median of ``fit_on`` (default: the frame itself).
 
-    One map of len(columns) medians is handed to all rows as a scalar.
+    The medians are fitted here, once, and become constants of the plan; a
+    column without any value stays as it is.
     """
-    medians = column_medians(df if fit_on is None else fit_on, columns)
-    table = medians.agg(F.expr("map_from_entries(collect_list(struct(feature, median)))")).scalar()
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.try_element_at(table, F.lit(c))) for c in columns}
-    )
+    medians = median_values(df if fit_on is None else fit_on, columns)
+    wide = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    return wide.na.fill({c: m for c, m in medians.items() if m is not None})
 
 
 def in_range(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from riskframe.operators.history import row_positions
 from riskframe.operators.joins import augmented_rows
 from riskframe.operators.order import exact_quantiles, running_sums
 from riskframe.operators.ranking import ranking_metrics
+from riskframe.operators.silver import median_values
 from riskframe.operators.trees import Ensemble, load_ensemble, raw_score_expression, with_probability
 from riskframe.session import scratch_path
 
@@ -209,14 +210,11 @@ REJECT_SAMPLE = 500_000
 
 def align_rejected(rejected: DataFrame, train: DataFrame, features: list[str], key: str) -> DataFrame:
     """Rejected rows in the feature space: shared columns kept, the rest training medians."""
-    from riskframe.operators.silver import column_medians
-
-    medians = column_medians(train, features)
-    table = medians.agg(F.expr("map_from_entries(collect_list(struct(feature, median)))")).scalar()
+    medians = median_values(train, features)
     shared = set(rejected.columns)
 
     def value(f: str) -> Column:
-        fill = F.try_element_at(table, F.lit(f))
+        fill = F.lit(medians.get(f)).cast("double")
         return F.coalesce(clean(F.col(f)), fill) if f in shared else fill
 
     return rejected.select(key, *[value(f).alias(f) for f in features])

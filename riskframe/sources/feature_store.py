@@ -95,7 +95,7 @@ def feature_metadata(split_rows: DataFrame, categories: DataFrame, features: lis
     encodings = (
         categories.groupBy("column")
         .agg(F.expr("map_from_entries(array_sort(collect_list(struct(category, code))))").alias("codes"))
-        .agg(F.expr("map_from_entries(array_sort(collect_list(struct(column, codes))))").alias("e"))
+        .agg(F.expr("map_from_entries(collect_list(struct(column, codes)))").alias("e"))
         .scalar()
     )
     return splits.select(
