@@ -19,12 +19,15 @@ SCORE_BOUNDS = [i * 0.05 for i in range(20)]
 LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
-def event_stream(spark: SparkSession, path: str, ts: str = "ts", per_trigger: int | None = None) -> DataFrame:
-    """A stream over Parquet files whose event time may be stored without a zone."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def event_stream(
+    spark: SparkSession, folder: str, files: str = "*.parquet", ts: str = "ts", per_trigger: int | None = None
+) -> DataFrame:
+    """A stream over the Parquet files of a folder whose event time may be stored without a zone."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
+    return reader.parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def _window(ts: str, window: str, slide: str | None):
