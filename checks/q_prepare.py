@@ -29,7 +29,7 @@ SELECT id, issue_d, {r('loan_amnt')} AS loan_amnt, term, int_rate, emp_length, {
   '2024-02-15T00:00:00' AS ingested_at, true AS has_source FROM loans_raw"""))
 def read_raw_csv(spark, d):
     path = scratch_path(spark, "raw-csv")
-    V.loans_raw(spark, d).select(*RAW_COLUMNS).write.option("header", True).option("compression", "gzip").option(
+    V.loans_view(spark, d).select(*RAW_COLUMNS).write.option("header", True).option("compression", "gzip").option(
         "ignoreLeadingWhiteSpace", False).option("quote", '"').option("escape", '"').csv(path)
     raw = layers.read_raw_csv(spark, path, RAW_COLUMNS, datetime(2024, 2, 15), partitions=8)
     return rounded(raw.select(

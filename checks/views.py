@@ -70,7 +70,8 @@ def _employment(k: Column) -> Column:
     )
 
 
-def loans_raw(spark: SparkSession, d: str) -> DataFrame:
+def loans_view(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted loans as raw text and numbers, one per order."""
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
     date = F.to_date("o_orderdate")
@@ -123,7 +124,8 @@ def loans_raw(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def rejected_raw(spark: SparkSession, d: str) -> DataFrame:
+def rejected_view(spark: SparkSession, d: str) -> DataFrame:
+    """Rejected applications, one per order that is still pending."""
     k = F.col("o_orderkey")
     return (
         table(spark, d, "orders").where("o_orderstatus = 'P'")
@@ -158,6 +160,21 @@ def layer(spark, d: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_LAYERS[key])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Ingested rows over the shuffle width, as after an unsplittable raw file."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
+def loans_raw(spark, d) -> DataFrame:
+    """The bronze layer of accepted loans."""
+    return layer(spark, d, "bronze-accepted", lambda spark, d: _spread(loans_view(spark, d)))
+
+
+def rejected_raw(spark, d) -> DataFrame:
+    """The bronze layer of rejected applications."""
+    return layer(spark, d, "bronze-rejected", lambda spark, d: _spread(rejected_view(spark, d)))
+
+
 def cleaned(spark, d) -> DataFrame:
     return cleaned_loans(loans_raw(spark, d))
 
