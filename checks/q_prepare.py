@@ -357,14 +357,14 @@ def gated_write(spark, d):
     rows = V.silver(spark, d)
     refused = scratch_path(spark, "refused")
     try:
-        layers.write_once(D.run_gate(V.cleaned(spark, d), D.silver_checks, "silver", strict=True), refused)
+        layers.write_checked(V.cleaned(spark, d), refused, D.silver_checks, "silver", strict=True)
         raise AssertionError("a strict gate let a bad layer through")
     except D.QualityError:
         if layers.is_complete(spark, refused):
             raise AssertionError("a refused layer was written")
     path = scratch_path(spark, "gated")
-    layers.write_once(D.run_gate(rows, D.silver_checks, "silver", strict=True).select("id", "default"), path)
-    return spark.read.parquet(path)
+    layers.write_checked(rows, path, D.silver_checks, "silver", strict=True)
+    return spark.read.parquet(path).select("id", "default")
 
 
 @query("d7_value_report", Q.build(["gold_wide", "loans_raw"], " UNION ALL ".join(

@@ -52,9 +52,10 @@ def group_metrics(
         F.round(F.avg("score"), 4).alias("mean_score"),
         F.coalesce(F.avg(F.when(F.col("label") == 0, approved)), F.lit(0.0)).alias("approve_rate_good"),
     )
-    auc = ranking_metrics(rows, "label", "score", ["attribute", "code"], group_limit=limit).select(
-        "attribute", "code", F.round("auc", 4).alias("auc")
-    )
+    auc = ranking_metrics(
+        rows, "label", "score", ["attribute", "code"], group_limit=limit,
+        bounds_from=df.select(F.col(score).alias("score")),
+    ).select("attribute", "code", F.round("auc", 4).alias("auc"))
     return plain.where(F.col("count") >= contract.min_group_rows).join(
         F.broadcast(auc), ["attribute", "code"], "left"  # one row per group
     )

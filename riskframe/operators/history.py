@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskframe.operators.order import running_sums
+from riskframe.operators.order import hash_range, running_sums
 
 
 def recent_scores(log: DataFrame, version: str, n: int, tie: str = "request_id") -> DataFrame:
@@ -98,5 +98,5 @@ def row_positions(df: DataFrame, key: str, seed: int, groups: list[str] = (), gr
     """Add a 0-based random-order ``position`` and the group ``size``; the key is unique."""
     groups = list(groups)
     marked = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__one", F.lit(1).cast("bigint"))
-    placed = running_sums(marked, "__h", ["__one"], groups, group_limit)
+    placed = running_sums(marked, "__h", ["__one"], groups, group_limit, index=hash_range(df, "__h"))
     return placed.withColumnsRenamed({"__one_before": "position", "__one_total": "size"}).drop("__h", "__one")

@@ -11,54 +11,58 @@ totals hold one row per range and group.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskframe.functions.literals import sql_double, sql_doubles
+
 RANGE = "__range"
 
 
-def _side(df: DataFrame, n_ranges: int | None) -> int:
+def range_count(df: DataFrame, n_ranges: int | None = None) -> int:
+    """How many ranges to cut: the shuffle width, within 16 and 4096."""
     if n_ranges is None:
         n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(64, max(3, math.ceil(math.sqrt(n_ranges))))
+    return min(4096, max(16, n_ranges))
 
 
 def range_index(df: DataFrame, value: str, n_ranges: int | None = None) -> Column:
     """Index of the value range of a numeric column, monotone in the value.
 
-    side*side ranges (at most 4096) are searched in two steps of ``side``
-    comparisons each.
+    The bounds are read once (at most 4095 numbers) and become constants, so
+    every later evaluation cuts the values alike. Few bounds are compared one
+    by one in generated code, many are searched by halving.
     """
-    side = _side(df, n_ranges)
-    count = side * side
+    count = range_count(df, n_ranges)
     probabilities = [i / count for i in range(1, count)]
     bounds = df.select(
         F.percentile_approx(
             F.col(value).cast("double"), probabilities, max(1000, 20 * count)
         ).alias("b")
     ).first()["b"]
+    bounds = sorted(set(bounds or []))
     if not bounds:
         return F.lit(0)
     v = f"double(`{value}`)"
-    numbers = [f"double('{b!r}')" for b in bounds]
-    if count <= 36:
-        return F.expr(" + ".join(f"int(coalesce({b} <= {v}, false))" for b in numbers))
-    table = f"array({', '.join(numbers)})"
-    coarse = " + ".join(
-        f"int(coalesce({numbers[i * side - 1]} <= {v}, false))" for i in range(1, side)
-    )
-    block = f"({coarse}) * {side}"
-    fine = " + ".join(
-        f"int(coalesce(get({table}, {block} + {j}) <= {v}, false))" for j in range(side - 1)
+    if len(bounds) <= 32:
+        return F.expr(" + ".join(f"int(coalesce({sql_double(b)} <= {v}, false))" for b in bounds))
+    steps = ", ".join(str(1 << i) for i in reversed(range(len(bounds).bit_length())))
+    return F.expr(
+        f"coalesce(aggregate(array({steps}), 0, (p, s) -> "
+        f"if(get({sql_doubles(bounds)}, p + s - 1) <= {v}, p + s, p)), 0)"
     )
-    return F.expr(f"{block} + {fine}")
 
 
-def _ranges(df, value, sums, groups, n_ranges, bounds_from):
+def hash_range(df: DataFrame, hashed: str, n_ranges: int | None = None) -> Column:
+    """Range index of a 64-bit hash, monotone in the hash; hashes are spread evenly."""
+    bits = (range_count(df, n_ranges) - 1).bit_length()
+    return F.shiftright(hashed, 64 - bits).cast("int")
+
+
+def _ranges(df, value, sums, groups, n_ranges, bounds_from, index=None):
     """The frame with its range index, and one row of running totals per range."""
-    source = df if bounds_from is None else bounds_from
-    ranged = df.withColumn(RANGE, range_index(source, value, n_ranges))
+    if index is None:
+        index = range_index(df if bounds_from is None else bounds_from, value, n_ranges)
+    ranged = df.withColumn(RANGE, index)
     totals = ranged.groupBy(*groups, RANGE).agg(*[F.sum(s).alias(f"__in_{s}") for s in sums])
     by = f"partition by {', '.join(f'`{g}`' for g in groups)}" if groups else ""
     below = f"({by} order by {RANGE} rows between unbounded preceding and 1 preceding)"
@@ -99,17 +103,19 @@ def running_sums(
     group_limit: int | None = None,
     n_ranges: int | None = None,
     bounds_from: DataFrame | None = None,
+    index: Column | None = None,
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over lower values) and ``<s>_total`` per group.
 
     ``df`` has one row per (groups, value); values and group keys are not NULL.
     ``bounds_from`` is a cheaper frame with the same values to balance by, as a
-    rule the rows before they were grouped.
+    rule the rows before they were grouped. ``index`` replaces the measured
+    ranges by a known monotone function of the value.
     The totals have one row per range and group: they are broadcast when the
     number of groups is known (``group_limit``) and joined by a shuffle if not.
     """
     groups = list(groups)
-    ranged, starts = _ranges(df, value, sums, groups, n_ranges, bounds_from)
+    ranged, starts = _ranges(df, value, sums, groups, n_ranges, bounds_from, index)
     if not groups or group_limit is not None:
         starts = F.broadcast(starts)
     return _running(ranged, starts, value, sums, groups)
@@ -147,7 +153,7 @@ def exact_quantiles(
     counts = counts.select(*groups, value, "n")
     ranged, starts = _ranges(counts, value, ["n"], groups, n_ranges, bounds_from)
 
-    levels = f"array({', '.join(f'double({q!r})' for q in probabilities)})"
+    levels = sql_doubles(probabilities)
     low = "bigint(floor(q * (n_total - 1)))"
     high = f"least({low} + 1, n_total - 1)"
     ranks = f"array_distinct(flatten(transform({levels}, q -> array({low}, {high}))))"

@@ -16,22 +16,28 @@ def _scored(df, label, score, groups, extra=()):
 
 
 def score_ranks(
-    df: DataFrame, label: str, score: str, groups: list[str] = (), group_limit: int | None = None
+    df: DataFrame, label: str, score: str, groups: list[str] = (), group_limit: int | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per distinct (groups, score) with class counts and running class counts."""
+    """One row per distinct (groups, score) with class counts and running class counts.
+
+    ``bounds_from`` is a cheaper frame with a like ``score`` column to balance by.
+    """
     groups = list(groups)
     scored = _scored(df, label, score, groups)
     counts = scored.groupBy(*groups, "score").agg(
         F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")
     )
-    return running_sums(counts, "score", ["pos", "neg"], groups, group_limit, bounds_from=scored)
+    balance = scored if bounds_from is None else bounds_from.select(clean(F.col(score)).alias("score"))
+    return running_sums(counts, "score", ["pos", "neg"], groups, group_limit, bounds_from=balance)
 
 
 def ranking_metrics(
-    df: DataFrame, label: str, score: str, groups: list[str] = (), group_limit: int | None = None
+    df: DataFrame, label: str, score: str, groups: list[str] = (), group_limit: int | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """auc (ties count half), ks (never below 0) and gini per group; NULL with one class."""
-    ranks = score_ranks(df, label, score, groups, group_limit)
+    ranks = score_ranks(df, label, score, groups, group_limit, bounds_from)
     pos_total, neg_total = F.col("pos_total").cast("double"), F.col("neg_total").cast("double")
     both = (F.col("pos_total") > 0) & (F.col("neg_total") > 0)
     # F.max over one constant value per group keeps this a single aggregation

@@ -164,7 +164,8 @@ def permutation_importance(
         one = paired.select(F.lit(repeat).alias("repeat"), "label", F.inline(F.array(*variants)))
         scored = one if scored is None else scored.unionByName(one)
     auc = ranking_metrics(
-        scored, "label", "raw", ["repeat", "feature"], group_limit=repeats * (len(used) + 1)
+        scored, "label", "raw", ["repeat", "feature"], group_limit=repeats * (len(used) + 1),
+        bounds_from=rows.select(raw_score_expression(ensemble).alias("raw")),
     ).select("repeat", "feature", "auc")
     base = auc.where("feature = ''").select("repeat", F.col("auc").alias("base"))
     found = (

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskframe.contract import DEFAULT, Contract
+from riskframe.functions.literals import sql_double
 from riskframe.functions.tables import REASONS
 
 NODE_SCHEMA = (
@@ -112,19 +113,15 @@ def load_ensemble(nodes: DataFrame, baseline: float = 0.0, max_nodes: int = MAX_
 
 # ---------------------------------------------------------------- scoring
 
-def _number(x: float) -> str:
-    return f"double('{float(x)!r}')"
-
-
 def _goes_left(node: Node) -> str:
-    test = f"`{node.feature}` <= {_number(node.threshold)}"
+    test = f"`{node.feature}` <= {sql_double(node.threshold)}"
     return f"(`{node.feature}` is null or {test})" if node.missing_left else f"coalesce({test}, false)"
 
 
 def _tree_sql(tree: dict[int, Node], at: int = 0) -> str:
     node = tree[at]
     if node.is_leaf:
-        return _number(node.value)
+        return sql_double(node.value)
     return (
         f"case when {_goes_left(node)} then {_tree_sql(tree, node.left)} "
         f"else {_tree_sql(tree, node.right)} end"
@@ -133,7 +130,7 @@ def _tree_sql(tree: dict[int, Node], at: int = 0) -> str:
 
 def raw_score_expression(ensemble: Ensemble) -> Column:
     """Log-odds as generated code: one nested CASE per tree."""
-    terms = [_number(ensemble.baseline)] + [f"({_tree_sql(t)})" for t in ensemble.trees]
+    terms = [sql_double(ensemble.baseline)] + [f"({_tree_sql(t)})" for t in ensemble.trees]
     return F.expr(" + ".join(terms))
 
 
@@ -332,7 +329,7 @@ def attribution_expressions(ensemble: Ensemble) -> dict[str, Column]:
             mask = " + ".join(f"(int({a}) * {1 << k})" for k, a in enumerate(agree))
             table = _attribution_table(leaf)
             for k, feature in enumerate(leaf.features):
-                values = ", ".join(_number(v) for v in table[:, k])
+                values = ", ".join(sql_double(v) for v in table[:, k])
                 terms[feature].append(f"get(array({values}), {mask})")
     return {f: F.expr(" + ".join(t)) for f, t in terms.items() if t}
 
@@ -417,7 +414,7 @@ def global_importance(df: DataFrame, contributions: str = "contributions") -> Da
         .agg(F.avg(F.abs("contribution")).alias("importance"))
     )
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "feature")
-    return mean.withColumn("rank", F.row_number().over(order))  # one row per feature
+    return mean.withColumn("rank", F.rowsql_double().over(order))  # one row per feature
 
 
 # ---------------------------------------------------------------- reasons

@@ -1,19 +1,18 @@
-"""Raw files to gold splits, each layer gated and written once."""
+"""Raw files to gold splits, each layer computed once, checked, and kept once complete."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions.tables import FEATURES
 from riskframe.operators.gold import FEATURE_VERSION, fit_categories, gold_features, home_group, time_split
-from riskframe.operators.quality import (
-    QualityError, bronze_checks, gold_checks, logger, run_gate, silver_checks, too_many_nulls,
-)
+from riskframe.operators.quality import bronze_checks, gold_checks, null_fractions, silver_checks
 from riskframe.operators.silver import silver_loans, silver_rejected
+from riskframe.contract import DEFAULT
 from riskframe.sources.feature_store import feature_metadata
-from riskframe.sources.layers import is_complete, read_raw_csv, write_once
+from riskframe.sources.layers import is_complete, read_raw_csv, write_checked, write_once
 
 
 def bronze(spark: SparkSession, csv: str, columns: list[str], root: str, name: str, now: datetime,
@@ -21,21 +20,24 @@ def bronze(spark: SparkSession, csv: str, columns: list[str], root: str, name: s
     path = f"{root}/bronze/{name}"
     if not is_complete(spark, path):
         raw = read_raw_csv(spark, csv, columns, now, partitions)
-        write_once(run_gate(raw, bronze_checks, f"bronze {name}", strict), path)
+        write_checked(raw, path, bronze_checks, f"bronze {name}", strict)
     return spark.read.parquet(path)
 
 
+def null_checks(df: DataFrame) -> DataFrame:
+    """The null-fraction gate as a suite: one row per column."""
+    return null_fractions(df).select(
+        F.concat(F.col("feature"), F.lit("_mostly_present")).alias("expectation"),
+        (F.col("null_fraction") <= DEFAULT.max_null_fraction).alias("success"),
+        F.col("null_fraction").cast("string").alias("observed"),
+    )
+
+
 def silver(spark: SparkSession, bronze_rows: DataFrame, root: str, strict: bool = False) -> DataFrame:
     path = f"{root}/silver/accepted"
     if not is_complete(spark, path):
-        rows = silver_loans(bronze_rows)
-        sparse = [r["feature"] for r in too_many_nulls(rows).collect()]
-        if sparse:
-            message = f"silver: columns above the null limit: {', '.join(sparse)}"
-            if strict:
-                raise QualityError(message)
-            logger.warning(message)
-        write_once(run_gate(rows, silver_checks, "silver", strict), path)
+        suites = [("silver", None, silver_checks), ("silver nulls", None, null_checks)]
+        write_checked(silver_loans(bronze_rows), path, suites, "silver", strict)
     return spark.read.parquet(path)
 
 
@@ -50,13 +52,12 @@ def gold(spark: SparkSession, silver_rows: DataFrame, root: str, strict: bool =
     path = f"{root}/gold/features"
     if not is_complete(spark, path):
         encodings = f"{root}/gold/encodings"
-        grouped = silver_rows.withColumn("home_ownership", home_group(silver_rows["home_ownership"]))
+        grouped = silver_rows.withColumn("home_ownership", home_group(F.col("home_ownership")))
         write_once(fit_categories(grouped), encodings)
         categories = spark.read.parquet(encodings)
         splits = time_split(gold_features(silver_rows, categories))
-        for name in ("train", "val", "test"):
-            run_gate(splits.where(splits["split"] == name), gold_checks, f"gold {name}", strict)
-        write_once(splits, path, ["split"])
+        suites = [(f"gold {s}", f"split = '{s}'", gold_checks) for s in ("train", "val", "test")]
+        write_checked(splits, path, suites, "gold", strict, ["split"])
         feature_metadata(
             spark.read.parquet(path), categories, list(FEATURES), FEATURE_VERSION
         ).write.mode("overwrite").text(f"{root}/gold/metadata")

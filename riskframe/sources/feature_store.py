@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskframe.functions.binning import linspace
 from riskframe.functions.parsing import applicant_id, clean
 from riskframe.operators.distributions import histogram
+from riskframe.operators.order import small_table
 
 KEY = ["applicant_id", "feature_version"]
 
@@ -62,8 +63,8 @@ def write_upsert(store_path: str, batch: DataFrame, target_path: str) -> None:
     left in ``store_path``.
     """
     store = batch.sparkSession.read.parquet(store_path)
-    touched = batch.select("feature_version").distinct()
-    affected = store.join(F.broadcast(touched), "feature_version", "left_semi")  # versions are few
+    touched = small_table(batch.select("feature_version").distinct(), 10_000)
+    affected = store.join(touched, "feature_version", "left_semi")
     upsert(affected.select(*batch.columns), batch).write.mode("overwrite").partitionBy(
         "feature_version"
     ).parquet(target_path)

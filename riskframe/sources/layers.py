@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from riskframe.operators.quality import QualityError, run_gate
+
 
 def read_raw_csv(
     spark: SparkSession, path: str, columns: list[str], ingested_at: datetime,
@@ -70,6 +72,40 @@ def write_once(df: DataFrame, path: str, partition_by: list[str] = ()) -> bool:
     return True
 
 
+def write_checked(
+    df: DataFrame, path: str, checks, layer: str, strict: bool = False, partition_by: list[str] = ()
+) -> bool:
+    """Write a layer once and mark it complete only after its checks.
+
+    The rows are computed once: the checks read the stored columns. Until then
+    the directory has no success marker, so no reader takes it for a layer; a
+    strict failure removes it. ``checks`` is one suite or a list of (name,
+    filter, suite).
+    """
+    spark = df.sparkSession
+    if is_complete(spark, path):
+        return False
+    writer = (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    )
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    stored = spark.read.parquet(path)
+    suites = checks if isinstance(checks, list) else [(layer, None, checks)]
+    try:
+        for name, condition, suite in suites:
+            run_gate(stored if condition is None else stored.where(condition), suite, name, strict)
+    except QualityError:
+        remove_directory(spark, path)
+        raise
+    fs, marker = _filesystem(spark, f"{path}/_SUCCESS")
+    fs.create(marker).close()
+    return True
+
+
 def remove_directory(spark: SparkSession, path: str) -> bool:
     fs, target = _filesystem(spark, path)
     return fs.delete(target, True)

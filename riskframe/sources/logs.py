@@ -28,21 +28,18 @@ def append_metrics(rows: DataFrame, path: str) -> None:
 def append_decisions(rows: DataFrame, path: str) -> None:
     """Append decision envelopes, one partition per scoring date.
 
-    Rows are gathered by date and hash, so a day becomes a few files and a busy
-    day is not one task.
+    The rebalance step gathers a day into few files and splits a busy day by
+    its measured size.
     """
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.withColumns(
             {
                 "score": F.col("score").cast("decimal(6,5)"),
                 "calibrated_pd": F.col("calibrated_pd").cast("decimal(6,5)"),
                 "scored_date": F.to_date("scored_at"),
-                "__part": F.pmod(F.xxhash64("request_id"), F.lit(8)),
             }
         )
-        .repartition(spread, "scored_date", "__part")
-        .drop("__part")
+        .hint("rebalance", F.col("scored_date"))
         .write.mode("append")
         .partitionBy("scored_date")
         .parquet(path)

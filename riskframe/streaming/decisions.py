@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskframe.functions.literals import sql_double, sql_doubles
+
 
 WINDOW = "5 minutes"
 LATENESS = "10 minutes"
@@ -84,16 +86,16 @@ def bucket_quantile(counts: str, bounds: list[float], q: float):
     The first bucket starts at 0 if its bound is positive; a rank in the +Inf
     bucket gives the largest finite bound.
     """
-    limits = f"array({', '.join(f'double({b!r})' for b in bounds)})"
+    limits = sql_doubles(bounds)
     upto = f"aggregate(slice({counts}, 1, i + 1), 0L, (s, c) -> s + c)"
     before = f"aggregate(slice({counts}, 1, i), 0L, (s, c) -> s + c)"
     total = f"aggregate({counts}, 0L, (s, c) -> s + c)"
-    rank = f"(double('{q!r}') * {total})"
+    rank = f"({sql_double(q)} * {total})"
     found = f"element_at(filter(sequence(0, size({counts}) - 1), i -> {upto} >= {rank}), 1)"
     low = f"case when i = 0 then 0D else get({limits}, i - 1) end"
     at_first = f"(i = 0 and get({limits}, 0) <= 0)"
     value = (
-        f"case when i >= {len(bounds)} then double('{bounds[-1]!r}') "
+        f"case when i >= {len(bounds)} then {sql_double(bounds[-1])} "
         f"when {at_first} then get({limits}, 0) "
         f"else {low} + (get({limits}, i) - {low}) * ({rank} - {before}) / get({counts}, i) end"
     )

@@ -23,6 +23,21 @@ def test_write_once_replaces_only_incomplete_layers(spark):
     assert spark.read.parquet(path).count() == 5
 
 
+def test_checked_layer_is_complete_only_when_it_passes(spark):
+    from riskframe.operators.quality import QualityError, bronze_checks
+
+    rows = spark.range(4).withColumn("ingested_at", F.lit("now"))
+    path = scratch_path(spark, "checked")
+    with pytest.raises(QualityError):
+        layers.write_checked(rows, path, bronze_checks, "bronze", strict=True)
+    assert not layers.is_complete(spark, path)
+    good = rows.withColumn("source_file", F.lit("x"))
+    assert layers.write_checked(good, path, bronze_checks, "bronze", strict=True) and layers.is_complete(spark, path)
+    assert not layers.write_checked(good.limit(0), path, bronze_checks, "bronze")
+    loose = scratch_path(spark, "checked")
+    assert layers.write_checked(rows, loose, bronze_checks, "bronze") and spark.read.parquet(loose).count() == 4
+
+
 def test_raw_csv(spark, tmp_path):
     import gzip
 
