@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
+from riskframe.functions.numeric import round_away
 from checks.registry import query, rounded, stamp
 from riskframe.functions.binning import linspace
 from riskframe.functions.tables import FEATURES
@@ -174,7 +175,7 @@ SELECT a.metric_name, {text('a.measured_at')} AS measured_at, b.metric_name AS f
 FROM drift_log a JOIN drift_log b ON a.measured_at = b.measured_at WHERE a.metric_name = 'error'"""))
 def metric_details(spark, d):
     rows = V.drift_log(spark, d).where("metric_name = 'error'")
-    return H.metric_details(rows).select("metric_name", stamp("measured_at"), "feature", F.round("value", 5).alias("value"))
+    return H.metric_details(rows).select("metric_name", stamp("measured_at"), "feature", round_away("value", 5).alias("value"))
 
 
 @query("t7_distinct_ids", Q.build(["feature_store"], "SELECT DISTINCT applicant_id FROM feature_store ORDER BY applicant_id LIMIT 200"))

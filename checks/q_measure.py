@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
+from riskframe.functions.numeric import round_away
 from checks.registry import query, rounded
 from riskframe.functions.binning import linspace
 from riskframe.functions.tables import PROTECTED_ATTRIBUTES
@@ -75,8 +76,8 @@ SELECT CAST(b AS INTEGER) AS bin, {r('es')} AS expected_share, {r('sa')} AS actu
 def psi_clipped(spark, d):
     counted = S.two_sided_histogram(*sides(spark, d), "p", linspace(0.0, 1.0, 11))
     bins = S.psi_bins(counted, "clip")
-    return bins.select("bin", F.round("expected_share", 6).alias("expected_share"), F.round("actual_share", 6).alias("actual_share"),
-                       F.round("contribution", 8).alias("contribution"))
+    return bins.select("bin", round_away("expected_share", 6).alias("expected_share"), round_away("actual_share", 6).alias("actual_share"),
+                       round_away("contribution", 8).alias("contribution"))
 
 
 SHIFTED = ["annual_inc", "dti", "fico_score", "loan_amnt", "revol_util", "term", "credit_history_months", "high_utilization"]
@@ -199,14 +200,14 @@ CURVE = {"curve": """SELECT s, pos, neg, sum(pos) OVER (ORDER BY s DESC) AS tp,
 SELECT {r('s', 8)} AS threshold, {r('fp / n::DOUBLE')} AS fpr, {r('tp / p::DOUBLE')} AS tpr FROM curve UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0""", CURVE))
 def roc_points(spark, d):
     points = R.roc_points(V.scored_lines(spark, d), "label", "p")
-    return points.select(F.round("threshold", 8).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return points.select(round_away("threshold", 8).alias("threshold"), round_away("fpr", 6).alias("fpr"), round_away("tpr", 6).alias("tpr"))
 
 
 @query("a16_precision_recall_points", Q.build(["scored_lines"], f"""
 SELECT {r('s', 8)} AS threshold, {r('tp / (tp + fp)::DOUBLE')} AS precision, {r('tp / p::DOUBLE')} AS recall FROM curve UNION ALL SELECT NULL, 1, 0""", CURVE))
 def pr_points(spark, d):
     points = R.precision_recall_points(V.scored_lines(spark, d), "label", "p")
-    return points.select(F.round("threshold", 8).alias("threshold"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return points.select(round_away("threshold", 8).alias("threshold"), round_away("precision", 6).alias("precision"), round_away("recall", 6).alias("recall"))
 
 
 # ---------------------------------------------------------------- calibration
@@ -331,14 +332,14 @@ DESCRIBED = ["annual_inc", "dti", "fico_score", "loan_amnt", "revol_util", "cred
 
 
 @query("a29_describe", Q.build(["gold"], f"""
-SELECT s.feature, s.n AS count, {r('s.mean', 4)} AS mean, {r('s.std', 4)} AS std, {r('s.mn', 4)} AS min, {r('p.p25', 4)} AS p25, {r('p.p50', 4)} AS p50,
-  {r('p.p75', 4)} AS p75, {r('s.mx', 4)} AS max
+SELECT s.feature, s.n AS count, {r('s.mean')} AS mean, {r('s.std')} AS std, {r('s.mn')} AS min, {r('p.p25')} AS p25, {r('p.p50')} AS p50,
+  {r('p.p75')} AS p75, {r('s.mx')} AS max
 FROM (SELECT feature, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS mn, max(v) AS mx FROM flat GROUP BY feature) s
 JOIN (SELECT feature, max(x) FILTER (WHERE q = 0.25) AS p25, max(x) FILTER (WHERE q = 0.5) AS p50, max(x) FILTER (WHERE q = 0.75) AS p75
   FROM ({Q.quantiles('flat', 'v', [0.25, 0.5, 0.75], 'feature')}) GROUP BY feature) p USING (feature)""", {
     "flat": " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM gold" for c in DESCRIBED)}))
 def describe(spark, d):
-    return rounded(E.describe(V.gold(spark, d), DESCRIBED), 4)
+    return rounded(E.describe(V.gold(spark, d), DESCRIBED))
 
 
 CORRELATED = ["annual_inc", "dti", "fico_score", "loan_amnt", "installment", "default"]
@@ -373,7 +374,7 @@ FROM kept k JOIN (SELECT feature, label, min(v) AS lo, max(v) AS hi, count(*) AS
     "kept": "SELECT f.* FROM flat f JOIN tops t USING (feature, label) WHERE v <= x"}))
 def densities(spark, d):
     rows = S.class_densities(V.gold(spark, d).where("split = 'train'"), DENSITY, "default")
-    return rows.select("feature", "label", "bin", "count", F.round("density", 9).alias("density"))
+    return rows.select("feature", "label", "bin", "count", round_away("density", 9).alias("density"))
 
 
 @query("a32_both_classes", Q.build(["gold"], 'SELECT grade_numeric, min("default") <> max("default") AS both_classes FROM gold GROUP BY 1'))

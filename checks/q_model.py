@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import sql as Q, views as V
 from checks.q_logs import ADMITTED, LOOKED
 from checks.q_measure import FAIR, decile_parts, fairness_parts
+from riskframe.functions.numeric import round_away
 from checks.registry import query, rounded
 from riskframe.functions.scorecard import calibrated, decision, points
 from riskframe.functions.tables import FEATURES, REASONS
@@ -175,8 +176,8 @@ def adverse_actions(spark, d):
 
 @query("m11_apply_calibrator", Q.build(["scored_lines"], f"SELECT {r('q', 2)} AS q, {r('p', 8)} AS p, {r(Q.apply_calibrator('p'), 10)} AS pd FROM scored_lines"))
 def apply_calibrator(spark, d):
-    rows = V.scored_lines(spark, d).select(F.round("q", 2).alias("q"), "p", calibrated(F.col("p"), *V.CALIBRATOR).alias("pd"))
-    return rows.select("q", F.round("p", 8).alias("p"), F.round("pd", 10).alias("pd"))
+    rows = V.scored_lines(spark, d).select(round_away("q", 2).alias("q"), "p", calibrated(F.col("p"), *V.CALIBRATOR).alias("pd"))
+    return rows.select("q", round_away("p", 8).alias("p"), round_away("pd", 10).alias("pd"))
 
 
 @query("m12_scorecard_points", Q.build(["scored_gold"], f"SELECT id, {Q.points('pd')} AS points FROM scored_gold"))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
+from riskframe.functions.numeric import round_away
 from checks.registry import query, rounded, stamp
 from riskframe.functions import parsing
 from riskframe.functions.tables import BINARY_COLUMNS, FEATURES, HOME_KEPT, MEDIAN_COLUMNS, ORIGINATION_COLUMNS, PROTECTED_ATTRIBUTES
@@ -227,10 +228,10 @@ def id_check(spark, d):
 
 @query("g1_income_ratios", Q.build(["cleaned"], f"""
 SELECT id, {r('ln(1 + annual_inc)')} AS log_annual_inc, {r('coalesce(loan_amnt / nullif(annual_inc, 0), 0)')} AS loan_to_income,
-  {r('coalesce(installment / nullif(annual_inc / 12, 0), 0)')} AS installment_to_income, {r('dti * annual_inc / 1000', 4)} AS dti_x_income FROM cleaned"""))
+  {r('coalesce(installment / nullif(annual_inc / 12, 0), 0)')} AS installment_to_income, {r('dti * annual_inc / 1000')} AS dti_x_income FROM cleaned"""))
 def ratios(spark, d):
     rows = G.income_ratios(V.cleaned(spark, d))
-    return rounded(rows.select("id", "log_annual_inc", "loan_to_income", "installment_to_income", F.round("dti_x_income", 4).alias("dti_x_income")))
+    return rounded(rows.select("id", "log_annual_inc", "loan_to_income", "installment_to_income", "dti_x_income"))
 
 
 @query("g2_grade_numbers", Q.build(["loans_raw"], """
@@ -285,9 +286,9 @@ def split(spark, d):
     return G.time_split(V.silver(spark, d), "issue_d", V.TRAIN_END, V.VALIDATION_END).select("id", "split")
 
 
-@query("g9_gold_features", Q.build(["gold"], 'SELECT id, "default", split, ' + ", ".join(f"{r(f, 4)} AS {f}" for f in FEATURES) + " FROM gold"))
+@query("g9_gold_features", Q.build(["gold"], 'SELECT id, "default", split, ' + ", ".join(f"{r(f)} AS {f}" for f in FEATURES) + " FROM gold"))
 def gold_features(spark, d):
-    return rounded(V.fresh_gold(spark, d).select("id", "default", "split", *FEATURES), 4)
+    return rounded(V.fresh_gold(spark, d).select("id", "default", "split", *FEATURES))
 
 
 # ---------------------------------------------------------------- quality

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
+from riskframe.functions.numeric import round_away
 from checks.registry import query, rounded, stamp
 from riskframe.functions.scorecard import decision
 from riskframe.session import scratch_path
@@ -114,7 +115,7 @@ def scored_stream(spark, d):
     def score(batch):
         joined = batch.withColumn("applicant_id", F.concat(F.lit("LC_"), F.col("user_id").cast("string"))).join(store, "applicant_id")
         return with_probability(joined, model).select(
-            "request_id", "user_id", F.col("fico_score").cast("int").alias("fico_score"), F.round("score", 5).alias("score"))
+            "request_id", "user_id", F.col("fico_score").cast("int").alias("fico_score"), round_away("score", 5).alias("score"))
 
     path, checkpoint = scratch_path(spark, "stream-scored"), scratch_path(spark, "offsets-scored")
     requests = decided(spark, d).select("request_id", "user_id", "ts")

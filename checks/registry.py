@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from riskframe.functions.numeric import round_away
 from riskframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, so that sums taken in another order compare equal."""
     return df.select(
         *[
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            round_away(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )

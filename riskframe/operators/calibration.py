@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.binning import clamped_right_closed_bin, left_closed_bin, linspace
 from riskframe.functions.parsing import clean
+from riskframe.functions.numeric import round_away
 from riskframe.operators.order import exact_quantiles
 
 SCORE_DECIMALS = 6
@@ -77,7 +78,7 @@ def fit_isotonic(df: DataFrame, label: str, score: str, decimals: int = SCORE_DE
     """
     points = (
         _pairs(df, label, score)
-        .groupBy(F.round("score", decimals).alias("x"))
+        .groupBy(round_away("score", decimals).alias("x"))
         .agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     )
     vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.binning import left_closed_bin, linspace
 from riskframe.functions.parsing import clean
+from riskframe.functions.numeric import round_away
 from riskframe.operators.order import exact_quantiles
 
 CLIP_FLOOR = 1e-6
@@ -166,7 +167,7 @@ def csi(
 
 def drifted_features(csi_rows: DataFrame, contract: Contract = DEFAULT) -> DataFrame:
     """Features whose index, rounded to 4, exceeds the threshold."""
-    return csi_rows.withColumn("csi", F.round("csi", 4)).where(F.col("csi") > contract.csi_threshold)
+    return csi_rows.withColumn("csi", round_away("csi", 4)).where(F.col("csi") > contract.csi_threshold)
 
 
 def class_densities(

@@ -8,6 +8,7 @@ from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.parsing import clean
 from riskframe.functions.scorecard import decision
 from riskframe.functions.tables import PROTECTED_ATTRIBUTES
+from riskframe.functions.numeric import round_away
 from riskframe.operators.ranking import ranking_metrics
 
 
@@ -46,16 +47,16 @@ def group_metrics(
     keys = ["attribute", "code", "group", "privileged"]
     plain = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(F.avg("label"), 4).alias("default_rate"),
-        F.round(F.avg(approved), 4).alias("approval_rate"),
-        F.round(F.avg((band == "decline").cast("double")), 4).alias("decline_rate"),
-        F.round(F.avg("score"), 4).alias("mean_score"),
+        round_away(F.avg("label"), 4).alias("default_rate"),
+        round_away(F.avg(approved), 4).alias("approval_rate"),
+        round_away(F.avg((band == "decline").cast("double")), 4).alias("decline_rate"),
+        round_away(F.avg("score"), 4).alias("mean_score"),
         F.coalesce(F.avg(F.when(F.col("label") == 0, approved)), F.lit(0.0)).alias("approve_rate_good"),
     )
     auc = ranking_metrics(
         rows, "label", "score", ["attribute", "code"], group_limit=limit,
         bounds_from=df.select(F.col(score).alias("score")),
-    ).select("attribute", "code", F.round("auc", 4).alias("auc"))
+    ).select("attribute", "code", round_away("auc", 4).alias("auc"))
     return plain.where(F.col("count") >= contract.min_group_rows).join(
         F.broadcast(auc), ["attribute", "code"], "left"  # one row per group
     )
@@ -76,7 +77,7 @@ def disparate_impact(groups: DataFrame, contract: Contract = DEFAULT) -> DataFra
             "attribute",
             "group",
             "privileged",
-            F.when(F.col("privileged"), 1.0).otherwise(F.round(ratio, 4)).alias("dir"),
+            F.when(F.col("privileged"), 1.0).otherwise(round_away(ratio, 4)).alias("dir"),
             (~F.col("privileged") & (ratio < contract.dir_threshold)).alias("violation"),
         )
     )
@@ -86,7 +87,7 @@ def equal_opportunity(groups: DataFrame) -> DataFrame:
     """Difference to the privileged group in approvals among non-defaulters."""
     gap = F.col("approve_rate_good") - F.coalesce("top_approve_rate_good", F.lit(0.0))
     return _with_privileged(groups, ["approve_rate_good"]).select(
-        "attribute", "group", F.round(gap, 4).alias("eod")
+        "attribute", "group", round_away(gap, 4).alias("eod")
     )
 
 
@@ -94,7 +95,7 @@ def statistical_parity(groups: DataFrame) -> DataFrame:
     """Difference to the privileged group in approvals."""
     gap = F.col("approval_rate") - F.coalesce("top_approval_rate", F.lit(0.0))
     return _with_privileged(groups, ["approval_rate"]).select(
-        "attribute", "group", F.round(gap, 4).alias("spd")
+        "attribute", "group", round_away(gap, 4).alias("spd")
     )
 
 
@@ -108,9 +109,9 @@ def fairness_summary(groups: DataFrame, contract: Contract = DEFAULT) -> DataFra
             "attribute",
             "group",
             "privileged",
-            F.when(F.col("privileged"), 1.0).otherwise(F.round(ratio, 4)).alias("dir"),
-            F.round(F.col("approve_rate_good") - F.col("top_approve_rate_good"), 4).alias("eod"),
-            F.round(F.col("approval_rate") - F.col("top_approval_rate"), 4).alias("spd"),
+            F.when(F.col("privileged"), 1.0).otherwise(round_away(ratio, 4)).alias("dir"),
+            round_away(F.col("approve_rate_good") - F.col("top_approve_rate_good"), 4).alias("eod"),
+            round_away(F.col("approval_rate") - F.col("top_approval_rate"), 4).alias("spd"),
             "approval_rate",
             "default_rate",
             (~F.col("privileged") & (ratio < contract.dir_threshold)).alias("violation"),
@@ -127,8 +128,8 @@ def fairness_report(
 def overall_rates(df: DataFrame, label: str, score: str, contract: Contract = DEFAULT) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("n_observations"),
-        F.round(F.avg((F.col(score) < contract.approve_below).cast("double")), 4).alias("approval_rate"),
-        F.round(F.avg(F.col(label).cast("double")), 4).alias("default_rate"),
+        round_away(F.avg((F.col(score) < contract.approve_below).cast("double")), 4).alias("approval_rate"),
+        round_away(F.avg(F.col(label).cast("double")), 4).alias("default_rate"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.tables import BINARY_COLUMNS, FEATURES
+from riskframe.functions.numeric import round_away
 
 logger = logging.getLogger(__name__)
 
@@ -68,7 +69,7 @@ def _all_pass(name: str, condition: Column) -> Expectation:
 def _default_rate(target: str) -> Expectation:
     rate = F.avg(F.col(target).cast("double"))
     return Expectation(
-        "default_rate_between_5_50_pct", F.round(rate, 4), (rate >= 0.05) & (rate <= 0.50)
+        "default_rate_between_5_50_pct", round_away(rate, 4), (rate >= 0.05) & (rate <= 0.50)
     )
 
 

@@ -414,7 +414,7 @@ def global_importance(df: DataFrame, contributions: str = "contributions") -> Da
         .agg(F.avg(F.abs("contribution")).alias("importance"))
     )
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "feature")
-    return mean.withColumn("rank", F.rowsql_double().over(order))  # one row per feature
+    return mean.withColumn("rank", F.row_number().over(order))  # one row per feature
 
 
 # ---------------------------------------------------------------- reasons
@@ -452,8 +452,8 @@ def adverse_actions(contributions: str, contract: Contract = DEFAULT) -> Column:
               s.code as code,
               case s.feature {reason} else s.feature end as reason,
               case s.feature {display} else s.feature end as feature_name,
-              round(s.contribution, 5) as shap_value,
-              round(coalesce(s.value, 0), 4) as feature_value,
+              round(s.contribution * 1e5D, 0) / 1e5D as shap_value,
+              round(coalesce(s.value, 0) * 1e4D, 0) / 1e4D as feature_value,
               'increases risk' as direction))"""
     )
 

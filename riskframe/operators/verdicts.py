@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.contract import DEFAULT, Contract
+from riskframe.functions.numeric import round_away
 from riskframe.operators.distributions import psi
 from riskframe.operators.ranking import rank_order_breaks, ranking_metrics, score_deciles
 
@@ -39,11 +40,11 @@ def drift_verdict(
     )
     enough = n >= contract.min_drift_scores
     status = F.when(F.lit(real) & ~enough, "INSUFFICIENT_DATA").otherwise(shift_status(F.col("raw"), contract))
-    shown = F.format_string("%.4f", F.round("raw", 4))
+    shown = F.format_string("%.4f", round_away("raw", 4))
     flagged = base.withColumn("psi_status", status).withColumn("eligible", F.lit(real) & enough)
     retrain = F.col("eligible") & (F.col("psi_status") == "CRITICAL")
     return flagged.select(
-        F.round("raw", 4).alias("psi"),
+        round_away("raw", 4).alias("psi"),
         "psi_status",
         "n_observations",
         F.col("eligible").alias("monitoring_eligible"),
@@ -99,14 +100,14 @@ def performance_verdict(
     ).withColumn("drop", F.col("baseline_auc") - F.col("auc"))
     one_class, no_base = F.col("auc").isNull(), F.col("baseline_auc").isNull()
     retrain = F.coalesce(F.col("drop") > contract.auc_drop_threshold, F.lit(False))
-    shown = F.format_string("%.4f", F.round("drop", 4))
+    shown = F.format_string("%.4f", round_away("drop", 4))
     limit = f"{contract.auc_drop_threshold:g}"
     return base.select(
         F.col("n").alias("n_observations"),
-        F.round("auc", 4).alias("auc"),
-        F.round("ks", 4).alias("ks"),
-        F.round("gini", 4).alias("gini"),
-        F.round("drop", 4).alias("auc_drop"),
+        round_away("auc", 4).alias("auc"),
+        round_away("ks", 4).alias("ks"),
+        round_away("gini", 4).alias("gini"),
+        round_away("drop", 4).alias("auc_drop"),
         F.when(~one_class, F.col("rank_order_breaks")).otherwise(0).alias("rank_order_breaks"),
         retrain.alias("needs_retrain"),
         F.when(retrain, F.array(F.concat(F.lit("auc_drop ("), shown, F.lit(")")))).otherwise(_no_reasons()).alias("retrain_reasons"),
@@ -123,7 +124,7 @@ def performance_verdict(
             retrain,
             F.concat(
                 F.lit("RETRAIN RECOMMENDED. AUC has dropped "), shown,
-                F.lit(f" from training (threshold: {limit}). Current AUC: "), F.round("auc", 4).cast("string"), F.lit("."),
+                F.lit(f" from training (threshold: {limit}). Current AUC: "), round_away("auc", 4).cast("string"), F.lit("."),
             ),
         )
         .when(
@@ -137,7 +138,7 @@ def performance_verdict(
         .otherwise(
             F.concat(
                 F.lit("Model performance stable. AUC drop: "), shown, F.lit(f" (within {limit} threshold). Current KS: "),
-                F.round("ks", 4).cast("string"), F.lit("."),
+                round_away("ks", 4).cast("string"), F.lit("."),
             )
         )
         .alias("recommendation"),
@@ -167,7 +168,7 @@ def compare_models(scored: DataFrame, label: str, champion: str, challenger: str
     m = ranking_metrics(long, label, "score", ["model"], group_limit=2)
 
     def of(model: str, c: str) -> Column:
-        return F.max(F.when(F.col("model") == model, F.round(c, 4))).alias(f"{model}_{c}")
+        return F.max(F.when(F.col("model") == model, round_away(c, 4))).alias(f"{model}_{c}")
 
     wide = m.agg(*[of(model, c) for model in ("champion", "challenger") for c in ("auc", "ks", "gini")])
     shift = psi(
@@ -175,9 +176,9 @@ def compare_models(scored: DataFrame, label: str, champion: str, challenger: str
     ).scalar()
     return wide.withColumns(
         {
-            "auc_delta": F.round(F.col("challenger_auc") - F.col("champion_auc"), 4),
-            "ks_delta": F.round(F.col("challenger_ks") - F.col("champion_ks"), 4),
-            "score_psi": F.round(shift, 4),
+            "auc_delta": round_away(F.col("challenger_auc") - F.col("champion_auc"), 4),
+            "ks_delta": round_away(F.col("challenger_ks") - F.col("champion_ks"), 4),
+            "score_psi": round_away(shift, 4),
         }
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.parsing import applicant_id_problem
 from riskframe.functions.scorecard import calibrated, decision, points
+from riskframe.functions.numeric import round_away
 from riskframe.operators.joins import admissibility, lookup_features
 from riskframe.operators.trees import Ensemble, with_attributions, with_probability, with_reasons
 
@@ -67,8 +68,8 @@ def score_requests(
         F.lit(model_version).alias("model_version"),
         F.when(ok, F.col("feature_version")).alias("feature_version"),
         F.when(ok, F.col("features")).alias("feature_snapshot"),
-        F.when(ok, F.round("score", 5)).alias("score"),
-        F.when(ok, F.round("calibrated_pd", 5)).alias("calibrated_pd"),
+        F.when(ok, round_away("score", 5)).alias("score"),
+        F.when(ok, round_away("calibrated_pd", 5)).alias("calibrated_pd"),
         F.when(ok, F.col("scaled_score")).alias("scaled_score"),
         F.when(ok, F.col("decision")).alias("decision"),
         F.when(ok, F.col("adverse_actions")).alias("adverse_actions"),

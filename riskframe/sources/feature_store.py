@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.binning import linspace
 from riskframe.functions.parsing import applicant_id, clean
+from riskframe.functions.numeric import round_away
 from riskframe.operators.distributions import histogram
 from riskframe.operators.order import small_table
 
@@ -35,7 +36,7 @@ def snapshots(gold: DataFrame, features: list[str], version: int, computed_at: C
         F.map_from_arrays(
             F.array(*[F.lit(f) for f in features]), F.array(*values)
         ).alias("features"),
-        F.round(present / len(features), 3).alias("data_completeness"),
+        round_away(present / len(features), 3).alias("data_completeness"),
         clean(F.col("fico_score")).cast("int").alias("fico_score"),
         clean(F.col("grade_numeric")).cast("int").alias("grade"),
     )
@@ -89,7 +90,7 @@ def feature_metadata(split_rows: DataFrame, categories: DataFrame, features: lis
     """One JSON document: columns, version, rows and default rate per split, encodings."""
     splits = split_rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.round(F.avg(F.col("default").cast("double")), 4).alias("default_rate"),
+        round_away(F.avg(F.col("default").cast("double")), 4).alias("default_rate"),
     ).agg(
         F.expr("map_from_entries(array_sort(collect_list(struct(split, struct(rows, default_rate)))))").alias("splits")
     )
