@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.quality_rules import quality
 from riskframe.session import configure
 
@@ -41,3 +42,13 @@ def op9(spark, sf_dir):
     """Counts, compression bands and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", quality("text").alias("q"))
     return docs.select("doc_id", "q.*")
+
+
+@query(
+    "op6_sainte_lague_mix",
+    "WITH " + MIX_SQL.replace("{docs}", "documents")
+    + " SELECT doc_id, size, source_size, target, (whole * size + n_words)::BIGINT AS taken FROM mixed",
+)
+def op6(spark, sf_dir):
+    """Words the mix takes of every document, beside its source's target."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
