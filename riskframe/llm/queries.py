@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.quality_rules import quality
+from riskframe.llm.url_filter import url_verdicts
 from riskframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +53,37 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     """Words the mix takes of every document, beside its source's target."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The rules of the query.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query(
+    "op10_url_ranges",
+    """
+    WITH rules(rule_host, rule_path, judged) AS (
+      VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+             ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    rest AS (
+      SELECT row_number() OVER () AS row_no, page_id,
+             CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT row_no, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM rest),
+    urls AS (
+      SELECT row_no, page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM parts),
+    fits AS (
+      SELECT u.*, r.rule_host || r.rule_path AS rule, r.judged,
+             row_number() OVER (PARTITION BY u.row_no ORDER BY length(r.rule_host || r.rule_path) DESC) AS place
+      FROM urls u LEFT JOIN rules r
+        ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path))
+    SELECT page_id, host, path, rule, coalesce(judged, 'allow') AS verdict FROM fits WHERE place = 1
+    """,
+)
+def op10(spark, sf_dir):
+    """The longest rule and the verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
