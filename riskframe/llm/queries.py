@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.quality_rules import quality
 from riskframe.llm.url_filter import url_verdicts
@@ -87,3 +88,9 @@ def op10(spark, sf_dir):
     """The longest rule and the verdict of every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_scaled_sketch")
+def op5(spark, sf_dir):
+    """Fingerprints of every document and its edited text, and how near they and the next document are."""
+    return compare_with_edit(table(spark, sf_dir, "documents"))
