@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.quality_rules import quality
+from riskframe.llm.toxicity import held_out, learn_from_labels, toxicity
 from riskframe.llm.url_filter import url_verdicts
 from riskframe.session import configure
 
@@ -94,3 +95,12 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     """Fingerprints of every document and its edited text, and how near they and the next document are."""
     return compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity_ngrams")
+def op1(spark, sf_dir):
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = learn_from_labels(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3))
+    scored = docs.select("doc_id", held_out("doc_id", 3).alias("held_out"), toxicity(model, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
