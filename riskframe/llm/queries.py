@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.mixing import MIX_SQL, mix
+from riskframe.llm.pii import fit as fit_pii, personal_data
 from riskframe.llm.quality_rules import quality
 from riskframe.llm.toxicity import held_out, learn_from_labels, toxicity
 from riskframe.llm.url_filter import url_verdicts
@@ -104,3 +105,10 @@ def op1(spark, sf_dir):
     model = learn_from_labels(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3))
     scored = docs.select("doc_id", held_out("doc_id", 3).alias("held_out"), toxicity(model, "text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op4_pii_semi_markov")
+def op4(spark, sf_dir):
+    """Personal data of every document: base counts and digest, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", personal_data(fit_pii(docs), "text").alias("p")).select("doc_id", "p.*")
