@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.fingerprint import compare_with_edit
+from riskframe.llm.html_text import extract_pages
 from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.pii import fit as fit_pii, personal_data
 from riskframe.llm.quality_rules import quality
@@ -112,3 +113,9 @@ def op4(spark, sf_dir):
     """Personal data of every document: base counts and digest, and all spans."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", personal_data(fit_pii(docs), "text").alias("p")).select("doc_id", "p.*")
+
+
+@query("op2_tag_path_text")
+def op2(spark, sf_dir):
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
