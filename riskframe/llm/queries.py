@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.html_text import extract_pages
 from riskframe.llm.mixing import MIX_SQL, mix
+from riskframe.llm.near_dedup import near_duplicates
 from riskframe.llm.pii import fit as fit_pii, personal_data
 from riskframe.llm.quality_rules import quality
 from riskframe.llm.toxicity import held_out, learn_from_labels, toxicity
@@ -119,3 +120,9 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     """Main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_minhash_groups")
+def op3(spark, sf_dir):
+    """Shingle count and near-duplicate group of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
