@@ -10,6 +10,7 @@ from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.html_text import extract_pages
 from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.near_dedup import near_duplicates
+from riskframe.llm.pieces import encode_documents
 from riskframe.llm.pii import fit as fit_pii, personal_data
 from riskframe.llm.quality_rules import quality
 from riskframe.llm.toxicity import held_out, learn_from_labels, toxicity
@@ -126,3 +127,9 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     """Shingle count and near-duplicate group of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_array_pieces")
+def op7(spark, sf_dir):
+    """Ids of every document, their number, and whether they decode to the document."""
+    return encode_documents(table(spark, sf_dir, "documents"))
