@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.html_text import extract_pages
+from riskframe.llm.kneser_ney import scored, train as train_lm
 from riskframe.llm.mixing import MIX_SQL, mix
 from riskframe.llm.near_dedup import near_duplicates
 from riskframe.llm.pieces import encode_documents
@@ -133,3 +134,15 @@ def op3(spark, sf_dir):
 def op7(spark, sf_dir):
     """Ids of every document, their number, and whether they decode to the document."""
     return encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_kneser_ney_scores")
+def op8(spark, sf_dir):
+    """Base and model score of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_lm(docs.filter(~held_out("doc_id", 5)))
+    scores = docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), scored(model, "text").alias("s"))
+    return scores.select(
+        "doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "s.base_score", "s.score", "s.perplexity",
+    )
