@@ -6,10 +6,18 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskframe.session import scratch_path
+from riskframe.session import configure, scratch_path
 
 # the word rule of every operator here: white space is the six ASCII characters only
 BLANKS = b" \t\n\r\x0b\x0c"
+# rows of a batch that Python holds: texts may be long
+BATCH_ROWS = 1024
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this library's settings and batches of few rows."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def strings(column) -> list[str]:

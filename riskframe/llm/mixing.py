@@ -88,8 +88,8 @@ def sainte_lague(units: DataFrame, keys: list[str], order: str) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """What the mix takes of every document.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """What the mix takes of every document; with ``carry`` each row also brings its input row as the struct ``row``.
 
     Returns doc_id, size (words), source_size, target (of the document's source), taken (words, repeats counted),
     whole (times the whole document is taken) and first_word, n_words: the run of words taken once more. The rows
@@ -97,9 +97,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     of its own, last in order; repeated rows are rows of their own; rows with one id and one size are
     interchangeable; an empty table gives an empty result. Other columns play no part.
     """
-    sizes = stored(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size")), "mix-sizes"
-    )
+    own = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size")]
+    sizes = stored(docs.select(*own), "mix-sizes")
+    rows = docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if carry else sizes
     by_source = targets(
         sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
     )
@@ -115,15 +115,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     by_source = stored(by_source, "mix-sources")  # read by three branches: one small table
 
     digest = hashed(F.col("doc_id"))
-    placed = (
-        sizes.withColumnRenamed("source", "name")
-        .join(by_source, F.col("name").eqNullSafe(F.col("source")))
-        .withColumn("digest", digest)
+
+    def put(frame: DataFrame) -> DataFrame:
         # documents without words take nothing: they are spread, not ordered
-        .withColumn("shard", F.when(F.col("size") > 0, as_number(F.col("digest")) % F.col("n_shards")).otherwise(-1 - as_number(F.col("digest")) % (1 << 20)))
-    )
+        spread = -1 - as_number(F.col("digest")) % (1 << 20)
+        return (
+            frame.withColumnRenamed("source", "name").join(by_source, F.col("name").eqNullSafe(F.col("source"))).withColumn("digest", digest)
+            .withColumn("shard", F.when(F.col("size") > 0, as_number(F.col("digest")) % F.col("n_shards")).otherwise(spread))
+        )
+
     shards = (
-        placed.filter("size > 0").groupBy("source_no", "shard").agg(F.sum("size").alias("words"))
+        put(sizes).filter("size > 0").groupBy("source_no", "shard").agg(F.sum("size").alias("words"))
         .join(by_source.select("source_no", "target", "block", "source_size"), "source_no")
         .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long"))
     )
@@ -151,7 +153,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     end = F.sum("size").over(
         W.partitionBy("source_no", "shard").orderBy("digest", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    taken = placed.withColumn("end", end).join(runs, ["source_no", "shard"], "left").withColumns({
+    taken = put(rows).withColumn("end", end).join(runs, ["source_no", "shard"], "left").withColumns({
         "first_word": F.greatest(F.lit(0), F.col("run_from") - (F.col("end") - F.col("size"))),
         "last_word": F.least(F.col("size"), F.col("run_to") - (F.col("end") - F.col("size"))),
     })
@@ -160,7 +162,29 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return taken.select(
         "doc_id", "size", "source_size", "target", (times * F.col("size") + n_words).alias("taken"),
         times.alias("whole"), F.when(n_words > 0, F.col("first_word")).otherwise(0).alias("first_word"), n_words.alias("n_words"),
+        *(["row"] if carry else []),
+    )
+
+
+def words_from(text: Column, first: Column, n: Column) -> Column:
+    """``n`` words of the text from the given one on, with the white space between and after them."""
+    pieces = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    return F.array_join(F.slice(pieces, (first + 1).cast("int"), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself, with the columns of the input: a row for every time a document is taken whole, and one for the
+    part of it that a run takes once more. Documents that the mix does not take, and those without words, go."""
+    taken = mix(docs, doc_id, text, source, carry=True)
+    part = F.when(F.col("n_words") == F.col("size"), F.col(f"row.{text}")).otherwise(
+        words_from(F.col(f"row.{text}"), F.col("first_word"), F.col("n_words"))
+    )
+    copies = F.concat(
+        F.array_repeat(F.col(f"row.{text}"), F.col("whole").cast("int")),
+        F.when(F.col("n_words") > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
     )
+    exploded = taken.filter("size > 0 and taken > 0").select("row", F.explode(copies).alias("copy"))
+    return exploded.select(*[F.col("copy").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 # The same steps as SQL. {docs} holds doc_id, text and source.

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskframe.llm.common import prepared
 from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.html_text import extract_pages
 from riskframe.llm.kneser_ney import scored, train as train_lm
@@ -16,20 +18,15 @@ from riskframe.llm.pii import fit as fit_pii, personal_data
 from riskframe.llm.quality_rules import quality
 from riskframe.llm.toxicity import held_out, learn_from_labels, toxicity
 from riskframe.llm.url_filter import url_verdicts
-from riskframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# a batch that Python holds: long texts make batches of many rows large
-BATCH_ROWS = "1024"
-
 
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-            return fn(spark, sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -146,3 +143,9 @@ def op8(spark, sf_dir):
         "doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "s.base_score", "s.score", "s.perplexity",
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline, from the documents to their ids."""
+    return corpus_pipeline.run(spark, sf_dir)
