@@ -15,7 +15,7 @@ from riskframe.operators.joins import augmented_rows
 from riskframe.operators.order import exact_quantiles, running_sums
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.operators.silver import median_values
-from riskframe.operators.trees import Ensemble, load_ensemble, raw_score_expression, with_probability
+from riskframe.operators.trees import Ensemble, load_ensemble, with_donors, with_probability, with_raw_score
 from riskframe.session import scratch_path
 
 logger = logging.getLogger(__name__)
@@ -156,16 +156,13 @@ def permutation_importance(
             *[F.col(f).alias(f"donor_{f}") for f in used],
         )
         paired = placed.join(donors, "position")
-        variants = [
-            F.struct(F.lit("").alias("feature"), raw_score_expression(ensemble).alias("raw"))
-        ] + [
-            F.struct(F.lit(f).alias("feature"), _raw_with_donor(ensemble, f).alias("raw")) for f in used
-        ]
-        one = paired.select(F.lit(repeat).alias("repeat"), "label", F.inline(F.array(*variants)))
+        one = paired.select("label", with_donors(ensemble, used).alias("raws")).select(
+            F.lit(repeat).alias("repeat"), "label", F.posexplode("raws").alias("at", "raw")
+        ).select("repeat", "label", F.get(F.array(*[F.lit(f) for f in ["", *used]]), F.col("at")).alias("feature"), "raw")
         scored = one if scored is None else scored.unionByName(one)
     auc = ranking_metrics(
         scored, "label", "raw", ["repeat", "feature"], group_limit=repeats * (len(used) + 1),
-        bounds_from=rows.select(raw_score_expression(ensemble).alias("raw")),
+        bounds_from=with_raw_score(rows, ensemble, "raw").select("raw"),
     ).select("repeat", "feature", "auc")
     base = auc.where("feature = ''").select("repeat", F.col("auc").alias("base"))
     found = (
@@ -180,16 +177,6 @@ def permutation_importance(
     )
 
 
-def _raw_with_donor(ensemble: Ensemble, feature: str) -> Column:
-    from dataclasses import replace
-
-    trees = [
-        {i: replace(n, feature=f"donor_{feature}") if n.feature == feature else n for i, n in t.items()}
-        for t in ensemble.trees
-    ]
-    return raw_score_expression(Ensemble(trees, ensemble.baseline))
-
-
 def importance_shift(before: DataFrame, after: DataFrame) -> DataFrame:
     """Change of importance per feature, also relative where the base is not tiny."""
     base = F.abs("accepted_only")
@@ -206,7 +193,6 @@ def importance_shift(before: DataFrame, after: DataFrame) -> DataFrame:
 REJECT_MULTIPLIER = 2.0
 REJECT_CAP = 0.60
 REJECT_WEIGHT = 0.3
-REJECT_SAMPLE = 500_000
 
 
 def align_rejected(rejected: DataFrame, train: DataFrame, features: list[str], key: str) -> DataFrame:

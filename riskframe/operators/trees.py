@@ -11,19 +11,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.literals import sql_double
+from riskframe.functions.parsing import clean
 from riskframe.functions.tables import REASONS
+from riskframe.operators.bitscore import TREES_PER_BLOCK, Attributions, Leaves, Scorer, shapley_table
 
 NODE_SCHEMA = (
     "tree_id int, node_id int, is_leaf boolean, feature string, threshold double, "
     "missing_left boolean, left int, right int, value double, cover double"
 )
 MAX_NODES = 5_000_000
-MAX_EXPRESSION_LEAVES = 400
-MAX_PATH_FEATURES = 10
+MAX_EXPRESSION_LEAVES = 400  # the size of generated code; above it the Arrow form, with the same results
+MAX_EXPRESSION_PATH = 8
 
 
 # ---------------------------------------------------------------- node table
@@ -114,8 +116,10 @@ def load_ensemble(nodes: DataFrame, baseline: float = 0.0, max_nodes: int = MAX_
 # ---------------------------------------------------------------- scoring
 
 def _goes_left(node: Node) -> str:
-    test = f"`{node.feature}` <= {sql_double(node.threshold)}"
-    return f"(`{node.feature}` is null or {test})" if node.missing_left else f"coalesce({test}, false)"
+    """NaN counts as missing; Spark itself would order it above all numbers."""
+    value = f"nullif(double(`{node.feature}`), double('NaN'))"
+    test = f"{value} <= {sql_double(node.threshold)}"
+    return f"coalesce({test}, {'true' if node.missing_left else 'false'})"
 
 
 def _tree_sql(tree: dict[int, Node], at: int = 0) -> str:
@@ -134,61 +138,46 @@ def raw_score_expression(ensemble: Ensemble) -> Column:
     return F.expr(" + ".join(terms))
 
 
-def _arrays(ensemble: Ensemble, features: list[str]):
-    index = {f: i for i, f in enumerate(features)}
-    packed = []
-    for tree in ensemble.trees:
-        n = max(tree) + 1
-        a = {
-            "feature": np.zeros(n, np.int32), "threshold": np.zeros(n), "missing": np.zeros(n, bool),
-            "left": np.arange(n, dtype=np.int32), "right": np.arange(n, dtype=np.int32),
-            "value": np.zeros(n),
-        }
-        for i, node in tree.items():
-            if node.is_leaf:
-                a["value"][i] = node.value
-            else:
-                a["feature"][i] = index[node.feature]
-                a["threshold"][i], a["missing"][i] = node.threshold, bool(node.missing_left)
-                a["left"][i], a["right"][i] = node.left, node.right
-        packed.append((a, _depth(tree)))
-    return packed
-
-
-def _depth(tree: dict[int, Node]) -> int:
-    deepest, level = 0, [(0, 0)]
-    while level:
-        at, d = level.pop()
-        deepest = max(deepest, d)
-        if not tree[at].is_leaf:
-            level += [(tree[at].left, d + 1), (tree[at].right, d + 1)]
-    return deepest
+def _matrix(features: list[str]) -> Column:
+    """The model's inputs as one struct; NaN is missing here as everywhere."""
+    return F.struct(*[clean(F.col(f)).alias(f) for f in features])
+
+
+def _numbers(rows: pd.DataFrame) -> np.ndarray:
+    return rows.to_numpy(dtype=float, na_value=np.nan)
 
 
 def raw_score_vectorised(spark, ensemble: Ensemble) -> Column:
-    """Log-odds by an Arrow function that walks all rows of a batch level by level."""
+    """Log-odds by an Arrow function over the bit masks of all trees."""
     features = ensemble.features
-    shipped = spark.sparkContext.broadcast((_arrays(ensemble, features), ensemble.baseline))
+    shipped = spark.sparkContext.broadcast(Scorer(ensemble.trees, features, ensemble.baseline))
 
     @F.pandas_udf(T.DoubleType())
     def score(rows: pd.DataFrame) -> pd.Series:
-        trees, baseline = shipped.value
-        x = rows.to_numpy(dtype=float, na_value=np.nan)
-        lines = np.arange(len(x))
-        total = np.full(len(x), baseline)
-        for tree, depth in trees:
-            at = np.zeros(len(x), np.int32)
-            for _ in range(depth):
-                v = x[lines, tree["feature"][at]]
-                left = np.where(np.isnan(v), tree["missing"][at], v <= tree["threshold"][at])
-                at = np.where(left, tree["left"][at], tree["right"][at])
-            total += tree["value"][at]
-        return pd.Series(total)
-
-    return score(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
+        return pd.Series(shipped.value.raw(_numbers(rows)))
+
+    return score(_matrix(features)) if features else F.lit(float(ensemble.baseline + sum(t[0].value for t in ensemble.trees)))
+
+
+def with_donors(ensemble: Ensemble, used: list[str]) -> Column:
+    """Log-odds of a row as it is, then with each used feature taken from ``donor_<feature>``."""
+    features = ensemble.features
+    order = [1 + features.index(f) for f in used]
+    spark = SparkSession.getActiveSession()
+    shipped = spark.sparkContext.broadcast(Scorer(ensemble.trees, features, ensemble.baseline))
+    n = len(features)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(rows: pd.DataFrame) -> pd.Series:
+        x = _numbers(rows)
+        return pd.Series(list(shipped.value.raw_with_donors(x[:, :n], x[:, n:])[:, [0, *order]]))
+
+    donors = [clean(F.col(f"donor_{f}")).alias(f"donor_{f}") if f in used else clean(F.col(f)).alias(f"donor_{f}") for f in features]
+    return score(F.struct(*[clean(F.col(f)).alias(f) for f in features], *donors))
 
 
 def with_raw_score(df: DataFrame, ensemble: Ensemble, name: str = "raw_score") -> DataFrame:
+    """Both forms give the same score on every input; few leaves are cheaper as generated code."""
     if ensemble.leaf_count <= MAX_EXPRESSION_LEAVES:
         return df.withColumn(name, raw_score_expression(ensemble))
     return df.withColumn(name, raw_score_vectorised(df.sparkSession, ensemble))
@@ -203,20 +192,34 @@ def with_probability(df: DataFrame, ensemble: Ensemble, name: str = "score") ->
 def node_covers(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node table with ``cover`` = rows of ``df`` that reach each node.
 
-    Every row emits one (tree, leaf) pair per tree, counted before the shuffle;
-    inner nodes add up the leaves below them.
+    Every task counts the leaves of its rows, whatever the number of trees, and
+    emits one row per (tree, leaf); inner nodes add up the leaves below them.
     """
     ensemble = load_ensemble(nodes)
-    leaf_of = [
-        _tree_sql({i: n if not n.is_leaf else Node(None, None, None, None, None, float(i), None)
-                   for i, n in tree.items()})
-        for tree in ensemble.trees
-    ]
+    features = ensemble.features
+    shipped = df.sparkSession.sparkContext.broadcast(Leaves(ensemble.trees, features))
+
+    def count(batches):
+        leaves, hits = shipped.value, {}
+        for batch in batches:
+            x = _numbers(batch[features]) if features else np.zeros((len(batch), 0))
+            for _, n, (_, _, ids, base), found in leaves.tiles(x) if features else ():
+                flat = np.bincount((found + base).ravel(), minlength=ids.size)
+                hits[n] = hits.get(n, 0) + flat
+            if not features:
+                hits[0] = hits.get(0, 0) + len(batch)
+        for n, flat in hits.items():
+            if not features:
+                trees = range(len(ensemble.trees))
+                yield pd.DataFrame({"tree": list(trees), "leaf": 0, "hits": float(flat)})
+                continue
+            ids = leaves.blocks[n][2]
+            at = np.flatnonzero(flat)
+            yield pd.DataFrame({"tree": n * TREES_PER_BLOCK + at // ids.shape[1], "leaf": ids.ravel()[at], "hits": flat[at].astype(float)})
+
+    inputs = df.select(*[clean(F.col(f)).alias(f) for f in features]) if features else df.select(F.lit(1).alias("one"))
     hits = (
-        df.select(F.array(*[F.expr(f"cast({sql} as int)") for sql in leaf_of]).alias("leaves"))
-        .select(F.posexplode("leaves").alias("tree", "leaf"))
-        .groupBy("tree", "leaf")
-        .agg(F.count(F.lit(1)).cast("double").alias("hits"))
+        inputs.mapInPandas(count, "tree int, leaf int, hits double").groupBy("tree", "leaf").agg(F.sum("hits").alias("hits"))
     )
     ids = sorted({r["tree_id"] for r in nodes.select("tree_id").distinct().collect()})
     below = []
@@ -280,41 +283,6 @@ def _leaves(tree: dict[int, Node]) -> list[Leaf]:
     return found
 
 
-def _attribution_table(leaf: Leaf) -> np.ndarray:
-    """[mask, k]: the attribution of feature k when exactly the features in mask agree.
-
-    Shapley value of one leaf: a coalition is worth the leaf value times, per
-    feature, agreement (inside) or its share (outside).
-    """
-    d = len(leaf.features)
-    if d > MAX_PATH_FEATURES:
-        raise ValueError(f"a path uses {d} features, at most {MAX_PATH_FEATURES} are supported")
-    masks = np.arange(1 << d)
-    agree = (masks[:, None] >> np.arange(d)) & 1  # [mask, feature]
-    share = np.array(leaf.share)
-    table = np.zeros((1 << d, d))
-    for k in range(d):
-        rest = [j for j in range(d) if j != k]
-        # polynomial in the coalition size: product over the rest of (share + agree * t)
-        sizes = np.zeros((1 << d, d))
-        sizes[:, 0] = 1.0
-        for j in rest:
-            shifted = np.zeros_like(sizes)
-            shifted[:, 1:] = sizes[:, :-1] * agree[:, j : j + 1]
-            sizes = sizes * share[j] + shifted
-        weight = np.array([_coalition_weight(s, d) for s in range(d)])
-        table[:, k] = leaf.value * (agree[:, k] - share[k]) * (sizes @ weight)
-    return table
-
-
-def _coalition_weight(size: int, d: int) -> float:
-    """size! (d - size - 1)! / d!"""
-    weight = 1.0 / d
-    for i in range(1, size + 1):
-        weight *= i / (d - i)
-    return weight
-
-
 def attribution_expressions(ensemble: Ensemble) -> dict[str, Column]:
     """Contribution of each used feature to the log-odds, as generated code."""
     terms: dict[str, list[str]] = {f: [] for f in ensemble.features}
@@ -327,7 +295,7 @@ def attribution_expressions(ensemble: Ensemble) -> dict[str, Column]:
                 for tests in leaf.tests
             ]
             mask = " + ".join(f"(int({a}) * {1 << k})" for k, a in enumerate(agree))
-            table = _attribution_table(leaf)
+            table = shapley_table(np.array([leaf.share]), np.array([leaf.value]))[0]
             for k, feature in enumerate(leaf.features):
                 values = ", ".join(sql_double(v) for v in table[:, k])
                 terms[feature].append(f"get(array({values}), {mask})")
@@ -337,44 +305,14 @@ def attribution_expressions(ensemble: Ensemble) -> dict[str, Column]:
 def attributions_vectorised(spark, ensemble: Ensemble) -> Column:
     """Contributions as an array in the order of ``ensemble.features``."""
     features = ensemble.features
-    index = {f: i for i, f in enumerate(features)}
-    leaves = [
-        (
-            [index[f] for f in leaf.features],
-            [[(index[n.feature], n.threshold, bool(n.missing_left), left) for n, left in tests]
-             for tests in leaf.tests],
-            _attribution_table(leaf),
-        )
-        for tree in ensemble.trees
-        for leaf in _leaves(tree)
-        if leaf.features
-    ]
-    shipped = spark.sparkContext.broadcast(leaves)
+    leaves = [leaf for tree in ensemble.trees for leaf in _leaves(tree) if leaf.features]
+    shipped = spark.sparkContext.broadcast(Attributions(leaves, features, ensemble.trees))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(rows: pd.DataFrame) -> pd.Series:
-        x = rows.to_numpy(dtype=float, na_value=np.nan)
-        phi = np.zeros(x.shape)
-        outcomes: dict = {}
-
-        def goes_left(column, threshold, missing):
-            key = (column, threshold, missing)
-            if key not in outcomes:
-                v = x[:, column]
-                outcomes[key] = np.where(np.isnan(v), missing, v <= threshold)
-            return outcomes[key]
-
-        for columns, tests, table in shipped.value:
-            mask = np.zeros(len(x), np.int64)
-            for k, splits in enumerate(tests):
-                agree = np.ones(len(x), bool)
-                for column, threshold, missing, left in splits:
-                    agree &= goes_left(column, threshold, missing) == left
-                mask |= agree.astype(np.int64) << k
-            phi[:, columns] += table[mask]
-        return pd.Series(list(phi))
-
-    return explain(F.struct(*[F.col(f).cast("double").alias(f) for f in features]))
+        return pd.Series(list(shipped.value.of(_numbers(rows))))
+
+    return explain(_matrix(features))
 
 
 def with_attributions(df: DataFrame, ensemble: Ensemble, name: str = "contributions") -> DataFrame:
@@ -383,7 +321,8 @@ def with_attributions(df: DataFrame, ensemble: Ensemble, name: str = "contributi
     The contributions of a row sum to its log-odds minus the expected value.
     """
     features = ensemble.features
-    if ensemble.leaf_count <= MAX_EXPRESSION_LEAVES:
+    short = all(len(leaf.features) <= MAX_EXPRESSION_PATH for tree in ensemble.trees for leaf in _leaves(tree)) if ensemble.leaf_count <= MAX_EXPRESSION_LEAVES else False
+    if short:
         phi = attribution_expressions(ensemble)
         parts = [
             F.struct(
