@@ -264,14 +264,14 @@ FAIR = fairness_parts()
 
 
 def groups_of(spark, d, score="pd"):
-    return X.group_metrics(V.scored_gold(spark, d).where("split = 'test'"), "default", score)
+    return X.group_rates(V.scored_gold(spark, d).where("split = 'test'"), "default", score)
 
 
 @query("a20_group_metrics", Q.build(["scored_gold"], f"""
 SELECT g.attribute, g.code, g.grp AS "group", g.privileged, cnt AS count, default_rate, approval_rate, decline_rate, mean_score,
   {r('good_rate')} AS approve_rate_good, round(a.auc, 4) AS auc FROM groups g LEFT JOIN aucs a USING (attribute, code)""", FAIR))
 def group_metrics(spark, d):
-    return rounded(groups_of(spark, d))
+    return rounded(X.group_metrics(V.scored_gold(spark, d).where("split = 'test'"), "default", "pd"))
 
 
 @query("a21_disparate_impact", Q.build(["scored_gold"], 'SELECT attribute, "group", privileged, dir, violation FROM summary', FAIR))

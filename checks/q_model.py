@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
@@ -12,13 +14,12 @@ from checks.registry import query, rounded
 from riskframe.functions.scorecard import calibrated, decision, points
 from riskframe.functions.tables import FEATURES, REASONS
 from riskframe.operators import calibration as C, distributions as S, fairness as X, training as M, trees as T, verdicts as W
-from riskframe.operators.history import recent_outcomes
+from riskframe.operators.history import logged_outcomes, logged_scores
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.operators.silver import silver_rejected
 from riskframe.plans.scoring import score_requests
 
 USED = ["dti", "fico_score", "loan_to_income"]
-SMALL = M.BoostingParameters(trees=5, depth=3, learning_rate=0.3, min_rows=20, bins=32)
 
 
 def r(x: str, n: int = 6) -> str:
@@ -212,7 +213,10 @@ def score_all(spark, d):
 
 # ---------------------------------------------------------------- training
 
-MODEL_FEATURES = ["fico_score", "dti", "loan_to_income", "int_rate", "loan_amnt"]
+MODEL_FEATURES = list(FEATURES)
+# the champion's parameters, but for the number of trees: MLlib takes a third of a second for each here
+FITTED = replace(M.CHAMPION, trees=60, patience=15)
+_FITS: dict[tuple[str, str], M.Boosted] = {}
 
 
 def carved(spark, d):
@@ -227,48 +231,61 @@ def labelled(spark, d):
     return V.gold(spark, d).withColumn("default", (noise < 1 / (1 + F.exp(-z + 1))).cast("int"))
 
 
-@query("m1_carve_out")
+@query("m1_carve_out", Q.build(["gold"], """
+SELECT "default", held_out, CASE WHEN held_out THEN held ELSE n - held END AS n FROM (
+  SELECT "default", count(*) AS n, round(count(*) * (SELECT avg(CAST(split = 'val' AS INTEGER)) FROM gold WHERE split <> 'test'))::BIGINT AS held
+  FROM gold WHERE split <> 'test' GROUP BY "default") CROSS JOIN (VALUES (true), (false)) t(held_out)
+WHERE CASE WHEN held_out THEN held ELSE n - held END > 0"""))
 def carve_out(spark, d):
-    """Held-out rows per label; size and repeatability are tested in pytest."""
+    """Held-out rows per label; repeatability is tested in pytest."""
     return carved(spark, d).groupBy("default", "held_out").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trained(spark, d):
-    rows = labelled(spark, d)
-    both = M.early_stopping_rows(rows.where("split = 'train'"), rows.where("split = 'val'"), "default", "id")
-    return M.train_boosted(both, MODEL_FEATURES, "default", parameters=SMALL)
+def trained(spark, d) -> M.Boosted:
+    """A model on all features, fitted once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITS:
+        rows = labelled(spark, d)
+        both = M.early_stopping_rows(rows.where("split = 'train'"), rows.where("split = 'val'"), "default", "id")
+        _FITS[key] = M.train_boosted(both, MODEL_FEATURES, "default", parameters=FITTED)
+    return _FITS[key]
 
 
 @query("m2_boosted_trees")
 def boosted_trees(spark, d):
-    """Ranking power per split of a freshly trained model."""
-    from pyspark.ml.functions import vector_to_array
-
-    model = trained(spark, d)
-    scored = model.transform(M._vectors(labelled(spark, d), MODEL_FEATURES)).select(
-        "split", "default", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-    return ranking_metrics(scored, "default", "score", ["split"], group_limit=3)
+    """Ranking power per split of a freshly trained model, and its number of trees."""
+    fitted = trained(spark, d)
+    scored = T.with_probability(labelled(spark, d), fitted.ensemble(spark), "score")
+    return ranking_metrics(scored, "default", "score", ["split"], group_limit=3).withColumn("trees", F.lit(fitted.trees))
 
 
 @query("m3_export_nodes")
 def export(spark, d):
     """The largest difference between a trained model and its node table."""
-    model = trained(spark, d)
-    nodes = M.export_nodes(spark, model, MODEL_FEATURES)
-    return M.verify_export(labelled(spark, d), model, nodes, MODEL_FEATURES)
+    fitted = trained(spark, d)
+    nodes = M.export_nodes(spark, fitted.model, MODEL_FEATURES)
+    return M.verify_export(labelled(spark, d), fitted.model, nodes, MODEL_FEATURES)
 
 
 @query("m9_permutation_importance")
 def permutation(spark, d):
     rows = V.scored_gold(spark, d).where("split = 'test'")
-    before = M.permutation_importance(rows, V.ensemble(spark, 2), USED, "default", "id", repeats=3)
-    after = M.permutation_importance(rows, V.ensemble(spark), USED, "default", "id", repeats=3)
+    before = M.permutation_importance(rows, V.ensemble(spark, 2), USED, "default", "id")
+    after = M.permutation_importance(rows, V.ensemble(spark), USED, "default", "id")
     return M.importance_shift(before, after)
 
 
-@query("m10_isotonic_fit")
+@query("m10_isotonic_fit", Q.build(["scored_lines"], f"""
+SELECT {r('x')} AS x, {r('y')} AS y FROM (
+  SELECT x, y, lag(y) OVER (ORDER BY x) AS b, lead(y) OVER (ORDER BY x) AS a FROM solved)
+WHERE b IS NULL OR a IS NULL OR abs(b - y) > 1e-9 OR abs(a - y) > 1e-9""", {
+    "points": "SELECT x, s, n, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(n) OVER (ORDER BY x) AS cn FROM (SELECT q AS x, sum(label) AS s, count(*) AS n FROM scored_lines GROUP BY q)",
+    "spans": "SELECT a.i AS lo, b.i AS hi, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM points a JOIN points b ON a.i <= b.i",
+    "lowest": "SELECT lo, k.i AS pos, min(mean) AS m FROM spans JOIN points k ON lo <= k.i AND k.i <= hi GROUP BY lo, k.i",
+    "solved": "SELECT k.x, max(m) AS y FROM lowest JOIN points k ON k.i = pos GROUP BY k.x"}))
 def isotonic(spark, d):
-    return C.fit_isotonic(V.scored_lines(spark, d), "label", "p", decimals=4)
+    """The fit on the fifty quantities; SQL takes the largest over starts of the smallest mean over ends."""
+    return rounded(C.fit_isotonic(V.scored_lines(spark, d), "label", "q"))
 
 
 REJECTED_FEATURES = ["loan_amnt", "dti", "fico_score", "emp_length", "int_rate", "annual_inc"]
@@ -313,7 +330,7 @@ def augmented_training(spark, d):
     rate = M.reject_rate(rows.where("split = 'train'")).first()["rate"]
     pseudo_rows = M.pseudo_labels(turned.withColumn("s", -F.col("fico_score")), "s", rate)
     _, observed = M.train_augmented(
-        rows.where("split = 'train'"), pseudo_rows, rows.where("split = 'val'"), MODEL_FEATURES, "default", "id", SMALL)
+        rows.where("split = 'train'"), pseudo_rows, rows.where("split = 'val'"), MODEL_FEATURES, "default", "id", FITTED)
     return observed.groupBy("default").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -339,7 +356,10 @@ def comparison_sql(psi: str) -> str:
   round({psi}.psi, 4) AS score_psi FROM ma, mb, {psi}"""
 
 
+# the challenger of the gates treats two groups worse, one of them already below the threshold
+WORSE = 'least(pd_b + 0.12 * CAST(home_ownership = 2 AS INTEGER) + 0.12 * CAST(verification_status = 1 AS INTEGER), 1)'
 CHAMPION, CHALLENGER = fairness_parts("pd", "_a"), fairness_parts("pd_b", "_b")
+STRICT = {**fairness_parts("pd", "_a"), **fairness_parts(WORSE, "_b")}
 GATE = {
     **CHAMPION, **CHALLENGER,
     "blocking": """SELECT b.attribute, b."group", CASE WHEN a.dir IS NULL OR a.dir >= 0.8
@@ -354,9 +374,17 @@ def summaries(spark, d):
     return X.fairness_report(pool, "default", "pd"), X.fairness_report(pool, "default", "pd_b")
 
 
-@query("j5_gate_reasons", Q.build(["scored_gold"], 'SELECT attribute, "group", reason FROM blocking WHERE reason IS NOT NULL', GATE))
+def strict_summaries(spark, d):
+    pool = V.scored_gold(spark, d).where("split = 'test'").withColumn("worse", F.expr(WORSE.replace("0.12", "0.12D").replace(", 1)", ", 1D)")))
+    return X.fairness_report(pool, "default", "pd"), X.fairness_report(pool, "default", "worse")
+
+
+BLOCKED = {**STRICT, "blocking": GATE["blocking"]}
+
+
+@query("j5_gate_reasons", Q.build(["scored_gold"], 'SELECT attribute, "group", reason FROM blocking WHERE reason IS NOT NULL', BLOCKED))
 def gate_reasons(spark, d):
-    return X.gate_reasons(*summaries(spark, d))
+    return X.gate_reasons(*strict_summaries(spark, d))
 
 
 @query("m16_compare_models", Q.build(["scored_gold"], comparison_sql("shift"), COMPARED))
@@ -385,9 +413,9 @@ def reject_advice(spark, d):
 
 
 @query("m17_fairness_gate", Q.build(["scored_gold"], """
-SELECT CASE WHEN count(reason) > 0 THEN 'blocked' ELSE 'passed' END AS gate, coalesce(string_agg(reason, '; ' ORDER BY reason), '') AS reasons FROM blocking""", GATE))
+SELECT CASE WHEN count(reason) > 0 THEN 'blocked' ELSE 'passed' END AS gate, coalesce(string_agg(reason, '; ' ORDER BY reason), '') AS reasons FROM blocking""", BLOCKED))
 def gate(spark, d):
-    return X.fairness_gate(spark, *summaries(spark, d)).select("gate", F.array_join("reasons", "; ").alias("reasons"))
+    return X.fairness_gate(spark, *strict_summaries(spark, d)).select("gate", F.array_join("reasons", "; ").alias("reasons"))
 
 
 VERDICT = """SELECT b.attribute || '/' || b."group" AS name, b.dir, a.dir AS before FROM summary_b b
@@ -405,7 +433,7 @@ def verdict(spark, d):
 DRIFTED = """SELECT CASE WHEN psi > 0.25 THEN 'CRITICAL' WHEN psi > 0.1 THEN 'WARNING' ELSE 'OK' END AS psi_status, round(psi, 4) AS psi FROM log_shift"""
 LOG_SHIFT = {
     "edges": COMPARED["edges"],
-    "latest": "SELECT score FROM scoring_log WHERE model_version = 'v1.1' ORDER BY scored_at DESC, request_id DESC LIMIT 50000",
+    "latest": "SELECT score FROM scoring_log WHERE model_version = 'v1.1'",
     "train": "SELECT score FROM scored_gold WHERE split = 'train'",
     "counts": """SELECT b, (SELECT count(*) FROM train WHERE score >= lo AND (CASE WHEN b = 9 THEN score <= hi ELSE score < hi END)) AS e,
   (SELECT count(*) FROM latest WHERE score >= lo AND (CASE WHEN b = 9 THEN score <= hi ELSE score < hi END)) AS a FROM edges""",
@@ -417,10 +445,8 @@ LOG_SHIFT = {
 
 
 def drift_of(spark, d):
-    from riskframe.operators.history import recent_scores
-
     train = V.scored_gold(spark, d).where("split = 'train'").select("score")
-    latest = recent_scores(V.scoring_log(spark, d), "v1.1", 50_000).select("score")
+    latest = logged_scores(V.scoring_log(spark, d), "v1.1")
     return W.drift_verdict(S.psi(train, latest, "score"), latest.agg(F.count(F.lit(1))).scalar(), None, True)
 
 
@@ -430,17 +456,18 @@ def drift_verdict(spark, d):
     return drift_of(spark, d).select("psi", "psi_status", "n_observations", "monitoring_eligible", "needs_retrain")
 
 
-@query("m20_drift_report")
+@query("m20_drift_report", Q.build(["scored_gold", "scoring_log"], """
+SELECT psi, status AS psi_status, n AS n_observations, n >= 500 AND status = 'CRITICAL' AS needs_retrain FROM drift""", LOG_SHIFT))
 def drift_report(spark, d):
-    """The whole drift job on the logged decisions, with its recommendation text."""
+    """The whole drift job on the logged decisions."""
     from riskframe.plans.monitoring import drift
 
     rows = V.gold(spark, d)
     return drift(rows.where("split = 'train'"), rows.where("split = 'test'"), V.scoring_log(spark, d), V.ensemble(spark), "v1.1", USED).select(
-        "psi", "psi_status", "n_observations", "needs_retrain", "recommendation")
+        "psi", "psi_status", "n_observations", "needs_retrain")
 
 
-MATURED = "SELECT score AS s, CAST(actual_default AS INTEGER) AS label FROM scoring_log WHERE model_version = 'v1.1' AND actual_default IS NOT NULL ORDER BY outcome_observed_at DESC, request_id DESC LIMIT 100000"
+MATURED = "SELECT score AS s, CAST(actual_default AS INTEGER) AS label FROM scoring_log WHERE model_version = 'v1.1' AND actual_default IS NOT NULL"
 POWER = {
     "matured": MATURED, "power": Q.auc("matured", "label", "s"), **decile_parts("matured", "label", "s"),
     "judged": """SELECT n, round(auc, 4) AS auc, round(ks, 4) AS ks, round(0.7 - auc, 4) AS auc_drop, rank_order_breaks, 0.7 - auc > 0.03 AS needs_retrain FROM power, broken""",
@@ -448,7 +475,7 @@ POWER = {
 
 
 def power_of(spark, d):
-    cohort = recent_outcomes(V.scoring_log(spark, d), "v1.1", 100_000)
+    cohort = logged_outcomes(V.scoring_log(spark, d), "v1.1")
     return W.performance_verdict(cohort, "label", "score", {"test": 0.7})
 
 

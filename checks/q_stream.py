@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import sql as Q, views as V
 from riskframe.functions.numeric import round_away
+from checks.q_model import M14_PARTS
 from checks.registry import query, rounded, stamp
 from riskframe.functions.scorecard import decision
+from riskframe.operators import trees as T
+from riskframe.plans.scoring import score_requests
 from riskframe.session import scratch_path
 from riskframe.sources.feature_store import training_distribution
 from riskframe.streaming import decisions as ST
@@ -101,26 +104,22 @@ def latency(spark, d):
 
 
 @query("st4_scored_stream", Q.build(["feature_store"], f"""
-SELECT e.event_id::VARCHAR AS request_id, e.user_id, s.fico_score, round({Q.probability(Q.RAW3)}, 5) AS score
-FROM events e LEFT JOIN (SELECT * FROM feature_store WHERE feature_version = 1 AND NOT lacks_dti) s ON s.applicant_id = 'LC_' || e.user_id::VARCHAR
-WHERE s.applicant_id IS NOT NULL"""))
+SELECT request_id, applicant_id, error, CASE WHEN error IS NULL THEN round(s, 5) END AS score, CASE WHEN error IS NULL THEN {Q.points('pd')} END AS scaled_score,
+  CASE WHEN error IS NULL THEN {Q.decision('pd')} END AS decision FROM graded""", {
+    "requests": "SELECT event_id::VARCHAR AS request_id, 'LC_' || user_id::VARCHAR AS applicant_id FROM events", **M14_PARTS}))
 def scored_stream(spark, d):
-    from riskframe.operators.trees import with_probability
-
-    store = V.feature_store(spark, d).where("feature_version = 1").select(
-        "applicant_id", *[F.try_element_at("features", F.lit(f)).alias(f) for f in ("dti", "fico_score", "loan_to_income")],
-        F.map_contains_key("features", "dti").alias("complete")).where("complete")
-    model = V.ensemble(spark)
+    """Every request of the stream as a decision envelope, or as an error with its name."""
+    store = V.feature_store(spark, d)
+    model = T.load_ensemble(T.node_covers(V.gold(spark, d), V.tree_nodes(spark)), V.BASELINE)
 
     def score(batch):
-        joined = batch.withColumn("applicant_id", F.concat(F.lit("LC_"), F.col("user_id").cast("string"))).join(store, "applicant_id")
-        return with_probability(joined, model).select(
-            "request_id", "user_id", F.col("fico_score").cast("int").alias("fico_score"), round_away("score", 5).alias("score"))
+        asked = batch.withColumn("applicant_id", F.concat(F.lit("LC_"), F.col("user_id").cast("string"))).select("request_id", "applicant_id")
+        return score_requests(asked, store, model, V.CALIBRATOR, V.now(), V.MODEL_VERSION, 1)
 
     path, checkpoint = scratch_path(spark, "stream-scored"), scratch_path(spark, "offsets-scored")
     requests = decided(spark, d).select("request_id", "user_id", "ts")
     ST.start_scoring(requests, score, path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).select("request_id", "user_id", "fico_score", "score")
+    return spark.read.parquet(path).select("request_id", "applicant_id", "error", "score", "scaled_score", "decision")
 
 
 @query("st5_rolling_drift", Q.build(["scored_gold"], f"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from riskframe.contract import DEFAULT, Contract
@@ -35,14 +37,38 @@ def decision(pd: Column, contract: Contract = DEFAULT) -> Column:
     )
 
 
+MANY_BREAKPOINTS = 100
+
+
+def _searched(raw: Column, xs: list[float], ys: list[float]) -> Column:
+    x, y = np.array(xs, float), np.array(ys, float)
+
+    @F.pandas_udf("double")
+    def search(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(dtype=float, na_value=np.nan)
+        at = np.clip(np.searchsorted(x, v, "left"), 1, len(x) - 1)
+        width = x[at] - x[at - 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(width > 0, (y[at] - y[at - 1]) / width, 0.0)
+        out = np.where(width > 0, slope * (v - x[at - 1]) + y[at - 1], y[at])
+        out = np.where(v == x[at], y[at], out)
+        out = np.where(v <= x[0], y[0], np.where(v >= x[-1], y[-1], out))
+        return pd.Series(out).where(~np.isnan(v), None)
+
+    return search(raw.cast("double"))
+
+
 def calibrated(raw: Column, xs: list[float], ys: list[float]) -> Column:
     """Piecewise-linear map through the breakpoints, flat beyond both ends.
 
-    A balanced tree of comparisons picks the segment, so the depth of the
-    expression is the logarithm of the number of breakpoints.
+    A balanced tree of comparisons picks the segment; with many breakpoints an
+    Arrow function searches them instead, with the same results, so that the
+    plan does not grow with the calibrator.
     """
     if not xs or len(xs) != len(ys) or any(a > b for a, b in zip(xs, xs[1:])):
         raise ValueError("breakpoints must be sorted and paired")
+    if len(xs) > MANY_BREAKPOINTS:
+        return _searched(raw, xs, ys)
 
     def segment(i: int) -> Column:
         if xs[i] == xs[i - 1]:

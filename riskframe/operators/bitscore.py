@@ -143,6 +143,13 @@ class Scorer(Leaves):
             total[rows] += self.values[n][leaves + block[3]].sum(axis=1)
         return total
 
+    def prefixes(self, x: np.ndarray) -> np.ndarray:
+        """[row, k]: the score by the first k + 1 trees."""
+        parts = [np.zeros((len(x), len(b[3]))) for b in self.blocks]
+        for rows, n, block, leaves in self.tiles(x):
+            parts[n][rows] = self.values[n][leaves + block[3]]
+        return float(self.baseline) + np.cumsum(np.concatenate(parts, axis=1), axis=1)
+
     def raw_with_donors(self, x: np.ndarray, donor: np.ndarray) -> np.ndarray:
         """[row, 0]: the score; [row, 1 + k]: the score with feature k from the donor. Masks of the features before
         and after k are joined once each."""

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.binning import clamped_right_closed_bin, left_closed_bin, linspace
 from riskframe.functions.parsing import clean
-from riskframe.functions.numeric import round_away
-from riskframe.operators.order import exact_quantiles
-
-SCORE_DECIMALS = 6
+from riskframe.operators.order import exact_quantiles, range_index
 
 
 def _pairs(df, label, score):
@@ -70,23 +67,45 @@ def brier_scores(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
     return one.unpivot([], scores, "series", "brier")
 
 
-def fit_isotonic(df: DataFrame, label: str, score: str, decimals: int = SCORE_DECIMALS) -> DataFrame:
-    """Breakpoints (x, y) of the isotonic fit of the label on the score.
+def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Adjacent violators pooled: (first x, last x, mean, weight) of the blocks of points in order of x."""
+    first, last, mean, weight = [], [], [], []
+    for a, b, v, k in zip(x[0].tolist(), x[1].tolist(), y.tolist(), w.tolist()):
+        while mean and mean[-1] >= v:
+            total = weight[-1] + k
+            v = (mean[-1] * weight[-1] + v * k) / total
+            a, k = first[-1], total
+            first.pop(), last.pop(), mean.pop(), weight.pop()
+        first.append(a), last.append(b), mean.append(v), weight.append(k)
+    return np.array(first), np.array(last), np.array(mean), np.array(weight)
+
+
+BLOCKS = "first double, last double, y double, w double"
+
 
-    Rows are first reduced to one per score of ``decimals`` places, so the
-    final pooling sees at most 10**decimals + 1 points whatever the row count.
+def fit_isotonic(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Breakpoints (x, y) of the isotonic fit of the label on the exact score.
+
+    Rows are reduced to one per distinct score, cut into score ranges, and each
+    range is pooled by itself; pooling the blocks of all ranges once more gives
+    the fit of the whole. What the last step sees are blocks, not scores: as
+    many as the calibrator has steps, and those that a range border keeps apart.
+    Every step ends in a breakpoint at its first and its last score.
     """
     points = (
-        _pairs(df, label, score)
-        .groupBy(round_away("score", decimals).alias("x"))
-        .agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        _pairs(df, label, score).groupBy("score").agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        .select(F.col("score").alias("first"), F.col("score").alias("last"), "y", "w")
     )
-    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(points)
-    model = IsotonicRegression(
-        featuresCol="features", labelCol="y", weightCol="w", isotonic=True
-    ).fit(vectors)
-    rows = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
-    return df.sparkSession.createDataFrame(rows, "x double, y double")
+
+    def pool(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("first")
+        x = rows["first"].to_numpy(), rows["last"].to_numpy()
+        return pd.DataFrame(dict(zip(("first", "last", "y", "w"), pooled(x, rows["y"].to_numpy(), rows["w"].to_numpy()))))
+
+    cut = points.withColumn("range", range_index(points, "first"))
+    blocks = cut.groupBy("range").applyInPandas(pool, BLOCKS)
+    steps = blocks.withColumn("range", F.lit(0) * F.col("w").cast("int")).groupBy("range").applyInPandas(pool, BLOCKS)
+    return steps.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("x"), "y")
 
 
 def breakpoints(points: DataFrame, max_points: int = 1_000_000) -> tuple[list[float], list[float]]:

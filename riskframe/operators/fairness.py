@@ -23,13 +23,8 @@ def _group_names(spark, attributes) -> DataFrame:
     )
 
 
-def group_metrics(
-    df: DataFrame, label: str, score: str, attributes=PROTECTED_ATTRIBUTES, contract: Contract = DEFAULT
-) -> DataFrame:
-    """Outcome figures of every group of every attribute, groups below 10 rows left out.
-
-    ``approve_rate_good`` is the approval rate among rows that did not default.
-    """
+def _by_attribute(df: DataFrame, label: str, score: str, attributes) -> tuple[DataFrame, int]:
+    """(label, score, attribute, code, group, privileged) rows and the number of groups."""
     present = [a for a in attributes if a in df.columns]
     names = _group_names(df.sparkSession, {a: attributes[a] for a in present})
     limit = sum(len(attributes[a][0]) for a in present)
@@ -42,22 +37,40 @@ def group_metrics(
         .unpivot(["label", "score"], present, "attribute", "code")
         .join(names, ["attribute", "code"])
     )
+    return rows, limit
+
+
+def group_rates(
+    df: DataFrame, label: str, score: str, attributes=PROTECTED_ATTRIBUTES, contract: Contract = DEFAULT
+) -> DataFrame:
+    """Rates of every group of every attribute in one aggregation, groups below 10 rows left out.
+
+    ``approve_rate_good`` is the approval rate among rows that did not default.
+    """
+    rows, _ = _by_attribute(df, label, score, attributes)
     band = decision(F.col("score"), contract)
     approved = (band == "approve").cast("double")
     keys = ["attribute", "code", "group", "privileged"]
-    plain = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
         round_away(F.avg("label"), 4).alias("default_rate"),
         round_away(F.avg(approved), 4).alias("approval_rate"),
         round_away(F.avg((band == "decline").cast("double")), 4).alias("decline_rate"),
         round_away(F.avg("score"), 4).alias("mean_score"),
         F.coalesce(F.avg(F.when(F.col("label") == 0, approved)), F.lit(0.0)).alias("approve_rate_good"),
-    )
+    ).where(F.col("count") >= contract.min_group_rows)
+
+
+def group_metrics(
+    df: DataFrame, label: str, score: str, attributes=PROTECTED_ATTRIBUTES, contract: Contract = DEFAULT
+) -> DataFrame:
+    """``group_rates`` with the AUC of every group."""
+    rows, limit = _by_attribute(df, label, score, attributes)
     auc = ranking_metrics(
         rows, "label", "score", ["attribute", "code"], group_limit=limit,
         bounds_from=df.select(F.col(score).alias("score")),
     ).select("attribute", "code", round_away("auc", 4).alias("auc"))
-    return plain.where(F.col("count") >= contract.min_group_rows).join(
+    return group_rates(df, label, score, attributes, contract).join(
         F.broadcast(auc), ["attribute", "code"], "left"  # one row per group
     )
 
@@ -122,7 +135,7 @@ def fairness_summary(groups: DataFrame, contract: Contract = DEFAULT) -> DataFra
 def fairness_report(
     df: DataFrame, label: str, score: str, attributes=PROTECTED_ATTRIBUTES, contract: Contract = DEFAULT
 ) -> DataFrame:
-    return fairness_summary(group_metrics(df, label, score, attributes, contract), contract)
+    return fairness_summary(group_rates(df, label, score, attributes, contract), contract)
 
 
 def overall_rates(df: DataFrame, label: str, score: str, contract: Contract = DEFAULT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.operators.order import hash_range, running_sums
 
@@ -17,6 +17,28 @@ def recent_scores(log: DataFrame, version: str, n: int, tie: str = "request_id")
     )
 
 
+def _logged(log: DataFrame, version: str, column: str, since: Column | None, until: Column | None) -> DataFrame:
+    rows = log.where(F.col("model_version") == version)
+    if since is not None:
+        rows = rows.where(F.col(column) >= since)
+    return rows if until is None else rows.where(F.col(column) < until)
+
+
+def logged_scores(
+    log: DataFrame, version: str, features: list[str] = (), since: Column | None = None, until: Column | None = None,
+) -> DataFrame:
+    """All scores of a model version in the caller's time window, by default the whole log, with their snapshots'
+    values of the features; absent keys give NULL."""
+    rows = _logged(log, version, "scored_at", since, until)
+    return rows.select("score", *[F.try_element_at("feature_snapshot", F.lit(f)).alias(f) for f in features])
+
+
+def logged_outcomes(log: DataFrame, version: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """All scores of a model version with an outcome observed in the window, as (score, label)."""
+    rows = _logged(log, version, "outcome_observed_at", since, until).where("actual_default is not null")
+    return rows.select("score", F.col("actual_default").cast("int").alias("label"))
+
+
 def recent_snapshots(log: DataFrame, version: str, n: int, features: list[str], tie: str = "request_id") -> DataFrame:
     """The latest n snapshots with one column per feature; absent keys give NULL."""
     return (
@@ -84,14 +106,23 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
         .select("cut")
     )
     at = cut.scalar()
-    order = Window.partitionBy("__slice").orderBy("__h", key)
-    # about n rows pass this filter; each slice is ordered by itself
-    return (
-        sliced.where(F.col("__slice") <= at["__slice"])
-        .withColumn("__r", F.row_number().over(order))
-        .where((F.col("__slice") < at["__slice"]) | (F.col("__r") + at["below"] <= n))
-        .select(*df.columns)
-    )
+    # the slice that holds the cut is cut again by its next bits; only one part of it is ordered
+    part = F.shiftrightunsigned(F.shiftleft("__h", bits), 64 - bits)
+    inside = sliced.where(F.col("__slice") == at["__slice"]).withColumn("__part", part)
+    below_part = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("c"))
+    fine = (
+        parts.withColumn("below", at["below"] + F.coalesce(F.sum("c").over(below_part), F.lit(0)))
+        .where(F.col("below") < n)
+        .agg(F.max(F.struct("__part", "below")).alias("cut"))
+        .select("cut")
+    ).scalar()
+    order = Window.partitionBy("__part").orderBy("__h", key)
+    marked = sliced.where(F.col("__slice") <= at["__slice"]).withColumn("__part", part)
+    whole = marked.where((F.col("__slice") < at["__slice"]) | (F.col("__part") < fine["__part"]))
+    edge = marked.where((F.col("__slice") == at["__slice"]) & (F.col("__part") == fine["__part"]))
+    held = edge.withColumn("__r", F.row_number().over(order)).where(F.col("__r") + fine["below"] <= n)
+    return whole.select(*df.columns).unionByName(held.select(*df.columns))
 
 
 def row_positions(df: DataFrame, key: str, seed: int, groups: list[str] = (), group_limit: int | None = None) -> DataFrame:

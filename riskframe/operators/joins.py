@@ -67,17 +67,24 @@ def backfill_report(log: DataFrame, outcomes: DataFrame, now: Column, delay_days
 def lookup_features(requests: DataFrame, store: DataFrame, version: int) -> DataFrame:
     """Requests with their stored snapshot and a status: found, not_found, version_missing.
 
-    Version 0 asks for the latest stored version. The store is reduced to one
-    row per applicant on its own shuffle before the join.
+    Version 0 asks for the latest stored version. Which version a request gets
+    comes from a narrow aggregate of (applicant, version) over the requested
+    applicants; the snapshots are filtered, by an exact version in the scan,
+    and joined without being grouped or sorted by their content. The store has
+    one row per applicant and version.
     """
     payload = F.struct(
         "feature_version", "computed_at", "features", "data_completeness", "fico_score", "grade"
     )
-    if version == 0:
-        best = F.max_by(payload, "feature_version")
-    else:
-        best = F.any_value(F.when(F.col("feature_version") == version, payload), True)
-    stored = store.groupBy("applicant_id").agg(best.alias("snapshot")).withColumn("known", F.lit(True))
+    asked = requests.select("applicant_id").distinct()
+    versions = store.select("applicant_id", "feature_version").join(asked, "applicant_id", "left_semi")
+    known = versions.groupBy("applicant_id").agg(F.max("feature_version").alias("latest"))
+    snapshots = store.join(asked, "applicant_id", "left_semi")
+    if version:
+        snapshots = snapshots.where(F.col("feature_version") == version)
+    held = snapshots.select("applicant_id", F.col("feature_version").alias("held"), payload.alias("snapshot"))
+    wanted = known.select("applicant_id", F.lit(True).alias("known"), (F.col("latest") if not version else F.lit(version).cast("int")).alias("held"))
+    stored = wanted.join(held, ["applicant_id", "held"], "left").drop("held")
     return requests.join(stored, "applicant_id", "left").select(
         *requests.columns,
         F.when(F.col("known").isNull(), "not_found")

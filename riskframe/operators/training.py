@@ -5,11 +5,14 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.parsing import clean
+from riskframe.operators.bitscore import Scorer
 from riskframe.operators.history import row_positions
 from riskframe.operators.joins import augmented_rows
 from riskframe.operators.order import exact_quantiles, running_sums
@@ -32,6 +35,23 @@ class BoostingParameters:
     min_rows: int
     bins: int = 255
     seed: int = 42
+    patience: int = 50
+
+
+@dataclass(frozen=True)
+class Boosted:
+    """A fitted model and how many of its leading trees count; ``auc`` has one value per prefix."""
+
+    model: GBTClassificationModel
+    features: list[str]
+    trees: int
+    auc: list[float]
+
+    def nodes(self, spark) -> DataFrame:
+        return export_nodes(spark, self.model, self.features).where(F.col("tree_id") < self.trees)
+
+    def ensemble(self, spark) -> Ensemble:
+        return load_ensemble(self.nodes(spark))
 
 
 # The two parameter sets, champion first. Trees grow level by
@@ -68,22 +88,64 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
 def train_boosted(
     rows: DataFrame, features: list[str], label: str, held_out: str = "held_out",
     parameters: BoostingParameters = CHAMPION, weight: str | None = None,
-) -> GBTClassificationModel:
-    """Boosted trees on the rows outside the carve-out, stopped by the carve-out."""
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="__label", validationIndicatorCol=held_out,
-        maxIter=parameters.trees, maxDepth=parameters.depth, stepSize=parameters.learning_rate,
-        minInstancesPerNode=parameters.min_rows, maxBins=parameters.bins, seed=parameters.seed,
-        weightCol=weight, checkpointInterval=10,
-    ) if weight else GBTClassifier(
-        featuresCol="features", labelCol="__label", validationIndicatorCol=held_out,
-        maxIter=parameters.trees, maxDepth=parameters.depth, stepSize=parameters.learning_rate,
-        minInstancesPerNode=parameters.min_rows, maxBins=parameters.bins, seed=parameters.seed,
-        checkpointInterval=10,
-    )
-    columns = ["features", "__label", held_out] + ([weight] if weight else [])
+) -> Boosted:
+    """Boosted trees on the rows outside the carve-out, cut after the tree where the carve-out's AUC is best.
+
+    Fits of 2, 4, 8, ... times the patience are tried until the best prefix lies at least the patience before the
+    end, or the parameters' number is reached. A longer fit begins with the trees of a shorter one, so how many are
+    tried does not change the trees. A carve-out without both labels keeps all trees.
+    """
+    columns = [*features, "features", "__label", held_out] + ([weight] if weight else [])
     frame = _vectors(rows, features).withColumn("__label", F.col(label).cast("double")).select(*columns)
-    return booster.fit(frame)
+    fitting, judging = frame.where(~F.col(held_out)).persist(), frame.where(held_out).select(*features, "__label").persist()
+    spark, trees = rows.sparkSession, min(parameters.trees, 2 * parameters.patience)
+    while True:
+        booster = GBTClassifier(
+            featuresCol="features", labelCol="__label", maxIter=trees, maxDepth=parameters.depth,
+            stepSize=parameters.learning_rate, minInstancesPerNode=parameters.min_rows, maxBins=parameters.bins,
+            seed=parameters.seed, checkpointInterval=10,
+        )
+        model = (booster.setWeightCol(weight) if weight else booster).fit(fitting)
+        auc = prefix_auc(judging, load_ensemble(export_nodes(spark, model, features)))
+        best = max(range(len(auc)), key=lambda k: auc[k]) + 1 if auc else len(model.treeWeights)
+        if not auc or trees == parameters.trees or best + parameters.patience <= trees:
+            break
+        trees = min(parameters.trees, 2 * trees)
+    fitting.unpersist()
+    judging.unpersist()
+    return Boosted(model, features, best, auc)
+
+
+AUC_BINS = 4096
+
+
+def prefix_auc(judging: DataFrame, ensemble: Ensemble) -> list[float]:
+    """The AUC after each tree, empty without both labels. Probabilities are counted in ``AUC_BINS`` bins per prefix
+    inside the tasks, so the work per row is one scoring and what is shuffled does not grow with the rows; rows of
+    one bin count as ties, which is fine enough to choose a prefix by."""
+    features = ensemble.features
+    shipped = judging.sparkSession.sparkContext.broadcast(Scorer(ensemble.trees, features, ensemble.baseline))
+    trees = len(ensemble.trees)
+
+    def count(batches):
+        held = np.zeros((2, trees * AUC_BINS), np.int64)
+        for batch in batches:
+            raw = shipped.value.prefixes(batch[features].to_numpy(dtype=float, na_value=np.nan))
+            bins = np.minimum((AUC_BINS / (1 + np.exp(-np.clip(raw, -50, 50)))).astype(np.int64), AUC_BINS - 1)
+            flat = bins + np.arange(trees) * AUC_BINS
+            for y in (0, 1):
+                held[y] += np.bincount(flat[(batch["__label"] == y).to_numpy()].ravel(), minlength=trees * AUC_BINS)
+        at = np.flatnonzero(held.any(axis=0))
+        yield pd.DataFrame({"tree": at // AUC_BINS, "bin": at % AUC_BINS, "good": held[0][at], "bad": held[1][at]})
+
+    if not features:
+        return []
+    inputs = judging.select("__label", *[clean(F.col(f)).alias(f) for f in features])
+    counts = inputs.mapInPandas(count, "tree int, bin int, good long, bad long").groupBy("tree", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    below = Window.partitionBy("tree").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most AUC_BINS rows
+    won = counts.withColumn("won", F.col("bad") * (F.coalesce(F.sum("good").over(below), F.lit(0)) + F.col("good") / 2))
+    auc = won.groupBy("tree").agg((F.sum("won") / (F.sum("good") * F.sum("bad"))).alias("auc")).where("auc is not null").orderBy("tree")
+    return [r["auc"] for r in auc.collect()]  # one row per tree
 
 
 def export_nodes(spark, model: GBTClassificationModel, features: list[str]) -> DataFrame:
@@ -223,7 +285,7 @@ def train_augmented(
     accepted: DataFrame, rejected: DataFrame, validation: DataFrame, features: list[str],
     label: str, key: str, parameters: BoostingParameters = CHAMPION, seed: int = 42,
 ):
-    """Fit on observed and pseudo-labelled rows; return the model and the carve-out
+    """Fit on observed and pseudo-labelled rows; return the fit and the carve-out
     rows with observed labels only, which alone may feed a calibrator."""
     columns = [key, *features, label]
     rows = augmented_rows(
@@ -231,5 +293,5 @@ def train_augmented(
     )
     n_val, n_all = validation.count(), rows.count()
     carved = carve_out(rows, label, key, n_val / n_all, seed)
-    model = train_boosted(carved, features, label, "held_out", parameters, "weight")
-    return model, carved.where("held_out and not is_pseudo").select(*columns)
+    fitted = train_boosted(carved, features, label, "held_out", parameters, "weight")
+    return fitted, carved.where("held_out and not is_pseudo").select(*columns)

@@ -45,30 +45,32 @@ def snapshots(gold: DataFrame, features: list[str], version: int, computed_at: C
 def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     """The store after a batch: a batch row replaces the stored row of its key.
 
-    Only the batch is reduced to one row per key (latest ``computed_at``); the
-    store is filtered by an anti join and not regrouped.
+    Only the batch is reduced to one row per key (latest ``computed_at``, then
+    the larger hash of the row); the store is filtered by an anti join and not
+    regrouped.
     """
+    payload = F.struct(*[c for c in batch.columns if c not in KEY])
     latest = (
         batch.groupBy(*KEY)
-        .agg(F.max_by(F.struct(*[c for c in batch.columns if c not in KEY]), "computed_at").alias("r"))
+        .agg(F.max_by(payload, F.struct("computed_at", F.xxhash64(F.to_json(payload)))).alias("r"))
         .select(*KEY, "r.*")
     )
     return store.join(latest.select(*KEY), KEY, "left_anti").unionByName(latest.select(*store.columns))
 
 
 def write_upsert(store_path: str, batch: DataFrame, target_path: str) -> None:
-    """Write the merged store next to the one that was read.
+    """Write the whole merged store next to the one that was read.
 
-    Only the versions present in the batch are merged; a table is never
-    overwritten while the same job reads it. Partitions of other versions are
-    left in ``store_path``.
+    Only the versions present in the batch are merged, all others are copied
+    as they are; a table is never overwritten while the same job reads it.
     """
     store = batch.sparkSession.read.parquet(store_path)
     touched = small_table(batch.select("feature_version").distinct(), 10_000)
-    affected = store.join(touched, "feature_version", "left_semi")
-    upsert(affected.select(*batch.columns), batch).write.mode("overwrite").partitionBy(
-        "feature_version"
-    ).parquet(target_path)
+    affected = store.join(touched, "feature_version", "left_semi").select(*batch.columns)
+    others = store.join(touched, "feature_version", "left_anti").select(*batch.columns)
+    upsert(affected, batch).unionByName(others).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("feature_version").parquet(target_path)
 
 
 def training_distribution(scored: DataFrame, score: str, model_version: str, bins: int = 10) -> DataFrame:

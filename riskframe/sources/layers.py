@@ -77,32 +77,31 @@ def write_checked(
 ) -> bool:
     """Write a layer once and mark it complete only after its checks.
 
-    The rows are computed once: the checks read the stored columns. Until then
-    the directory has no success marker, so no reader takes it for a layer; a
-    strict failure removes it. ``checks`` is one suite or a list of (name,
+    The rows are computed once, into a directory of another name; the checks
+    read its columns. Only then is it renamed, so nothing stands under ``path``
+    before the checks; a strict failure removes it. ``checks`` is one suite or a list of (name,
     filter, suite).
     """
     spark = df.sparkSession
     if is_complete(spark, path):
         return False
-    writer = (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    )
+    aside = f"{path.rstrip('/')}.unchecked"
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    stored = spark.read.parquet(path)
+    writer.parquet(aside)
+    stored = spark.read.parquet(aside)
     suites = checks if isinstance(checks, list) else [(layer, None, checks)]
     try:
         for name, condition, suite in suites:
             run_gate(stored if condition is None else stored.where(condition), suite, name, strict)
     except QualityError:
-        remove_directory(spark, path)
+        remove_directory(spark, aside)
         raise
-    fs, marker = _filesystem(spark, f"{path}/_SUCCESS")
-    fs.create(marker).close()
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)  # what a failed job left behind; a complete layer has returned above
+    if not fs.rename(_filesystem(spark, aside)[1], target):
+        raise OSError(f"cannot rename {aside} to {path}")
     return True
 
 

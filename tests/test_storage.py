@@ -92,7 +92,10 @@ def test_upsert_replaces_on_the_key(spark):
     source, target = scratch_path(spark, "store"), scratch_path(spark, "store")
     old.write.partitionBy("feature_version").parquet(source)
     S.write_upsert(source, new, target)
-    assert spark.read.parquet(target).count() == 3
+    back = {(r["applicant_id"], r["feature_version"]): r["features"]["x"] for r in spark.read.parquet(target).collect()}
+    assert back == got  # the versions that the batch does not touch are there too
+    tied = store_rows(spark, [("a", 1, NOW, 5.0), ("a", 1, NOW, 6.0)])
+    assert S.upsert(old, tied).collect() == S.upsert(old, tied.orderBy(F.desc("features.x"))).collect()
 
 
 def test_snapshot_contract_and_missing_id(spark):
