@@ -2,7 +2,7 @@
 
 A global order is never built in one task. Rows are first reduced to one per
 distinct value (map-side combined), then cut into value ranges whose bounds
-come from an approximate-quantile sketch. A running window inside each range
+come from approximate-quantile sketches of groups of input partitions. A running window inside each range
 plus the totals of the lower ranges gives exact running sums. The ranges only
 balance the work: any bounds give the same result. The bounds are constants of
 the plan, so a lost executor or a re-planned stage cuts the values alike. The
@@ -18,28 +18,37 @@ from riskframe.functions.literals import sql_double, sql_doubles
 RANGE = "__range"
 
 
-def range_count(df: DataFrame, n_ranges: int | None = None) -> int:
-    """How many ranges to cut: the shuffle width, within 16 and 4096."""
-    if n_ranges is None:
-        n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(4096, max(16, n_ranges))
+ROWS_PER_RANGE = 1_000_000
+SKETCH_GROUPS, SKETCH_POINTS = 64, 256
+
+
+def range_count(df: DataFrame, rows: int) -> int:
+    """How many ranges to cut: the shuffle width, more if a range would hold too many rows."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE)
 
 
 def range_index(df: DataFrame, value: str, n_ranges: int | None = None) -> Column:
     """Index of the value range of a numeric column, monotone in the value.
 
-    The bounds are read once (at most 4095 numbers) and become constants, so
-    every later evaluation cuts the values alike. Few bounds are compared one
-    by one in generated code, many are searched by halving.
+    The bounds are read once and become constants, so every later evaluation
+    cuts the values alike. Input partitions are sketched in groups, each group
+    by a task of its own; what is read is a fixed number of points per group.
+    Few bounds are compared one by one in generated code, many are searched by
+    halving.
     """
-    count = range_count(df, n_ranges)
-    probabilities = [i / count for i in range(1, count)]
-    bounds = df.select(
-        F.percentile_approx(
-            F.col(value).cast("double"), probabilities, max(1000, 20 * count)
-        ).alias("b")
-    ).first()["b"]
-    bounds = sorted(set(bounds or []))
+    points = [i / SKETCH_POINTS for i in range(1, SKETCH_POINTS)]
+    v = F.col(value).cast("double")
+    sketched = df.select(v.alias("v"), (F.spark_partition_id() % SKETCH_GROUPS).alias("g")).groupBy("g").agg(
+        F.percentile_approx("v", points, 20 * SKETCH_POINTS).alias("b"), F.count("v").alias("n")
+    ).where("n > 0").collect()
+    count = n_ranges or range_count(df, sum(r["n"] for r in sketched))
+    weighted = sorted((x, r["n"]) for r in sketched for x in r["b"])
+    step, passed, bounds = sum(n for _, n in weighted) / count, 0, []
+    for x, n in weighted:
+        passed += n
+        if passed >= step * (len(bounds) + 1) and len(bounds) < count - 1:
+            bounds += [x] * (int(min(count - 1, passed // step)) - len(bounds))
+    bounds = sorted(set(bounds))
     if not bounds:
         return F.lit(0)
     v = f"double(`{value}`)"
@@ -54,7 +63,7 @@ def range_index(df: DataFrame, value: str, n_ranges: int | None = None) -> Colum
 
 def hash_range(df: DataFrame, hashed: str, n_ranges: int | None = None) -> Column:
     """Range index of a 64-bit hash, monotone in the hash; hashes are spread evenly."""
-    bits = (range_count(df, n_ranges) - 1).bit_length()
+    bits = ((n_ranges or range_count(df, df.count())) - 1).bit_length()
     return F.shiftright(hashed, 64 - bits).cast("int")
 
 
