@@ -11,7 +11,7 @@ from riskframe.session import configure, scratch_path
 # the word rule of every operator here: white space is the six ASCII characters only
 BLANKS = b" \t\n\r\x0b\x0c"
 # rows of a batch that Python holds: texts may be long
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -24,7 +24,8 @@ from riskframe.llm.common import strings
 
 BLANK = "▁"
 NORMAL, BYTE = 1, 6  # kinds of pieces in the model file
-CACHE = 500_000  # distinct segments a task remembers before it starts anew
+CACHE = 200_000  # distinct segments a task remembers before it starts anew
+INDEXED = 1 << 18  # characters in one suffix array; a longer segment is one by itself
 START, NONE = -2, -3
 
 
@@ -77,7 +78,7 @@ class Vocabulary:
                     self.halves[i] = (self.id_of[last[0]], self.id_of[last[1]])
         self.rank_of = {i: self.rank[p] for p, i in self.id_of.items()}
         self.text_of = {i: p for p, i in self.id_of.items()}
-        self.follows: dict[int, bool] = {}
+        self.follows: dict[int, bool] = {}  # at most the square of the vocabulary; in practice a small part of it
         self._lay_out()
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -151,9 +152,16 @@ class Vocabulary:
                 out[k] = np.array([i for p in self.merged(s)[0] for i in self._ids(p)], np.int32)
             else:
                 plain.append(k)
-        if plain:
-            for k, ids in zip(plain, self._relaxed([segments[k] for k in plain])):
-                out[k] = ids
+        begin = 0
+        while begin < len(plain):  # a bounded number of characters at once: the edges take far more memory than the text
+            end, total = begin, 0
+            while end < len(plain) and (end == begin or total + len(segments[plain[end]]) <= INDEXED):
+                total += len(segments[plain[end]])
+                end += 1
+            chunk = plain[begin:end]
+            for k, ids in zip(chunk, self._relaxed([segments[k] for k in chunk])):
+                out[k] = ids.copy()
+            begin = end
         return out
 
     def _ids(self, piece: str) -> list[int]:
