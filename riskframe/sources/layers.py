@@ -6,18 +6,22 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from riskframe.functions.parsing import clean
 from riskframe.operators.quality import QualityError, run_gate
 
 
 def read_raw_csv(
     spark: SparkSession, path: str, columns: list[str], ingested_at: datetime,
-    partitions: int | None = None, multi_line: bool = True,
+    partitions: int | None = None, multi_line: bool | None = None,
 ) -> DataFrame:
     """All-text rows of (gzipped) CSV files with their lineage, blank rows dropped.
 
     A gzip file is read by one task; ``partitions`` spreads its rows for the
-    work that follows. NULL is the empty field.
+    work that follows. NULL is the empty field. Fields may hold line breaks if
+    ``multi_line`` says so, by default unless the path names one plain ``.csv``
+    file, which read that way could not be split.
     """
+    multi_line = not path.endswith(".csv") if multi_line is None else multi_line
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema)
@@ -37,14 +41,14 @@ def read_numeric(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     """The named columns of a Parquet table as doubles; the scan reads nothing else.
 
     Repeated names are read once, an unknown name is an error, flags become
-    0/1, missing stays NULL.
+    0/1, missing stays NULL and NaN becomes NULL.
     """
     table = spark.read.parquet(path)
     names = list(dict.fromkeys(columns))
     unknown = [c for c in names if c not in table.columns]
     if unknown:
         raise ValueError(f"columns not in {path}: {', '.join(unknown)}")
-    return table.select(*[F.col(c).cast("double").alias(c) for c in names])
+    return table.select(*[clean(F.col(c)).alias(c) for c in names])
 
 
 def _filesystem(spark: SparkSession, path: str):
