@@ -2,9 +2,9 @@
 
 Every text becomes its set of distinct five-word shingles. Many universal hash minima form its signature; bands of
 minima are bucket keys. Texts with equal sets are one class from the start. In a bucket no pairs are listed: every
-member is paired with the bucket's most connected member only (then, in a second round, with a pseudo-random one),
-and only members that their component does not yet cover are paired across components. A pair must pass the
-signature estimate and is confirmed on the full sets. Components come from alternating large-star and small-star
+member is paired with the bucket's most connected member only. Members of buckets that still hold several components
+lose those whose own shingles, held by no other of them, rule out every link; the rest meet again in longer bands, first with a pseudo-random member, then only across the components that remain. A
+pair must pass the signature estimate and is confirmed on the full sets. Components come from alternating large-star and small-star
 steps. Nothing but counts reaches the driver.
 """
 
@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskframe.llm.common import strings, stored, words_of
 
 WORDS = 5
 LEAST_PCT = 75
 BANDS, ROWS = 48, 5  # a pair at 0.75 is missed by all bands with probability 2.3e-6
+LONG_BANDS, LONG_ROWS = 128, 8  # of the second round: missed with probability 1.4e-6 at 0.75, a chance meeting is 0.8 % at 0.3
 SLACK = 0.14  # five deviations of the signature estimate at 0.75
 BROADCAST_IDS = 1_000_000  # ids of eight bytes; more are joined by shuffle
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -114,24 +115,43 @@ def _agreement(a: str, b: str):
     return share(a, b)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _long_bands(signatures: pa.Array) -> pa.Array:
+    """Keys of ``LONG_BANDS`` seeded choices of ``LONG_ROWS`` places of the signature."""
+    places = np.random.default_rng(20260202).integers(0, BANDS * ROWS, (LONG_BANDS, LONG_ROWS))
+    salt = np.arange(LONG_BANDS, dtype=np.uint64) * _PLACES[2]
+    out = []
+    for s in signatures.to_pylist():
+        picked = np.frombuffer(s, np.uint8)[places].astype(np.uint64)
+        key = salt.copy()
+        for k in range(LONG_ROWS):
+            key = _mixed(key + picked[:, k] + _PLACES[0])
+        out.append(key.view(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(c, members): the shingle sets of the documents with these ids."""
+    wanted = with_ids(docs.select(F.col(doc_id).alias("c"), F.col(text).cast("string").alias("text")), ids, "c")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t).view(np.int64) for t in strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["c", "members"])
+
+    return wanted.mapInArrow(sets, f"c {dict(ids.dtypes)['c']}, members array<long>")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) whose signatures agree well enough and whose full sets reach the threshold, as (a, b)."""
     marks = reps.select("c", "signature")
     near = (
         pairs.join(marks.select(F.col("c").alias("a"), F.col("signature").alias("sa")), "a")
         .join(marks.select(F.col("c").alias("b"), F.col("signature").alias("sb")), "b")
-        .filter(_agreement("sa", "sb") >= LEAST_PCT / 100 - SLACK).select("a", "b").distinct()
+        .filter(_agreement("sa", "sb") >= LEAST_PCT / 100 - SLACK).select("a", "b")
     )
     near = stored(near, "dedup-near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = with_ids(docs.select(F.col(doc_id).alias("c"), F.col(text).cast("string").alias("text")), ids, "c")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t).view(np.int64) for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["c", "members"])
-
-    members = stored(wanted.mapInArrow(sets, f"c {dict(near.dtypes)['a']}, members array<long>"), "dedup-sets")
+    members = stored(full_sets(docs, near.select(F.explode(F.array("a", "b")).alias("c")).distinct(), doc_id, text), "dedup-sets")
     both = near.join(members.select(F.col("c").alias("a"), F.col("members").alias("ma")), "a").join(
         members.select(F.col("c").alias("b"), F.col("members").alias("mb")), "b"
     )
@@ -164,6 +184,12 @@ def _alike_in_size(n: str, m: str):
     return 100 * F.least(n, m) >= LEAST_PCT * F.greatest(n, m)
 
 
+def _shared_enough(n: str, m: str, a: str, b: str):
+    """Whether sets of n and m shingles, of which a and b occur elsewhere at all, can reach the threshold."""
+    most = F.least(a, b)
+    return 100 * most >= LEAST_PCT * (F.col(n) + F.col(m) - most)
+
+
 def _pair(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -190,17 +216,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     involved = reps.join(degree.select("c"), "c", "left_semi").select("c", "signature")
     involved = stored(involved, "dedup-signatures")
 
-    def star(frame: DataFrame, order) -> DataFrame:
-        center = frame.groupBy("key").agg(F.max_by(F.struct("c", "n"), order).alias("center"))
-        paired = frame.join(center, "key").filter((F.col("c") != F.col("center.c")) & _alike_in_size("n", "center.n"))
+    def star(frame: DataFrame, order, possible=lambda: F.lit(True)) -> DataFrame:
+        center = frame.groupBy("key").agg(F.max_by(F.struct(*[c for c in frame.columns if c != "key"]), order).alias("center"))
+        paired = frame.join(center, "key").filter((F.col("c") != F.col("center.c")) & _alike_in_size("n", "center.n") & possible())
         return paired.select(*_pair("c", "center.c")).distinct()
 
     tried = stored(star(ranked, F.struct("degree", F.xxhash64("c"), "c")), "dedup-tried")
     edges = stored(confirmed(tried, involved, docs, doc_id, text), "dedup-links")
 
-    def uncovered(roots: DataFrame) -> DataFrame:
+    def uncovered(frame: DataFrame, roots: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one component, with their component."""
-        labelled = ranked.join(roots, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+        labelled = frame.join(roots, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
         return stored(labelled.join(mixed, "key", "left_semi"), "dedup-mixed")
 
@@ -208,13 +234,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return stored(edges.union(confirmed(tried, involved, docs, doc_id, text)), "dedup-links")
 
     roots = components(edges)
-    rest = uncovered(roots)
+    rest = uncovered(ranked, roots).select("c", "n").distinct()
     if not rest.isEmpty():
-        edges = grown(edges, star(rest, F.struct(F.xxhash64("c", "key"), "c")).join(tried, ["a", "b"], "left_anti"))
+        # a shingle that no other of these texts holds can only part its text from them: most such texts need no pair
+        held = full_sets(docs, rest.select("c").distinct(), doc_id, text).select("c", F.explode("members").alias("shingle"))
+        own = held.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c = d").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+        rest = rest.join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        rest = rest.filter(100 * F.col("common") >= LEAST_PCT * F.col("n"))
+        # texts that share no more than a passage met in a short band: longer bands of the same minima part them
+        longer = involved.join(rest, "c").select("c", "n", "common", F.explode(_long_bands("signature")).alias("key"))
+        rest = uncovered(stored(longer, "dedup-longer"), roots)
+        possible = lambda: _shared_enough("n", "center.n", "common", "center.common")
+        edges = grown(edges, star(rest, F.struct(F.xxhash64("c", "key"), "c"), possible).join(tried, ["a", "b"], "left_anti"))
         roots = components(edges)
-        rest = uncovered(roots)
-        other = rest.select("key", *[F.col(x).alias(f"{x}_") for x in ("c", "n", "comp")])
-        across = rest.join(other, "key").filter((F.col("comp") < F.col("comp_")) & _alike_in_size("n", "n_"))
+        rest = uncovered(rest.drop("comp"), roots)
+        other = rest.select("key", *[F.col(x).alias(f"{x}_") for x in ("c", "n", "common", "comp")])
+        across = rest.join(other, "key").filter(
+            (F.col("comp") < F.col("comp_")) & _alike_in_size("n", "n_") & _shared_enough("n", "n_", "common", "common_")
+        )
         edges = grown(edges, across.select(*_pair("c", "c_")).distinct())
         roots = components(edges)
 
