@@ -2,8 +2,8 @@
 
 A page is read into text nodes, each with the path of tags (and their classes) from the root. Per path the text
 length and the punctuation are aggregated over its nodes; both ratios are fused, smoothed along the page, and paths
-at or over a threshold are content. The container that holds the content paths' text is the article: all of its
-blocks are taken, short ones and headings too, without what is boilerplate by its tag, role, class or id.
+at or over a threshold are content, wherever they stand. With them go their whole blocks, the short blocks beside them
+in the same container and the headings; what is boilerplate by its tag, role, class or id is left out.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ NAMES = frozenset(
 )
 HEADER = frozenset("header head".split())
 ARTICLE = frozenset("article main".split())
+SECTIONS = frozenset("article main section div body html".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 
 TAG = re.compile(
@@ -57,7 +58,6 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 DEEPEST = 512
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.5  # of the deviation of the fused ratios over the nodes
-COVER = 0.7  # share of the content that the article's container holds
 
 
 def parts(name: str) -> set[str]:
@@ -182,24 +182,63 @@ def content_nodes(page: Page, kept: list[tuple[int, int, str]]) -> list[bool]:
     return [score[page.path[e]] >= limit for e, _, _ in kept]
 
 
-def article(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) -> int:
-    """The container of the content: the deepest element with most of its text, or the article around that."""
-    weight = [0.0] * len(page.tag)
-    for (element, _, text), good in zip(kept, content):
-        if good:
-            weight[element] += len(text.strip())
-    for e in range(len(page.tag) - 1, 0, -1):  # children stand after their parents
-        weight[page.parent[e]] += weight[e]
-    best = max((e for e in range(len(page.tag)) if weight[e] >= COVER * weight[0]), key=lambda e: e)
-    depth_of = best
-    while depth_of > 0 and (page.tag[depth_of] in HEADINGS or page.tag[depth_of] not in ("article", "main", "section", "div", "td", "body", "blockquote")):
-        depth_of = page.parent[depth_of]
-    up = depth_of
-    while up > 0:
-        if page.tag[up] in ARTICLE:
-            return up
-        up = page.parent[up]
-    return depth_of
+def containers(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) -> tuple[list[int], list[bool], list[bool]]:
+    """Per element: the deepest element around it with content, whether content blocks stand side by side in it, and
+    whether it lies in the lowest common ancestor of all content nodes or in the article around that."""
+    n = len(page.tag)
+    holds, direct = [0] * n, [False] * n
+    for (element, _, _), good in zip(kept, content):
+        if not good:
+            continue
+        holds[element] += 1
+        b = element
+        while b > 0 and page.tag[b] not in BLOCK:
+            b = page.parent[b]
+        e = b
+        while not direct[e]:
+            direct[e] = True
+            if e == 0 or page.tag[e] in SECTIONS or e != b and page.tag[e] in ("td", "th"):
+                break
+            e = page.parent[e]
+    for e in range(n - 1, 0, -1):  # children stand after their parents
+        holds[page.parent[e]] += holds[e]
+    lowest = max(e for e in range(n) if holds[e] == holds[0])
+    root = lowest
+    while root > 0 and page.tag[root] not in ARTICLE:
+        root = page.parent[root]
+    root = root or lowest
+    near, inside = [0] * n, [False] * n
+    for e in range(n):
+        near[e] = e if holds[e] or e == 0 else near[page.parent[e]]
+        inside[e] = e == root or e > 0 and inside[page.parent[e]]
+    return near, direct, inside
+
+
+def chosen(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) -> list[bool]:
+    """Which of the kept nodes are the text: content nodes, the rest of their blocks, blocks beside theirs in the same
+    container unless they are link lists outside an article, what an article has between content nodes, headings of the
+    article or directly before content, and the last h1 before it. What lies below the threshold elsewhere is left out."""
+    near, direct, inside = containers(page, kept, content)
+    listed = _link_lists(page, kept, near)
+    with_content = {block for (_, block, _), good in zip(kept, content) if good}
+    heads = [0] * len(page.tag)  # the heading around an element
+    for e in range(1, len(page.tag)):
+        heads[e] = e if page.tag[e] in HEADINGS else heads[page.parent[e]]
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    title = max((heads[e] for e, _, _ in kept[:first] if page.tag[heads[e]] == "h1"), default=0)
+    if any(page.tag[heads[e]] == "h1" for e, _, _ in kept[first:]) or any(inside[e] and page.tag[heads[e]] == "h1" for e, _, _ in kept):
+        title = 0
+    out, leads = [False] * len(kept), False
+    for i in range(len(kept) - 1, -1, -1):
+        (element, block, _), good = kept[i], content[i]
+        head = heads[element]
+        if not head:
+            leads = good
+        out[i] = (
+            good or block in with_content or first < i < last and page.in_article[element] or head > 0 and (inside[element] or leads or head == title)
+            or direct[near[element]] and (page.in_article[element] or not listed[element])
+        )
+    return out
 
 
 def main_text(source: str) -> str:
@@ -208,49 +247,31 @@ def main_text(source: str) -> str:
     kept = [n for n in page.nodes if not page.drop[n[0]] and not n[2].isspace()]
     if not kept:
         return ""
-    content = content_nodes(page, kept)
-    root = article(page, kept, content)
-    inside = [False] * len(page.tag)
-    inside[root] = True
-    for e in range(root + 1, len(page.tag)):
-        inside[e] = inside[page.parent[e]]
-    named = page.in_article[root]
-    listed = {} if named else _link_lists(page, kept, content, root)
+    taken = iter(chosen(page, kept, content_nodes(page, kept)))
     blocks: dict[int, list[str]] = {}
     for element, block, text in page.nodes:
-        if inside[element] and not page.drop[element] and not listed.get(element):
+        if not page.drop[element] and (text.isspace() or next(taken)):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(x).split()) for x in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
-def _link_lists(page: Page, kept, content, root: int) -> dict[int, bool]:
-    """Elements below children of an unnamed container that hold no content path and mostly link text."""
-    top: dict[int, int] = {}
-
-    def child(e: int) -> int:
-        trail = []
-        while e not in top and e > 0 and page.parent[e] != root:
-            trail.append(e)
-            e = page.parent[e]
-        found = top.get(e, e)
-        for t in trail:
-            top[t] = found
-        return found
-
+def _link_lists(page: Page, kept: list[tuple[int, int, str]], near: list[int]) -> list[bool]:
+    """Elements below a child without content of a container with content, where that child is mostly link text."""
+    top = [0] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        top[e] = 0 if near[e] == e else e if near[e] == page.parent[e] else top[page.parent[e]]
     linked: dict[int, int] = {}
     chars: dict[int, int] = {}
-    good: dict[int, int] = {}
-    for (element, _, text), is_content in zip(kept, content):
-        c = child(element)
+    for element, _, text in kept:
+        c = top[element]
         n, e = len(text.strip()), element
         while e > 0 and page.tag[e] != "a" and page.tag[e] not in BLOCK:
             e = page.parent[e]
         chars[c] = chars.get(c, 0) + n
         linked[c] = linked.get(c, 0) + (n if page.tag[e] == "a" else 0)
-        good[c] = good.get(c, 0) + is_content
-    dropped = {c for c in chars if 2 * linked[c] > chars[c] and page.tag[c] not in HEADINGS | {"p"}}
-    return {e: child(e) in dropped for e in {n[0] for n in page.nodes}}
+    dropped = {c for c in chars if c and 2 * linked[c] > chars[c] and page.tag[c] not in HEADINGS | {"p"}}
+    return [t in dropped for t in top]
 
 
 SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -203,6 +203,29 @@ def test_main_text_of_the_pages(llm, data):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+LONG_P = "<p>A long line of the text, with some marks; it goes on, and on, for a while.</p>"
+LONG_TEXT = "A long line of the text, with some marks; it goes on, and on, for a while."
+
+
+@pytest.mark.parametrize("body", [
+    f"<div class=part>{LONG_P * 3}</div><div class=part>{LONG_P}</div>",
+    f"<section>{LONG_P * 3}</section><section>{LONG_P}</section>",
+    f"<main><article>{LONG_P * 3}</article><article>{LONG_P}</article></main>",
+    f"<article>{LONG_P * 3}</article><article>{LONG_P}</article>",
+    f"<div class=lead>{LONG_P}</div><div class=text>{LONG_P * 3}</div>",
+])
+def test_main_text_keeps_all_parts(body):
+    page = f"<body><nav><a>x</a></nav><h1>Title</h1>{body}<div class=end>bye</div><footer>me</footer></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *[LONG_TEXT] * 4])
+
+
+def test_main_text_keeps_text_below_the_threshold_only_beside_or_between_content():
+    rows = "<table><tr><td>1<td>2</table>"
+    assert html_text.main_text(f"<article><h2>T</h2>{LONG_P * 3}{rows}<div><span>odd</span></div></article>") == "\n".join(["T", *[LONG_TEXT] * 3, "1", "2", "odd"])
+    assert html_text.main_text(f"<article><div>{LONG_P * 3}</div><div class=x><span>odd</span></div></article>") == "\n".join([LONG_TEXT] * 3)
+    assert html_text.main_text(f"<article><div>{LONG_P * 3}</div><div class=x><ul><li>a</ul></div>{LONG_P}</article>") == "\n".join([*[LONG_TEXT] * 3, "a", LONG_TEXT])
+
+
 def test_page_parser_is_linear():
     for hostile in ("<b>" * 20_000 + "</i>" * 20_000, "<p>" * 30_000, "<" * 30_000, "<div><span>" * 10_000 + "x", "&" * 30_000):
         html_text.main_text(hostile)
