@@ -3,7 +3,8 @@
 A page is read into text nodes, each with the path of tags (and their classes) from the root. Per path the text
 length and the punctuation are aggregated over its nodes; both ratios are fused, smoothed along the page, and paths
 at or over a threshold are content, wherever they stand. With them go their whole blocks, the short blocks beside them
-in the same container and the headings; what is boilerplate by its tag, role, class or id is left out.
+in the same container and the headings. What is boilerplate by its tag, role or hidden state is left out before; a class
+or id that names boilerplate only lowers the ratio of the paths in it, unless the element holds most of the text.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ NAMES = frozenset(
 HEADER = frozenset("header head".split())
 ARTICLE = frozenset("article main".split())
 SECTIONS = frozenset("article main section div body html".split())
+STATES = frozenset("no not non has with without".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 
 TAG = re.compile(
@@ -57,12 +59,20 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 DEEPEST = 512
 SMOOTH = (0.25, 0.5, 0.25)
+PENALTY = 0.1  # what a path in an element named as boilerplate keeps of its smoothed ratio
 THRESHOLD = 0.5  # of the deviation of the fused ratios over the nodes
 
 
-def parts(name: str) -> set[str]:
-    """The words of a class or id: mainMenu, main-menu and main_menu are main and menu."""
-    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+def parts(names: str) -> set[str]:
+    """The words of classes and ids: mainMenu, main-menu and main_menu are main and menu. What follows no, not, non, has,
+    with or without in one name says what the page's part has or lacks, not what it is, and is left out."""
+    out = set()
+    for name in names.split():
+        for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()):
+            if word in STATES:
+                break
+            out.add(word)
+    return out
 
 
 class Page:
@@ -70,7 +80,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.path, self.drop = ["#"], [-1], [0], [0]
-        self.in_article = [False]
+        self.in_article, self.named, self.main_named = [False], [False], [False]
         self.nodes: list[tuple[int, int, str]] = []  # element, block, text
         self.paths: dict[tuple[int, str], int] = {}
         self.stack, self.block = [0], 0
@@ -140,9 +150,9 @@ class Page:
             if values.get("role", "").lower() in ROLES or "hidden" in values or values.get("aria-hidden") == "true" or HIDDEN.search(values.get("style", "")):
                 drop = 1
         inside = self.in_article[parent] or name in ARTICLE
-        if self.drop[parent] == 1 or name in NOT_TEXT or name not in ("html", "body") and names & NAMES:
+        if self.drop[parent] == 1 or name in NOT_TEXT:
             drop = 1
-        elif not drop and (name == "header" or name not in HEADINGS and names & HEADER and not names & MAIN_NAMES and name not in ARTICLE):
+        elif not drop and name == "header":
             drop = 2 if inside else 1  # an article's own header keeps its headings
         elif not drop and self.drop[parent] == 2:
             drop = 0 if name in HEADINGS else 2
@@ -154,32 +164,65 @@ class Page:
         self.parent.append(parent)
         self.drop.append(drop)
         self.in_article.append(inside)
+        own = name not in ("html", "body") and name not in ARTICLE
+        self.named.append(own and bool(names & NAMES or name not in HEADINGS and names & HEADER and not names & MAIN_NAMES))
+        self.main_named.append(own and bool(names & MAIN_NAMES))
         key = (self.path[parent], label)
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
 
 
-def content_nodes(page: Page, kept: list[tuple[int, int, str]]) -> list[bool]:
-    """Which of the kept nodes lie on a path whose fused, smoothed ratio reaches the threshold."""
-    length: dict[int, int] = {}
-    marks: dict[int, int] = {}
-    count: dict[int, int] = {}
+def penalised(page: Page, kept: list[tuple[int, int, str]]) -> list[bool]:
+    """Per element: whether it lies in one whose class or id names boilerplate. A name does not count on an element that
+    holds most of the text: of the article and main elements, else of the parts named as content, else of the page."""
+    n = len(page.tag)
+    own = [0] * n
+    for element, _, text in kept:
+        own[element] += len(text.strip())
+
+    def flags(marked: list[bool]) -> tuple[int, list[bool]]:
+        held = [own[e] if marked[e] else 0 for e in range(n)]
+        for e in range(n - 1, 0, -1):
+            held[page.parent[e]] += held[e]
+        out = [False] * n
+        for e in range(1, n):
+            out[e] = out[page.parent[e]] or page.named[e] and 2 * held[e] <= held[0]
+        return held[0], out
+
+    below = [False] * n
+    for e in range(1, n):
+        below[e] = below[page.parent[e]] or page.main_named[e] and not page.named[e]
+    for marked in (page.in_article, below, [True] * n):
+        total, out = flags(marked)
+        if total:
+            return out
+    return [False] * n
+
+
+def content_nodes(page: Page, kept: list[tuple[int, int, str]], low: list[bool]) -> list[bool]:
+    """Which of the kept nodes lie on a path whose fused, smoothed ratio reaches the threshold. Paths in named
+    boilerplate (``low``) are paths of their own and count with a share of their ratio."""
+    path = {e: (page.path[e], low[e]) for e, _, _ in kept}
+    length: dict[tuple[int, bool], int] = {}
+    marks: dict[tuple[int, bool], int] = {}
+    count: dict[tuple[int, bool], int] = {}
     for element, _, text in kept:
-        p = page.path[element]
+        p = path[element]
         length[p] = length.get(p, 0) + len(text.strip())
         marks[p] = marks.get(p, 0) + len(PUNCTUATION.findall(text))
         count[p] = count.get(p, 0) + 1
     fused = {p: length[p] / count[p] * (1 + marks[p] / count[p]) for p in count}
-    raw = [math.log1p(fused[page.path[e]]) for e, _, _ in kept]
+    raw = [math.log1p(fused[path[e]]) for e, _, _ in kept]
     n = len(raw)
     smooth = [SMOOTH[0] * raw[max(0, i - 1)] + SMOOTH[1] * raw[i] + SMOOTH[2] * raw[min(n - 1, i + 1)] for i in range(n)]
-    total: dict[int, float] = {}
+    smooth = [s * PENALTY if low[e] else s for (e, _, _), s in zip(kept, smooth)]
+    total: dict[tuple[int, bool], float] = {}
     for (element, _, _), s in zip(kept, smooth):
-        total[page.path[element]] = total.get(page.path[element], 0.0) + s
+        total[path[element]] = total.get(path[element], 0.0) + s
     score = {p: total[p] / count[p] for p in total}
     mean = sum(smooth) / n
     deviation = math.sqrt(sum((s - mean) ** 2 for s in smooth) / n)
     limit = mean - THRESHOLD * deviation
-    return [score[page.path[e]] >= limit for e, _, _ in kept]
+    return [score[path[e]] >= limit for e, _, _ in kept]
 
 
 def containers(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) -> tuple[list[int], list[bool], list[bool]]:
@@ -214,10 +257,11 @@ def containers(page: Page, kept: list[tuple[int, int, str]], content: list[bool]
     return near, direct, inside
 
 
-def chosen(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) -> list[bool]:
+def chosen(page: Page, kept: list[tuple[int, int, str]], content: list[bool], low: list[bool]) -> list[bool]:
     """Which of the kept nodes are the text: content nodes, the rest of their blocks, blocks beside theirs in the same
     container unless they are link lists outside an article, what an article has between content nodes, headings of the
-    article or directly before content, and the last h1 before it. What lies below the threshold elsewhere is left out."""
+    article or directly before content, and the last h1 before it. What lies below the threshold elsewhere, or in named
+    boilerplate (``low``), is left out."""
     near, direct, inside = containers(page, kept, content)
     listed = _link_lists(page, kept, near)
     with_content = {block for (_, block, _), good in zip(kept, content) if good}
@@ -225,7 +269,7 @@ def chosen(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) ->
     for e in range(1, len(page.tag)):
         heads[e] = e if page.tag[e] in HEADINGS else heads[page.parent[e]]
     first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
-    title = max((heads[e] for e, _, _ in kept[:first] if page.tag[heads[e]] == "h1"), default=0)
+    title = max((heads[e] for e, _, _ in kept[:first] if page.tag[heads[e]] == "h1" and not low[e]), default=0)
     if any(page.tag[heads[e]] == "h1" for e, _, _ in kept[first:]) or any(inside[e] and page.tag[heads[e]] == "h1" for e, _, _ in kept):
         title = 0
     out, leads = [False] * len(kept), False
@@ -234,8 +278,8 @@ def chosen(page: Page, kept: list[tuple[int, int, str]], content: list[bool]) ->
         head = heads[element]
         if not head:
             leads = good
-        out[i] = (
-            good or block in with_content or first < i < last and page.in_article[element] or head > 0 and (inside[element] or leads or head == title)
+        out[i] = good or not low[element] and (
+            block in with_content or first < i < last and page.in_article[element] or head > 0 and (inside[element] or leads or head == title)
             or direct[near[element]] and (page.in_article[element] or not listed[element])
         )
     return out
@@ -247,7 +291,8 @@ def main_text(source: str) -> str:
     kept = [n for n in page.nodes if not page.drop[n[0]] and not n[2].isspace()]
     if not kept:
         return ""
-    taken = iter(chosen(page, kept, content_nodes(page, kept)))
+    low = penalised(page, kept)
+    taken = iter(chosen(page, kept, content_nodes(page, kept, low), low))
     blocks: dict[int, list[str]] = {}
     for element, block, text in page.nodes:
         if not page.drop[element] and (text.isspace() or next(taken)):

@@ -226,6 +226,21 @@ def test_main_text_keeps_text_below_the_threshold_only_beside_or_between_content
     assert html_text.main_text(f"<article><div>{LONG_P * 3}</div><div class=x><ul><li>a</ul></div>{LONG_P}</article>") == "\n".join([*[LONG_TEXT] * 3, "a", LONG_TEXT])
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div id=content class=no-sidebar>", "</div>"), ("<main class=has-comments>", "</main>"), ("<article class='post category-social'>", "</article>"),
+    ("<div class=article-with-toc>", "</div>"), ("<div class=widgets><article>", "</article></div>"), ("<article><div class='text tags'>", "</div></article>"),
+    ("<div class='page skip'>", "</div>"),
+])
+def test_names_do_not_drop_the_text(start, end):
+    page = f"<body><div class=menu><a>x</a></div>{start}{LONG_P * 2}{end}<div class=comments>{LONG_P.replace('text', 'talk')}</div></body>"
+    assert html_text.main_text(page) == "\n".join([LONG_TEXT] * 2)
+
+
+def test_threshold_decides_in_an_article():
+    page = f"<article><div>{LONG_P * 3}</div><div class=x1><span>by</span></div><div class=x2><i>3</i><b>k</b></div></article>"
+    assert html_text.main_text(page) == "\n".join([LONG_TEXT] * 3)
+
+
 def test_page_parser_is_linear():
     for hostile in ("<b>" * 20_000 + "</i>" * 20_000, "<p>" * 30_000, "<" * 30_000, "<div><span>" * 10_000 + "x", "&" * 30_000):
         html_text.main_text(hostile)
