@@ -288,6 +288,18 @@ def isotonic(spark, d):
     return rounded(C.fit_isotonic(V.scored_lines(spark, d), "label", "q"))
 
 
+@query("m10_isotonic_fit_scores", Q.build(["scored_lines"], f"""
+SELECT DISTINCT {r('unnest([first, last])', 8)} AS x, {r('s / n')} AS y FROM rounds WHERE step = (SELECT max(step) FROM rounds)""", {
+    "rounds(step, first, last, s, n)": """SELECT 0, p, p, CAST(sum(label) AS BIGINT), count(*) FROM scored_lines GROUP BY p
+  UNION ALL SELECT step + 1, min(first), max(last), CAST(sum(s) AS BIGINT), CAST(sum(n) AS BIGINT) FROM (
+    SELECT *, sum(1 - falls) OVER (ORDER BY first) AS run, max(falls) OVER () AS any_falls FROM (
+      SELECT *, CAST(coalesce(lag(s) OVER (ORDER BY first) * n >= s * lag(n) OVER (ORDER BY first), false) AS INTEGER) AS falls FROM rounds))
+  WHERE any_falls = 1 GROUP BY step, run"""}).replace("WITH ", "WITH RECURSIVE ", 1))
+def isotonic_scores(spark, d):
+    """The fit on the exact score of the whole table; SQL pools all falling runs at once until none is left."""
+    return C.fit_isotonic(V.scored_lines(spark, d), "label", "p").select(round_away("x", 8).alias("x"), round_away("y", 6).alias("y"))
+
+
 REJECTED_FEATURES = ["loan_amnt", "dti", "fico_score", "emp_length", "int_rate", "annual_inc"]
 
 

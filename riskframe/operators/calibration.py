@@ -67,20 +67,21 @@ def brier_scores(df: DataFrame, label: str, scores: list[str]) -> DataFrame:
     return one.unpivot([], scores, "series", "brier")
 
 
-def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Adjacent violators pooled: (first x, last x, mean, weight) of the blocks of points in order of x."""
-    first, last, mean, weight = [], [], [], []
-    for a, b, v, k in zip(x[0].tolist(), x[1].tolist(), y.tolist(), w.tolist()):
-        while mean and mean[-1] >= v:
-            total = weight[-1] + k
-            v = (mean[-1] * weight[-1] + v * k) / total
-            a, k = first[-1], total
-            first.pop(), last.pop(), mean.pop(), weight.pop()
-        first.append(a), last.append(b), mean.append(v), weight.append(k)
-    return np.array(first), np.array(last), np.array(mean), np.array(weight)
+def pooled(x: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Adjacent violators pooled: (first x, last x, label sum, weight) of the blocks of points in order of x.
+
+    Means are quotients of exact sums, so equal means are equal numbers and always pooled.
+    """
+    first, last, total, weight = [], [], [], []
+    for a, b, v, k in zip(x[0].tolist(), x[1].tolist(), s.tolist(), w.tolist()):
+        while total and total[-1] / weight[-1] >= v / k:
+            a, v, k = first.pop(), v + total.pop(), k + weight.pop()
+            last.pop()
+        first.append(a), last.append(b), total.append(v), weight.append(k)
+    return np.array(first), np.array(last), np.array(total), np.array(weight)
 
 
-BLOCKS = "first double, last double, y double, w double"
+BLOCKS = "first double, last double, s double, w double"
 
 
 def fit_isotonic(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -93,19 +94,19 @@ def fit_isotonic(df: DataFrame, label: str, score: str) -> DataFrame:
     Every step ends in a breakpoint at its first and its last score.
     """
     points = (
-        _pairs(df, label, score).groupBy("score").agg(F.avg("label").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-        .select(F.col("score").alias("first"), F.col("score").alias("last"), "y", "w")
+        _pairs(df, label, score).groupBy("score").agg(F.sum("label").alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
+        .select(F.col("score").alias("first"), F.col("score").alias("last"), "s", "w")
     )
 
     def pool(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first")
         x = rows["first"].to_numpy(), rows["last"].to_numpy()
-        return pd.DataFrame(dict(zip(("first", "last", "y", "w"), pooled(x, rows["y"].to_numpy(), rows["w"].to_numpy()))))
+        return pd.DataFrame(dict(zip(("first", "last", "s", "w"), pooled(x, rows["s"].to_numpy(), rows["w"].to_numpy()))))
 
     cut = points.withColumn("range", range_index(points, "first"))
     blocks = cut.groupBy("range").applyInPandas(pool, BLOCKS)
     steps = blocks.withColumn("range", F.lit(0) * F.col("w").cast("int")).groupBy("range").applyInPandas(pool, BLOCKS)
-    return steps.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("x"), "y")
+    return steps.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("x"), (F.col("s") / F.col("w")).alias("y"))
 
 
 def breakpoints(points: DataFrame, max_points: int = 1_000_000) -> tuple[list[float], list[float]]:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -221,6 +222,31 @@ def test_isotonic_fit_is_the_pooled_solution(spark):
         assert np.interp(s, xs, ys) == pytest.approx(w, abs=1e-9)
 
 
+def test_isotonic_fit_of_the_registered_scores_is_pooled_by_brute_force(spark, data):
+    from checks.catalog import QUERIES
+    from checks.views import scored_lines
+
+    by_score = {}
+    for row in scored_lines(spark, data).collect():
+        by_score.setdefault(row.p, []).append(row.label)
+    blocks = []
+    for x, labels in sorted(by_score.items()):
+        blocks.append([sum(labels), len(labels), x, x])
+        while len(blocks) > 1 and Fraction(*blocks[-2][:2]) >= Fraction(*blocks[-1][:2]):
+            s, n, _, last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], last]
+    want = sorted({(round(x, 8), round(s / n, 6)) for s, n, first, last in blocks for x in (first, last)})
+    got = sorted((row.x, row.y) for row in QUERIES["m10_isotonic_fit_scores"](spark, data).collect())
+    assert len(by_score) > 1000 and len(got) == len(want)
+    assert [v for point in got for v in point] == pytest.approx([v for point in want for v in point], abs=1.5e-6)
+
+
+def test_isotonic_fit_pools_equal_means(spark):
+    # 8/11, 7/11 and 1/11 pool to 16/33, which a mean of rounded means misses
+    rows = [(int(i < k), x) for x, (k, n) in enumerate([(8, 11), (7, 11), (1, 11), (16, 33)]) for i in range(n)]
+    assert C.fit_isotonic(pairs(spark, *zip(*rows)), "y", "s").count() == 2
+
+
 def test_describe_and_correlations_match_numpy(spark):
     rng = random.Random(8)
     rows = [(rng.gauss(0, 1), float(rng.randrange(5)), int(rng.random() < 0.4)) for _ in range(300)]
