@@ -28,12 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group.
 
-    Of rows with one id the first by a hash of the text stays. A row without id counts with a number made from its
-    text, larger than any id in use, so it stays only where no document with an id is its near duplicate.
+    Of rows with one id and one text one stays. Different texts under one id are documents of their own: the first by a
+    hash of the text has the id, each other one counts with a number made from id and text, larger than any id in use.
+    So does a row without id, with one made from its text: it stays only where no document with an id is its near
+    duplicate.
     """
     prepared(spark)
-    number = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
-    named = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), number))
+    named = docs.withColumns({"no_": F.col("doc_id").cast("long"), "text_": F.xxhash64(F.coalesce("text", F.lit("")))})
+    several = named.filter("no_ is not null").groupBy("no_").agg(F.min("text_").alias("x_"), F.max("text_").alias("y_")).filter("x_ < y_")
+    several = stored(several.select(F.col("no_").alias("of_"), F.col("x_").alias("first_")), "pipeline-several")
+    few = several.limit(near_dedup.BROADCAST_IDS + 1).count() <= near_dedup.BROADCAST_IDS
+    named = named.join(F.broadcast(several) if few else several, F.col("no_") == F.col("of_"), "left")
+    number = F.lit(1 << 62) + F.when(F.col("no_").isNull(), F.col("text_")).otherwise(F.xxhash64("no_", "text_")).bitwiseAND((1 << 61) - 1)
+    stays = F.col("no_").isNotNull() & (F.col("of_").isNull() | (F.col("text_") == F.col("first_")))
+    named = named.withColumn("id_", F.when(stays, F.col("no_")).otherwise(number)).drop("no_", "text_", "of_", "first_")
     groups = stored(near_dedup.near_duplicates(named, "id_", "text").select("id_", "kept"), "pipeline-groups")
     kept = near_dedup.with_ids(named, groups.filter("not kept").select("id_").distinct(), "id_", "left_anti")
     repeated = stored(groups.filter("kept").groupBy("id_").count().filter("count > 1").select("id_"), "pipeline-repeated")

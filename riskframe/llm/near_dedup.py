@@ -215,6 +215,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ranked = stored(buckets.join(degree, "c").select("key", "c", "n", "degree"), "dedup-ranked")
     involved = reps.join(degree.select("c"), "c", "left_semi").select("c", "signature")
     involved = stored(involved, "dedup-signatures")
+    # ids with several sets: their classes are linked, and what one of their texts holds alone says nothing of another
+    named = rows.filter("set_key is not null and doc_id is not null")
+    several = named.withColumn("h", F.xxhash64("set_key")).groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x < y")
+    several = stored(several.select("doc_id"), "dedup-several")
+    of_one = with_ids(named, several, "doc_id").select("doc_id", "set_key").distinct().join(classes, "set_key")
+    own_links = of_one.filter("doc_id != c").select(*_pair("doc_id", "c")).distinct()
 
     def star(frame: DataFrame, order, possible=lambda: F.lit(True)) -> DataFrame:
         center = frame.groupBy("key").agg(F.max_by(F.struct(*[c for c in frame.columns if c != "key"]), order).alias("center"))
@@ -222,7 +228,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return paired.select(*_pair("c", "center.c")).distinct()
 
     tried = stored(star(ranked, F.struct("degree", F.xxhash64("c"), "c")), "dedup-tried")
-    edges = stored(confirmed(tried, involved, docs, doc_id, text), "dedup-links")
+    edges = stored(confirmed(tried, involved, docs, doc_id, text).union(own_links), "dedup-links")
 
     def uncovered(frame: DataFrame, roots: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one component, with their component."""
@@ -239,6 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         # a shingle that no other of these texts holds can only part its text from them: most such texts need no pair
         held = full_sets(docs, rest.select("c").distinct(), doc_id, text).select("c", F.explode("members").alias("shingle"))
         own = held.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c = d").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+        own = with_ids(own, several.withColumnRenamed("doc_id", "c"), "c", "left_anti")
         rest = rest.join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
         rest = rest.filter(100 * F.col("common") >= LEAST_PCT * F.col("n"))
         # texts that share no more than a passage met in a short band: longer bands of the same minima part them

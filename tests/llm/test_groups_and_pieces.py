@@ -87,6 +87,21 @@ def test_groups_of_odd_rows(odd, none):
     assert by_id[None][0][1:] == (None, True)
 
 
+def some_words(name, n=60):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_texts_under_one_id_are_linked_and_none_is_lost(llm, data):
+    a, b, c = (some_words(x) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (8, c), (9, c + " end"), (9, some_words("d")), (9, some_words("d")), (None, b), (None, some_words("e"))]
+    frame = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame).filter("doc_id is not null").collect()}
+    assert got == {(3, 3, True), (5, 3, False), (8, 8, True), (9, 8, False)}
+    kept = corpus_pipeline.one_of_each_group(llm, frame, data).collect()
+    assert len(kept) == 5 and len({r.text for r in kept} & {c, c + " end"}) == 1
+    assert {(r.doc_id, r.text) for r in kept} >= {(3, b), (5, a), (9, some_words("d")), (None, some_words("e"))}
+
+
 def test_components_of_paths_and_stars(llm):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(8, 60)] + [(59, 3), (200, 200)]
     got = {r.c: r.root for r in near_dedup.components(llm.createDataFrame(edges, "a long, b long")).collect()}
