@@ -22,7 +22,7 @@ from riskframe.llm.common import strings, stored, words_of
 WORDS = 5
 LEAST_PCT = 75
 BANDS, ROWS = 48, 5  # a pair at 0.75 is missed by all bands with probability 2.3e-6
-LONG_BANDS, LONG_ROWS = 128, 8  # of the second round: missed with probability 1.4e-6 at 0.75, a chance meeting is 0.8 % at 0.3
+LONG_BANDS, LONG_ROWS = 224, 8  # of the second round, over the same minima: missed with probability 1.5e-6 at 0.75, a chance meeting is 1.9 % at 0.3
 SLACK = 0.14  # five deviations of the signature estimate at 0.75
 BROADCAST_IDS = 1_000_000  # ids of eight bytes; more are joined by shuffle
 _MIX = np.uint64(0xD6E8FEB86659FD93)
