@@ -16,10 +16,10 @@ from riskframe.sources.layers import is_complete, read_raw_csv, write_checked, w
 
 
 def bronze(spark: SparkSession, csv: str, columns: list[str], root: str, name: str, now: datetime,
-           strict: bool = False, partitions: int | None = None) -> DataFrame:
+           strict: bool = False, partitions: int | None = None, multi_line: bool | None = None) -> DataFrame:
     path = f"{root}/bronze/{name}"
     if not is_complete(spark, path):
-        raw = read_raw_csv(spark, csv, columns, now, partitions)
+        raw = read_raw_csv(spark, csv, columns, now, partitions, multi_line)
         write_checked(raw, path, bronze_checks, f"bronze {name}", strict)
     return spark.read.parquet(path)
 

@@ -18,10 +18,16 @@ def read_raw_csv(
 
     A gzip file is read by one task; ``partitions`` spreads its rows for the
     work that follows. NULL is the empty field. Fields may hold line breaks if
-    ``multi_line`` says so, by default unless the path names one plain ``.csv``
-    file, which read that way could not be split.
+    ``multi_line`` says so. By default they may, unless the path names one plain
+    ``.csv`` file without a line whose quotes stay open: it is split. If
+    ``multi_line`` is off, such a line is an error.
     """
-    multi_line = not path.endswith(".csv") if multi_line is None else multi_line
+    if multi_line is False or multi_line is None and path.endswith(".csv"):
+        torn = not spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+        if torn and multi_line is False:
+            raise ValueError(f"{path} has fields with line breaks: read it with multi_line")
+        multi_line = torn
+    multi_line = True if multi_line is None else multi_line
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema)

@@ -50,6 +50,17 @@ def test_raw_csv(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 2
 
 
+def test_plain_csv_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "loans.csv"
+    path.write_text('id,desc,term\n1,"two\nlines, and ""quotes""", 36 months\n,,\n2,,60\n')
+    rows = layers.read_raw_csv(spark, str(path), ["id", "desc", "term"], NOW).collect()
+    assert {(r["id"], r["desc"], r["term"]) for r in rows} == {("1", 'two\nlines, and "quotes"', " 36 months"), ("2", None, "60")}
+    with pytest.raises(ValueError, match="line breaks"):
+        layers.read_raw_csv(spark, str(path), ["id", "desc", "term"], NOW, multi_line=False)
+    path.write_text('id,desc,term\n1,"a ""b""",36\n')
+    assert [r["desc"] for r in layers.read_raw_csv(spark, str(path), ["id", "desc", "term"], NOW, multi_line=False).collect()] == ['a "b"']
+
+
 def test_numeric_reader(spark):
     path = scratch_path(spark, "numeric")
     spark.createDataFrame([(1, True, None), (2, False, 2.5)], "a int, b boolean, c float").write.parquet(path)
