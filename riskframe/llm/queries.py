@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskframe.llm.collocations import collocations
 from riskframe.llm.common import prepared
 from riskframe.llm.fingerprint import compare_with_edit
 from riskframe.llm.html_text import extract_pages
@@ -16,8 +17,10 @@ from riskframe.llm.near_dedup import near_duplicates
 from riskframe.llm.pieces import encode_documents
 from riskframe.llm.pii import fit as fit_pii, personal_data
 from riskframe.llm.quality_rules import quality
+from riskframe.llm.topk_search import top_k
 from riskframe.llm.toxicity import held_out, learn_from_labels, toxicity
 from riskframe.llm.url_filter import url_verdicts
+from riskframe.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,6 +148,67 @@ def op8(spark, sf_dir):
     )
 
 
+@query(
+    "op11_block_top_k",
+    """
+    WITH vectors AS (
+      SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    scores AS (
+      SELECT q.row_no, q.vec_id AS query_id, v.vec_id, v.row_no AS other, list_inner_product(q.x, v.x)::BIGINT AS score
+      FROM vectors q JOIN vectors v ON q.row_no <> v.row_no WHERE q.vec_id % 50 = 0),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST, other)::INTEGER AS rank FROM scores)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+)
+def op11(spark, sf_dir):
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op12_tiled_collocations",
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda w: w <> '') AS w FROM pieces),
+    sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+    grams AS (
+      SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(
+        range(1, len(w) - m + 2), lambda i: {'m': m, 'words': w[i:i + m - 1]})))) AS g FROM words WHERE len(w) > 0),
+    f AS (SELECT lang, g.m AS m, g.words AS words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    cuts AS (
+      SELECT p.lang, p.words, p.m, p.f AS a, unnest(range(1, p.m)) AS k FROM f p WHERE p.m > 1),
+    scored AS (
+      SELECT c.lang, c.words, c.m, c.a, c.k, l.f AS l, r.f AS r, s.n::BIGINT AS n,
+             ((1000::HUGEINT * c.a * s.n::HUGEINT) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cuts c JOIN f l ON l.lang = c.lang AND l.words = c.words[1:c.k]
+      JOIN f r ON r.lang = c.lang AND r.words = c.words[c.k + 1:] JOIN sizes s ON s.lang = c.lang),
+    lowest AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM scored),
+    inside AS (
+      SELECT DISTINCT lang, words[i:i + m2 - 1] AS words, f AS a FROM (
+        SELECT lang, words, f, m, unnest(range(2, m)) AS m2 FROM f WHERE m > 2) t, range(1, 5) i(i) WHERE i + m2 - 1 <= m),
+    kept AS (SELECT * FROM lowest WHERE place = 1 AND (lang, words, a) NOT IN (SELECT (lang, words, a) FROM inside)),
+    ranked AS (
+      SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score,
+             row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM kept)
+    SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
+)
+def op12(spark, sf_dir):
+    """Each language's 2000 best phrases of two to five words."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_refined_whitening")
+def op13(spark, sf_dir):
+    """Whitened leading components of every embedding."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline, from the documents to their ids."""
