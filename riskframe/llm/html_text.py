@@ -53,6 +53,7 @@ TAG = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
     re.S,
 )
+UNENDED = re.compile(r"<!--|<!\[CDATA\[|<[!?]")  # runs to the end of the page where no tag can end any more
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -85,12 +86,17 @@ class Page:
         self.paths: dict[tuple[int, str], int] = {}
         self.stack, self.block = [0], 0
         at, size = 0, len(source)
+        last = source.rfind(">") + 1  # no tag ends after this, so none is looked for
         while at < size:
-            found = TAG.search(source, at)
-            self._text(source[at:found.start() if found else size])
+            found = TAG.search(source, at, last)
             if not found:
+                rest = UNENDED.search(source, at)
+                self._text(source[at:rest.start() if rest else size])
                 break
+            self._text(source[at:found.start()])
             at = found.end()
+            if at == last and (found[0].startswith("<!--") and not found[0][4:].endswith("-->") or found[0].startswith("<![CDATA[") and not found[0].endswith("]]>")):
+                break
             name = (found[2] or found[5] or "").lower()
             if not name:
                 continue
@@ -221,7 +227,8 @@ def content_nodes(page: Page, kept: list[tuple[int, int, str]], low: list[bool])
     score = {p: total[p] / count[p] for p in total}
     mean = sum(smooth) / n
     deviation = math.sqrt(sum((s - mean) ** 2 for s in smooth) / n)
-    limit = mean - THRESHOLD * deviation
+    # the best path reaches the mean, but for the rounding of sums over equal scores
+    limit = mean - THRESHOLD * deviation - 1e-9 * (1 + abs(mean))
     return [score[path[e]] >= limit for e, _, _ in kept]
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 Span = tuple[int, int, str]
 
 MAX_ATOMS = 24
+KNOWN = 20_000  # spans whose scores are kept for when they come again
 SAMPLE = 1200  # windows to learn from, at most
 MAX_WINDOW = 160  # characters of a window to learn from
 EPOCHS, RATE, RIDGE = 60, 0.1, 1e-3
@@ -43,6 +45,7 @@ SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 ANCHOR = re.compile(r"[0-9@]|[(\[{]at[)\]}]")
 ATOM = re.compile(r"[(\[{](?:at|dot)[)\]}]|[0-9]+|[A-Za-z]+|.", re.S)
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?:@|[(\[{]at[)\]}])[A-Za-z0-9-]+(?:(?:\.|[(\[{]dot[)\]}])[A-Za-z0-9-]+)+")
+PLAIN = re.compile(r"[A-Za-z0-9._%+@()\[\]{}-]+")
 NUMBER = re.compile(r"\+?[(]?[0-9][0-9 ().-]*[0-9]")
 
 
@@ -117,24 +120,40 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
-    """Atoms of a window as (start, end), and the candidate segments as (first atom, last atom + 1, kind, features)."""
-    atoms = [m.span() for m in ATOM.finditer(text)]
-    found = []
-    for i, (start, _) in enumerate(atoms):
+def cut(text: str) -> tuple[array, array]:
+    """Starts and ends of the atoms of a window."""
+    starts, ends = array("q"), array("q")
+    for m in ATOM.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
+def segments(text: str, starts: array, ends: array) -> Iterator[tuple[int, int, str, tuple[str, ...], bool, bool]]:
+    """The candidates in order of their first atom: (first atom, last atom + 1, span, kinds, glued left, glued right)."""
+    for i, start in enumerate(starts):
         if not (text[start].isalnum() or text[start] in "+("):
             continue
-        for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
-            span = text[start:atoms[j - 1][1]]
+        left = text[start - 1] if start else " "
+        glued = left.isalnum() or left in "@.+-_"
+        for j in range(i + 1, min(len(starts), i + MAX_ATOMS) + 1):
+            span = text[start:ends[j - 1]]
             if not span[-1].isalnum():
                 continue
             kinds = ("email",) if SPELLED.fullmatch(span) else ("ip", "card", "phone") if len(span) > 6 and NUMBER.fullmatch(span) else ()
-            if not kinds and not (span[0] in "+(0123456789" and NUMBER.fullmatch(span + "0")) and not re.fullmatch(r"[A-Za-z0-9._%+@()\[\]{}-]+", span):
+            if kinds:
+                yield i, j, span, kinds, glued, goes_on(text[ends[j - 1]:ends[j - 1] + 2])
+            elif not (span[0] in "+(0123456789" and NUMBER.fullmatch(span + "0")) and not PLAIN.fullmatch(span):
                 break  # no longer span from here is a candidate either
-            left = text[start - 1] if start else " "
-            right = text[atoms[j - 1][1]:][:2]
-            found += [(i, j, k, [f"{k}|{f}" for f in describe(span, k, left, right)]) for k in kinds]
-    return atoms, found
+
+
+def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
+    """Atoms of a window as (start, end), and the candidate segments as (first atom, last atom + 1, kind, features)."""
+    starts, ends = cut(text)
+    found = []
+    for i, j, span, kinds, left, right in segments(text, starts, ends):
+        found += [(i, j, k, [f"{k}|{f}" for f in features]) for k, features in zip(kinds, describe(span, kinds, left, right))]
+    return list(zip(starts, ends)), found
 
 
 def goes_on(right: str) -> bool:
@@ -142,25 +161,24 @@ def goes_on(right: str) -> bool:
     return right[:1].isalnum() or right[:1] in ("@", "-", "_") or right[:1] in (".", "[", "(", "{") and right[1:].isalnum()
 
 
-def describe(span: str, kind: str, left: str, right: str) -> list[str]:
-    """Features of a whole span: its shape and the characters around it."""
-    out = ["any", "glued left" if left.isalnum() or left in "@.+-_" else "free left", "glued right" if goes_on(right) else "free right"]
-    groups = re.findall("[0-9]+", span)
-    digits = "".join(groups)
-    if kind == "email":
+def describe(span: str, kinds: tuple[str, ...], left: bool, right: bool) -> list[list[str]]:
+    """For each kind the features of a whole span: its shape and whether it is glued to what stands around it."""
+    out = ["any", "glued left" if left else "free left", "glued right" if right else "free right"]
+    if kinds == ("email",):
         host = re.split(r"@|[(\[{]at[)\]}]", span, maxsplit=1)[-1]
         last = re.split(r"\.|[(\[{]dot[)\]}]", host)[-1]
-        return out + ["sign" if "@" in span else "spelled", "name end" if last.isalpha() and 2 <= len(last) <= 12 else "odd end"]
+        return [out + ["sign" if "@" in span else "spelled", "name end" if last.isalpha() and 2 <= len(last) <= 12 else "odd end"]]
+    groups = re.findall("[0-9]+", span)
+    digits = "".join(groups)
     out.append(f"digits {len(digits)}" if len(digits) < 20 else "digits many")
     shape = "-".join(str(len(g)) for g in groups) if len(groups) < 7 else "many"
     out += [f"groups {shape}", f"marks {''.join(sorted(set(re.sub('[0-9]', '', span))))}"]
-    if kind == "ip":
-        out.append("four small" if len(groups) == 4 and all(map(_small, groups)) and set(span) <= set("0123456789.") else "not four small")
-    if kind == "card":
-        out.append("sum right" if 13 <= len(digits) <= 19 and luhn(digits) else "sum wrong")
-    if kind == "phone":
-        out += ["plus" if span[0] == "+" else "no plus", f"spread {min(3, len(groups))}"]
-    return out
+    own = {
+        "ip": lambda: ["four small" if len(groups) == 4 and all(map(_small, groups)) and set(span) <= set("0123456789.") else "not four small"],
+        "card": lambda: ["sum right" if 13 <= len(digits) <= 19 and luhn(digits) else "sum wrong"],
+        "phone": lambda: ["plus" if span[0] == "+" else "no plus", f"spread {min(3, len(groups))}"],
+    }
+    return [out + own[k]() for k in kinds]
 
 
 @dataclass(frozen=True)
@@ -175,30 +193,48 @@ UNSEEN = -1.0  # of a shape that training never saw
 
 
 def segment(field: Field, text: str) -> list[Span]:
-    """The best disjoint typed spans of a window; atoms outside spans score 0."""
-    atoms, found = candidates(text)
-    ending: list[list] = [[] for _ in range(len(atoms) + 1)]
-    for i, j, kind, features in found:
-        s = field.score(features)
-        if s > 0:
-            ending[j].append((i, s, kind))
-    best, back = [0.0] * (len(atoms) + 1), [None] * (len(atoms) + 1)
-    for j in range(1, len(atoms) + 1):
-        best[j] = best[j - 1]
-        for i, s, kind in ending[j]:
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, kind)
-    spans, j = [], len(atoms)
+    """The best disjoint typed spans of a window; atoms outside spans score 0.
+
+    Candidates are scored as they come, in order of their first atom, and only the best one that ends at an atom is kept: what
+    is held is a few numbers for each atom, however many candidates there are.
+    """
+    starts, ends = cut(text)
+    n = len(starts)
+    best, back = array("d", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))  # back: first atom * kinds + kind + 1
+    known: dict[tuple[str, bool, bool], list[float]] = {}
+    done = 0
+    for i, j, span, kinds, left, right in segments(text, starts, ends):
+        for at in range(done + 1, i + 1):
+            _settle(best, back, at)
+        done = max(done, i)
+        scores = known.get((span, left, right))
+        if scores is None:
+            scores = [field.score([f"{k}|{f}" for f in features]) for k, features in zip(kinds, describe(span, kinds, left, right))]
+            if len(known) >= KNOWN:
+                known.clear()
+            known[span, left, right] = scores
+        for kind, s in zip(kinds, scores):
+            if s > 0 and (not back[j] or best[i] + s > best[j]):
+                best[j], back[j] = best[i] + s, i * len(KINDS) + KINDS.index(kind) + 1
+    for at in range(done + 1, n + 1):
+        _settle(best, back, at)
+    spans, j = [], n
     while j:
         if back[j]:
-            i, kind = back[j]
-            spans.append((atoms[i][0], atoms[j - 1][1], kind))
+            i, kind = divmod(back[j] - 1, len(KINDS))
+            spans.append((starts[i], ends[j - 1], KINDS[kind]))
             j = i
         else:
             j -= 1
     return spans[::-1]
 
 
+def _settle(best: array, back: array, at: int) -> None:
+    """All candidates that end at this atom are known: leave it outside unless one of them gains."""
+    if not back[at] or best[at] <= best[at - 1]:
+        best[at], back[at] = best[at - 1], 0
+
+
 def all_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
     """The base spans, and the field's that touch none of them."""
     if not ANCHOR.search(text):

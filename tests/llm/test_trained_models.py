@@ -6,6 +6,8 @@ import html
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -246,6 +248,46 @@ def test_page_parser_is_linear():
         html_text.main_text(hostile)
 
 
+def test_page_parser_is_linear_on_unfinished_tags():
+    for unit in ('<a href="', "<p ", "<!", "</", "<a '", "<a \"'"):
+        def seconds(n):
+            start = time.perf_counter()
+            html_text.main_text("<p>Some text of a page, with a mark.</p> > " + unit * n)
+            return time.perf_counter() - start
+
+        seconds(100)
+        assert seconds(60_000) < 10
+
+
+@pytest.mark.parametrize("n, size", [(n, size) for n in (1, 2, 5, 9, 13) for size in (1, 7, 32, 33)])
+def test_pages_of_equal_blocks(n, size):
+    """Paths of one ratio: rounding may put the mean above all of them; each keeps its text."""
+    page = "".join(f"<div class=c{k}>{chr(97 + k) * size}</div>" for k in range(n))
+    assert html_text.main_text(page) == "\n".join(chr(97 + k) * size for k in range(n))
+
+
+def test_no_page_fails():
+    draw = random.Random(12)
+    bits = ["<div class=a>", "</div>", "<p>", "</p>", "<!--", "-->", "<![CDATA[", "]]>", "<a href='x", "'>", '"', "text, of a page. ", "&amp;", "<", ">", "<h1>", "<script>", "</script>", " "]
+    for _ in range(1500):
+        html_text.main_text("".join(draw.choice(bits) for _ in range(draw.randrange(30))))
+
+
+def test_unended_comments_run_to_the_end():
+    for rest in ("<!-- > no end", "<!-- no end", "<![CDATA[ > no end", "<!x no end", "<!-->"):
+        assert html_text.main_text("<p>A text of a page, whole.</p>" + rest + " more") == "A text of a page, whole."
+
+
+def test_segments_of_a_megabyte_of_numbers_in_bounded_memory():
+    field = pii.train([v for t, kinds in pii.LESSONS for v in pii.variants(t, [(0, len(t), k) for k in kinds])])
+    small = pii.segment(field, "12 345 " * 500)
+    tracemalloc.start()
+    found = pii.segment(field, "12 345 " * 20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 140_000 and found[:len(small) - 8] == small[:-8]
+
+
 def tokens_of(text):
     return [*text.encode().lower().split(), b" e"]
 
