@@ -2,62 +2,22 @@
 
 from __future__ import annotations
 
-import logging
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.parsing import clean
-from riskframe.operators.bitscore import Scorer
+from riskframe.operators.boosting import Boosted, BoostingParameters, boost
 from riskframe.operators.history import row_positions
 from riskframe.operators.joins import augmented_rows
 from riskframe.operators.order import exact_quantiles, running_sums
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.operators.silver import median_values
 from riskframe.operators.trees import Ensemble, load_ensemble, with_donors, with_probability, with_raw_score
-from riskframe.session import scratch_path
-
-logger = logging.getLogger(__name__)
-
-# Missing values train as a number below every real one, hence go left.
-MISSING = -1e9
-
-
-@dataclass(frozen=True)
-class BoostingParameters:
-    trees: int
-    depth: int
-    learning_rate: float
-    min_rows: int
-    bins: int = 255
-    seed: int = 42
-    patience: int = 50
-
-
-@dataclass(frozen=True)
-class Boosted:
-    """A fitted model and how many of its leading trees count; ``auc`` has one value per prefix."""
 
-    model: GBTClassificationModel
-    features: list[str]
-    trees: int
-    auc: list[float]
-
-    def nodes(self, spark) -> DataFrame:
-        return export_nodes(spark, self.model, self.features).where(F.col("tree_id") < self.trees)
-
-    def ensemble(self, spark) -> Ensemble:
-        return load_ensemble(self.nodes(spark))
-
-
-# The two parameter sets, champion first. Trees grow level by
-# level here, so there is no leaf count and no ridge term.
-CHAMPION = BoostingParameters(trees=1000, depth=6, learning_rate=0.05, min_rows=20)
-CHALLENGER = BoostingParameters(trees=1200, depth=7, learning_rate=0.03, min_rows=30)
+# The two parameter sets, champion first.
+CHAMPION = BoostingParameters(trees=1000, depth=6, learning_rate=0.05, min_rows=20, leaves=63, ridge=1.0)
+CHALLENGER = BoostingParameters(trees=1200, depth=7, learning_rate=0.03, min_rows=30, leaves=63, ridge=2.0)
 
 
 def carve_out(df: DataFrame, label: str, key: str, fraction: float | Column, seed: int = 42) -> DataFrame:
@@ -77,118 +37,37 @@ def early_stopping_rows(train: DataFrame, validation: DataFrame, label: str, key
     return carve_out(both.drop("__v"), label, key, share, seed)
 
 
-def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    filled = df.withColumns({f"__f_{f}": F.coalesce(clean(F.col(f)), F.lit(MISSING)) for f in features})
-    assembled = VectorAssembler(
-        inputCols=[f"__f_{f}" for f in features], outputCol="features"
-    ).transform(filled)
-    return assembled.drop(*[f"__f_{f}" for f in features])
-
-
 def train_boosted(
     rows: DataFrame, features: list[str], label: str, held_out: str = "held_out",
     parameters: BoostingParameters = CHAMPION, weight: str | None = None,
 ) -> Boosted:
     """Boosted trees on the rows outside the carve-out, cut after the tree where the carve-out's AUC is best.
 
-    Fits of 2, 4, 8, ... times the patience are tried until the best prefix lies at least the patience before the
-    end, or the parameters' number is reached. A longer fit begins with the trees of a shorter one, so how many are
-    tried does not change the trees. A carve-out without both labels keeps all trees.
+    Trees are added until that AUC has not risen for the patience; nothing is fitted twice. A carve-out without both
+    labels keeps all trees.
     """
-    columns = [*features, "features", "__label", held_out] + ([weight] if weight else [])
-    frame = _vectors(rows, features).withColumn("__label", F.col(label).cast("double")).select(*columns)
-    fitting, judging = frame.where(~F.col(held_out)).persist(), frame.where(held_out).select(*features, "__label").persist()
-    spark, trees = rows.sparkSession, min(parameters.trees, 2 * parameters.patience)
-    while True:
-        booster = GBTClassifier(
-            featuresCol="features", labelCol="__label", maxIter=trees, maxDepth=parameters.depth,
-            stepSize=parameters.learning_rate, minInstancesPerNode=parameters.min_rows, maxBins=parameters.bins,
-            seed=parameters.seed, checkpointInterval=10,
-        )
-        model = (booster.setWeightCol(weight) if weight else booster).fit(fitting)
-        auc = prefix_auc(judging, load_ensemble(export_nodes(spark, model, features)))
-        best = max(range(len(auc)), key=lambda k: auc[k]) + 1 if auc else len(model.treeWeights)
-        if not auc or trees == parameters.trees or best + parameters.patience <= trees:
-            break
-        trees = min(parameters.trees, 2 * trees)
-    fitting.unpersist()
-    judging.unpersist()
-    return Boosted(model, features, best, auc)
-
-
-AUC_BINS = 4096
-
-
-def prefix_auc(judging: DataFrame, ensemble: Ensemble) -> list[float]:
-    """The AUC after each tree, empty without both labels. Probabilities are counted in ``AUC_BINS`` bins per prefix
-    inside the tasks, so the work per row is one scoring and what is shuffled does not grow with the rows; rows of
-    one bin count as ties, which is fine enough to choose a prefix by."""
-    features = ensemble.features
-    shipped = judging.sparkSession.sparkContext.broadcast(Scorer(ensemble.trees, features, ensemble.baseline))
-    trees = len(ensemble.trees)
-
-    def count(batches):
-        held = np.zeros((2, trees * AUC_BINS), np.int64)
-        for batch in batches:
-            raw = shipped.value.prefixes(batch[features].to_numpy(dtype=float, na_value=np.nan))
-            bins = np.minimum((AUC_BINS / (1 + np.exp(-np.clip(raw, -50, 50)))).astype(np.int64), AUC_BINS - 1)
-            flat = bins + np.arange(trees) * AUC_BINS
-            for y in (0, 1):
-                held[y] += np.bincount(flat[(batch["__label"] == y).to_numpy()].ravel(), minlength=trees * AUC_BINS)
-        at = np.flatnonzero(held.any(axis=0))
-        yield pd.DataFrame({"tree": at // AUC_BINS, "bin": at % AUC_BINS, "good": held[0][at], "bad": held[1][at]})
-
-    if not features:
-        return []
-    inputs = judging.select("__label", *[clean(F.col(f)).alias(f) for f in features])
-    counts = inputs.mapInPandas(count, "tree int, bin int, good long, bad long").groupBy("tree", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    below = Window.partitionBy("tree").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most AUC_BINS rows
-    won = counts.withColumn("won", F.col("bad") * (F.coalesce(F.sum("good").over(below), F.lit(0)) + F.col("good") / 2))
-    auc = won.groupBy("tree").agg((F.sum("won") / (F.sum("good") * F.sum("bad"))).alias("auc")).where("auc is not null").orderBy("tree")
-    return [r["auc"] for r in auc.collect()]  # one row per tree
-
-
-def export_nodes(spark, model: GBTClassificationModel, features: list[str]) -> DataFrame:
-    """The node table of a fitted model, its sums in log-odds.
-
-    MLlib's probability is the logistic of twice the weighted tree sum, so the
-    leaf values carry the factor 2 and the tree weight.
-    """
-    path = scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    weights = spark.createDataFrame(
-        [(i, float(w)) for i, w in enumerate(model.treeWeights)], "treeID int, tree_weight double"
-    )
-    names = F.array(*[F.lit(f) for f in features])
-    node = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    leaf = F.col("leftChild") < 0
-    return (
-        node.join(F.broadcast(weights), "treeID")  # one row per tree
-        .select(
-            F.col("treeID").cast("int").alias("tree_id"),
-            F.col("id").cast("int").alias("node_id"),
-            leaf.alias("is_leaf"),
-            F.when(~leaf, F.get(names, F.col("split.featureIndex"))).alias("feature"),
-            F.when(~leaf, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
-            F.when(~leaf, F.lit(True)).alias("missing_left"),
-            F.when(~leaf, F.col("leftChild")).cast("int").alias("left"),
-            F.when(~leaf, F.col("rightChild")).cast("int").alias("right"),
-            (2 * F.col("tree_weight") * F.col("prediction")).alias("value"),
-            F.col("rawCount").cast("double").alias("cover"),
-        )
-    )
+    return boost(rows, features, label, held_out, parameters, weight)
 
 
-def verify_export(
-    rows: DataFrame, model: GBTClassificationModel, nodes: DataFrame, features: list[str],
-    tolerance: float = 1e-9,
-) -> DataFrame:
-    """Largest difference between the model and its exported nodes; refuses a mismatch."""
-    from pyspark.ml.functions import vector_to_array
+def export_nodes(spark, model: Boosted) -> DataFrame:
+    """The node table of a fitted model: thresholds on the features, leaf values and their sums in log-odds."""
+    return model.nodes(spark)
 
-    scored = model.transform(_vectors(rows, features)).select(
-        *features, F.get(vector_to_array("probability"), F.lit(1)).alias("__p")
-    )
+
+def verify_export(rows: DataFrame, model: Boosted, nodes: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Largest difference between the model and its exported nodes; refuses a mismatch.
+
+    The model scores the rows as it was trained, walking its trees over bin numbers; the nodes score them by their thresholds.
+    """
+    features, shipped = model.features, rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def walked(values: pd.DataFrame) -> pd.Series:
+        own = shipped.value
+        x = values.to_numpy(dtype=float, na_value=np.nan)
+        return pd.Series(1 / (1 + np.exp(-own.raw(own.bins.codes([x[:, k] for k in range(x.shape[1])])))))
+
+    scored = rows.select(*features, walked(F.struct(*[clean(F.col(f)).alias(f) for f in features])).alias("__p"))
     again = with_probability(scored, load_ensemble(nodes), "__q")
     result = again.agg(F.max(F.abs(F.col("__p") - F.col("__q"))).alias("max_difference"), F.count(F.lit(1)).alias("rows"))
     return result.select(
