@@ -61,8 +61,11 @@ SELECT request_id, applicant_id, coalesce(actual_default, label) AS actual_defau
   {text(f'CASE WHEN actual_default IS NULL AND label IS NOT NULL THEN {NOW} ELSE outcome_observed_at END')} AS outcome_observed_at
 FROM scoring_log LEFT JOIN matched USING (applicant_id)""", {"pending": PENDING, "matched": MATCHED}))
 def backfill(spark, d):
-    done = J.backfill_outcomes(V.scoring_log(spark, d), V.outcomes(spark, d), V.now(), DELAY)
-    return done.select("request_id", "applicant_id", "actual_default", stamp("outcome_observed_at"))
+    """Read back from a stored log after the days with matured rows were written anew."""
+    table = L.decision_table(spark, scratch_path(spark, "decisions"))
+    table.append(V.scoring_log(spark, d).withColumn("scored_date", F.to_date("scored_at")))
+    L.write_backfill(table, V.outcomes(spark, d), V.now(), DELAY)
+    return table.read().select("request_id", "applicant_id", "actual_default", stamp("outcome_observed_at"))
 
 
 @query("j2_backfill_report", Q.build(["scoring_log", "outcomes"], """

@@ -58,12 +58,18 @@ def read_numeric(spark, d):
 @query("s4_upsert_snapshots", Q.build(["gold"], """
 SELECT 'LC_' || id::VARCHAR AS applicant_id, 1 AS feature_version,
   CASE WHEN split = 'train' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS computed_at,
-  round(1.0::DOUBLE, 3) AS data_completeness, CAST(fico_score AS INTEGER) AS fico_score, CAST(grade_numeric AS INTEGER) AS grade FROM gold"""))
+  round(1.0::DOUBLE, 3) AS data_completeness, CAST(fico_score AS INTEGER) AS fico_score, CAST(grade_numeric AS INTEGER) AS grade FROM gold
+UNION ALL SELECT 'LC_' || id::VARCHAR, 2, '2024-01-01 00:00:00', round(1.0::DOUBLE, 3), CAST(fico_score AS INTEGER), CAST(grade_numeric AS INTEGER)
+FROM gold WHERE split = 'train'"""))
 def upsert_snapshots(spark, d):
+    """Read back from a store of two feature versions after a batch of the first: one partition is written anew."""
     rows, features = V.gold(spark, d), list(FEATURES)
-    old = store.snapshots(rows.where("split <> 'test'"), features, 1, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    new = store.snapshots(rows.where("split <> 'train'"), features, 1, F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    return store.upsert(old, new).select(
+    at = lambda day: F.lit(f"2024-{day} 00:00:00").cast("timestamp")
+    table = store.feature_table(spark, scratch_path(spark, "features"))
+    first = store.snapshots(rows.where("split <> 'test'"), features, 1, at("01-01"))
+    store.write_upsert(table, first.unionByName(store.snapshots(rows.where("split = 'train'"), features, 2, at("01-01"))))
+    store.write_upsert(table, store.snapshots(rows.where("split <> 'train'"), features, 1, at("02-01")))
+    return table.read().select(
         "applicant_id", "feature_version", stamp("computed_at"), "data_completeness", "fico_score", "grade")
 
 

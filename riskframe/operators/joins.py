@@ -21,30 +21,34 @@ def pending_applicants(log: DataFrame, now: Column, delay_days: int) -> DataFram
     )
 
 
+def loan_labels(outcomes: DataFrame) -> DataFrame:
+    """(loan_id, label), one row per loan id with a label; where a loan has several, a default counts."""
+    rows = outcomes.select(F.col("id").cast("bigint").alias("loan_id"), F.col("label").cast("boolean").alias("label"))
+    return rows.where("loan_id is not null and label is not null").groupBy("loan_id").agg(F.max("label").alias("label"))
+
+
 def matched_outcomes(pending: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Pending applicants with the label found under their loan id (one row per applicant)."""
-    return pending.withColumn("loan_id", loan_id(F.col("applicant_id"))).join(
-        outcomes.select(F.col("id").cast("bigint").alias("loan_id"), F.col("label").cast("boolean").alias("label")),
-        "loan_id",
-    ).select("applicant_id", "label")
+    return pending.withColumn("loan_id", loan_id(F.col("applicant_id"))).join(loan_labels(outcomes), "loan_id").select("applicant_id", "label")
 
 
 def backfill_outcomes(log: DataFrame, outcomes: DataFrame, now: Column, delay_days: int = 0) -> DataFrame:
     """The log with every unresolved row of a matched applicant labelled and stamped.
 
-    Applicants are reduced to one row before they meet the outcomes, so a hot
-    applicant costs nothing there; the row-preserving join back to the log is
-    left to the adaptive skew split.
+    Applicants and outcomes are reduced to one row each before they meet, so no
+    row of the log is repeated. Resolved rows pass by the join back to the log,
+    whose skew is left to the adaptive split.
     """
     found = matched_outcomes(pending_applicants(log, now, delay_days), outcomes)
-    fill = F.col("actual_default").isNull() & F.col("label").isNotNull()
-    return (
-        log.join(found, "applicant_id", "left")
-        .withColumn("outcome_observed_at", F.when(fill, now).otherwise(F.col("outcome_observed_at")))
-        .withColumn("actual_default", F.coalesce("actual_default", "label"))
-        .drop("label")
-        .select(*log.columns)
-    )
+    open_ = log.where(F.col("actual_default").isNull())
+    return log.where(F.col("actual_default").isNotNull()).unionByName(labelled_rows(open_, found, now))
+
+
+def labelled_rows(open_rows: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """Open rows with the outcome of their applicant, where one was found, and the time it was seen."""
+    joined = open_rows.join(found.withColumnRenamed("label", "__label"), "applicant_id", "left")
+    seen = F.when(F.col("__label").isNotNull(), now).otherwise(F.col("outcome_observed_at"))
+    return joined.withColumns({"outcome_observed_at": seen, "actual_default": F.col("__label")}).select(*open_rows.columns)
 
 
 def backfill_report(log: DataFrame, outcomes: DataFrame, now: Column, delay_days: int = 0) -> DataFrame:
@@ -53,8 +57,7 @@ def backfill_report(log: DataFrame, outcomes: DataFrame, now: Column, delay_days
         F.count(F.lit(1)).alias("open_rows"),
         F.max(older_than(F.col("scored_at"), now, delay_days)).alias("due"),
     ).where("due")
-    labels = outcomes.select(F.col("id").cast("bigint").alias("loan_id"), F.col("label"))
-    joined = open_rows.withColumn("loan_id", loan_id(F.col("applicant_id"))).join(labels, "loan_id", "left")
+    joined = open_rows.withColumn("loan_id", loan_id(F.col("applicant_id"))).join(loan_labels(outcomes), "loan_id", "left")
     hit = F.col("label").isNotNull()
     return joined.agg(
         F.count(F.lit(1)).alias("pending_applicants"),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.functions.binning import linspace
 from riskframe.functions.parsing import applicant_id, clean
 from riskframe.functions.numeric import round_away
 from riskframe.operators.distributions import histogram
-from riskframe.operators.order import small_table
+from riskframe.sources.versions import Manifest, VersionedTable
 
 KEY = ["applicant_id", "feature_version"]
 
@@ -58,19 +58,23 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
     return store.join(latest.select(*KEY), KEY, "left_anti").unionByName(latest.select(*store.columns))
 
 
-def write_upsert(store_path: str, batch: DataFrame, target_path: str) -> None:
-    """Write the whole merged store next to the one that was read.
+def feature_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The snapshots on disk, one partition per feature version."""
+    return VersionedTable(spark, path, "feature_version")
 
-    Only the versions present in the batch are merged, all others are copied
-    as they are; a table is never overwritten while the same job reads it.
+
+def write_upsert(table: VersionedTable, batch: DataFrame) -> Manifest:
+    """Upsert a batch: only the feature versions in it are read and written anew, all others stay where they are.
+
+    The batch is read twice, for its versions and for its rows. Readers see the store before or after it. An empty
+    batch makes no version.
     """
-    store = batch.sparkSession.read.parquet(store_path)
-    touched = small_table(batch.select("feature_version").distinct(), 10_000)
-    affected = store.join(touched, "feature_version", "left_semi").select(*batch.columns)
-    others = store.join(touched, "feature_version", "left_anti").select(*batch.columns)
-    upsert(affected, batch).unionByName(others).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy("feature_version").parquet(target_path)
+    base = table.manifest()
+    touched = table.touched_by(batch)
+    if not touched:
+        return base
+    old = table.read(touched, base.number) if base.schema else batch.limit(0)
+    return table.replace(upsert(old.select(*batch.columns), batch), touched, base)
 
 
 def training_distribution(scored: DataFrame, score: str, model_version: str, bins: int = 10) -> DataFrame:

@@ -6,8 +6,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskframe.operators.joins import retained
+from riskframe.operators.joins import labelled_rows, matched_outcomes, pending_applicants, retained
+from riskframe.session import scratch_path
 from riskframe.sources.layers import list_partitions, remove_directory
+from riskframe.sources.versions import VersionedTable
 
 
 def metric_row(metrics: DataFrame, name: str, value: str, model_version: str, measured_at: Column, details: Column) -> DataFrame:
@@ -46,6 +48,32 @@ def append_decisions(rows: DataFrame, path: str) -> None:
     )
 
 
+def decision_table(spark: SparkSession, path: str) -> VersionedTable:
+    """A decision log whose days can be rewritten, one partition per scoring date."""
+    return VersionedTable(spark, path, "scored_date")
+
+
+def write_backfill(table: VersionedTable, outcomes: DataFrame, now: Column, delay_days: int = 0) -> int:
+    """Label the open rows of matured applicants in a stored log and return how many days were rewritten.
+
+    Which applicants are due and which days hold open rows of theirs comes from a scan of three columns; only those days are read
+    whole and written anew, all others stay where they are. Without a match no version is made.
+    """
+    base = table.manifest()
+    log = table.read(number=base.number)
+    path = scratch_path(table.spark, "backfill")
+    matched_outcomes(pending_applicants(log, now, delay_days), outcomes).write.parquet(path)
+    found = table.spark.read.schema("applicant_id string, label boolean").parquet(path)
+    open_ = log.where("actual_default is null")
+    days = table.touched_by(open_.join(found, "applicant_id", "left_semi").select("scored_date"))
+    if days:
+        old = table.read(days, base.number)
+        done = labelled_rows(old.where("actual_default is null"), found, now)
+        table.replace(old.where("actual_default is not null").unionByName(done), days, base)
+    remove_directory(table.spark, path)
+    return len(days)
+
+
 def prune_decisions(spark: SparkSession, path: str, now: datetime, days: int) -> int:
     """Delete decisions older than the window and return how many.
 
@@ -68,8 +96,6 @@ def prune_decisions(spark: SparkSession, path: str, now: datetime, days: int) ->
             # dynamic overwrite replaces this one partition; its rows are cut loose first
             held = kept.checkpoint() if spark.sparkContext.getCheckpointDir() else None
             if held is None:
-                from riskframe.session import scratch_path
-
                 side = scratch_path(spark, "prune")
                 kept.write.parquet(side)
                 held = spark.read.parquet(side)

@@ -100,11 +100,16 @@ def test_upsert_replaces_on_the_key(spark):
     new = store_rows(spark, [("a", 1, NOW - timedelta(days=9), 10.0), ("a", 1, NOW - timedelta(days=8), 11.0), ("c", 1, NOW, 12.0)])
     got = {(r["applicant_id"], r["feature_version"]): r["features"]["x"] for r in S.upsert(old, new).collect()}
     assert got == {("a", 1): 11.0, ("b", 1): 2.0, ("a", 2): 3.0, ("c", 1): 12.0}
-    source, target = scratch_path(spark, "store"), scratch_path(spark, "store")
-    old.write.partitionBy("feature_version").parquet(source)
-    S.write_upsert(source, new, target)
-    back = {(r["applicant_id"], r["feature_version"]): r["features"]["x"] for r in spark.read.parquet(target).collect()}
-    assert back == got  # the versions that the batch does not touch are there too
+    table = S.feature_table(spark, scratch_path(spark, "store"))
+    S.write_upsert(table, old)
+    before = table.manifest()
+    after = S.write_upsert(table, new)
+    read = lambda rows: {(r["applicant_id"], r["feature_version"]): r["features"]["x"] for r in rows.collect()}
+    assert read(table.read()) == got and read(table.read(number=before.number)) == read(old)
+    # the version that the batch does not touch is referenced where it stands
+    assert after.parts["2"] == before.parts["2"] and after.parts["1"] != before.parts["1"]
+    assert read(table.read(["2"])) == {("a", 2): 3.0} and table.read(["9"]).count() == 0
+    assert S.write_upsert(table, new.where("false")) == after
     tied = store_rows(spark, [("a", 1, NOW, 5.0), ("a", 1, NOW, 6.0)])
     assert S.upsert(old, tied).collect() == S.upsert(old, tied.orderBy(F.desc("features.x"))).collect()
 
