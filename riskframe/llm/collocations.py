@@ -6,8 +6,8 @@ a tile that holds many pairs is counted by one ``bincount`` over its cells, the
 the chunks counted is added up by Spark. Frequent pairs are ranked anew and the chunks rewritten in their ranks, so the
 neighbours of the next round are phrases one word longer, down from two words to the longest asked for.
 
-A phrase is no more frequent than any part of it, so no round loses a phrase that counts. Chunks are of bounded size and each
-receives only the ranks of its own words or pairs; nothing is broadcast or collected.
+A phrase is no more frequent than any part of it, so no round loses a phrase that counts. Chunks are of bounded size. The ranks
+of a round go to all tasks if there are few, by a count; more of them are joined to the chunks that hold them.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskframe.llm.common import stored, width
 
-TOKENS = 3_000_000  # words of a chunk; a task holds four times as many over all languages
+TOKENS = 1_500_000  # words of a chunk; a task holds four times as many over all languages
 SLAB = 1 << 20  # bytes of a text that are cut into words at once
 BITS = 10  # a tile has 2^BITS by 2^BITS cells
 DENSE = 1 << 14  # pairs from which a tile is counted by its cells
@@ -30,7 +31,10 @@ CODE = 32  # bits of a rank in the code of a pair
 SALTS = 64
 # . , ; : ! ? and line feed to carriage return end a piece; bytes so that letters of any script stay whole
 _PIECES = bytes(0x2E if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-_ROWS = "chunk long, lang string, body long, width int, seq binary, code long, word binary, n long"
+RANKS = 1_000_000  # symbols whose ranks are broadcast; more are joined to the chunks that hold them
+MERGED = 2_000_000  # pairs whose counts a task holds
+_CHUNK = "chunk long, lang string, body long, n long, width int, seq binary, words binary, counts binary"
+_NAMES = [c.split(" ")[0] for c in _CHUNK.split(", ")]
 
 
 # ---------------------------------------------------------------- chunks
@@ -43,22 +47,24 @@ def _packed(seq: np.ndarray) -> tuple[int, bytes]:
 
 
 def _unpacked(size: int, data) -> np.ndarray:
-    return np.frombuffer(data, f"<u{size}").astype(np.int64) - 1
-
-
-def _batch(chunk: int, lang: str, body=None, seq=None, code=(), word=None, n=()) -> pa.RecordBatch:
-    """Either the row of a chunk's sequence or rows of its counted symbols."""
-    rows = 1 if seq is not None else len(code)
-    size, data = _packed(seq) if seq is not None else (None, None)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(rows, chunk), pa.int64()), pa.array([lang] * rows, pa.string()), pa.array([body] * rows, pa.int64()),
-            pa.array([size] * rows, pa.int32()), pa.array([data] * rows, pa.binary()),
-            pa.array(code if seq is None else [None], pa.int64()),
-            pa.array(word if word is not None else [None] * rows, pa.binary()), pa.array(n if seq is None else [None], pa.int64()),
-        ],
-        _ROWS.replace(" long", "").replace(" string", "").replace(" int", "").replace(" binary", "").split(", "),
-    )
+    kind = np.int32 if size < 4 else np.int64
+    seq = np.frombuffer(data, f"<u{size}").astype(kind)
+    seq -= 1
+    return seq
+
+
+def _row(chunk: int, lang: str, body: int, n: int, seq: np.ndarray, words: bytes | None = None, counts: bytes | None = None) -> pa.RecordBatch:
+    values = [chunk, lang, body, n, *_packed(seq), words, counts]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], _NAMES)
+
+
+def _opened(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """(chunk, lang, body, n, sequence, words, counts) of each chunk."""
+    for batch in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
+        for i in range(batch.num_rows):
+            chunk, lang, body, n, size, data, words, counts = (c[i].as_py() for c in batch.columns)
+            yield chunk, lang, body, n, _unpacked(size, data), words, counts
 
 
 class _Words:
@@ -85,7 +91,7 @@ class _Words:
 
 
 def encoded(docs: DataFrame, lang: str, text: str, longest: int, tokens: int = TOKENS, slab: int = SLAB) -> DataFrame:
-    """The chunks of all texts (rows with ``seq``) and their words with counts (rows with ``code``).
+    """The chunks of all texts, each with its words and their counts.
 
     A chunk ends where a text ends, but a text past two chunks is cut: the words after the cut that a phrase can reach are
     written with both chunks and begin phrases only in the second.
@@ -98,10 +104,7 @@ def encoded(docs: DataFrame, lang: str, text: str, longest: int, tokens: int = T
         def closed(name: str, ahead: int = 0) -> Iterator[pa.RecordBatch]:
             nonlocal made
             body, seq, words, counts, again = open_.pop(name).chunk(ahead)
-            yield _batch(made, name, body, seq)
-            for at in range(0, len(words), 65_536):
-                z = slice(at, at + 65_536)
-                yield _batch(made, name, code=np.arange(len(words))[z], word=words[z], n=counts[z])
+            yield _row(made, name, body, int(counts.sum()), seq, b" ".join(words), counts.astype(np.int64).tobytes())
             made += 1
             if again:
                 open_[name] = _Words()
@@ -133,7 +136,27 @@ def encoded(docs: DataFrame, lang: str, text: str, longest: int, tokens: int = T
             yield from closed(name)
 
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("text"))
-    return texts.mapInArrow(run, _ROWS)
+    return texts.mapInArrow(run, _CHUNK)
+
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(holder, lang, code, word, n): the words of every chunk with their numbers in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, _, _, _, words, counts in _opened(batch):
+                words, counts = words.split(), np.frombuffer(counts, np.int64)
+                for at in range(0, len(words), 65_536):
+                    now = words[at:at + 65_536]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(now), chunk), pa.int64()), pa.array([lang] * len(now), pa.string()), pa.array(np.arange(at, at + len(now)), pa.int64()),
+                            pa.array(now, pa.binary()), pa.array(counts[at:at + len(now)], pa.int64()),
+                        ],
+                        ["holder", "lang", "code", "word", "n"],
+                    )
+
+    return chunks.mapInArrow(run, "holder long, lang string, code long, word binary, n long")
 
 
 # ---------------------------------------------------------------- tiles
@@ -143,9 +166,10 @@ def tiled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     side, mask = (int(max(a.max(), b.max())) >> BITS) + 1, (1 << BITS) - 1
-    tile = (a >> BITS) * side + (b >> BITS)
+    tile = (a >> BITS).astype(np.int32 if side < 1 << 15 else np.int64) * side + (b >> BITS)
     order = np.argsort(tile, kind="stable")
-    tile, a, b = tile[order], a[order], b[order]
+    tile, a, b = tile[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    del order
     starts = np.r_[0, np.flatnonzero(np.diff(tile)) + 1, len(tile)]
     codes, counts, rest = [], [], []
     for low, high in zip(starts[:-1][np.diff(starts) >= DENSE], starts[1:][np.diff(starts) >= DENSE]):
@@ -164,39 +188,107 @@ def tiled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _neighbours(seq: np.ndarray) -> np.ndarray:
     """The code of every pair of neighbours, -1 where one of them is no frequent symbol."""
-    return np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] << CODE | seq[1:], -1)
-
-
-def advanced(parts: DataFrame, ranks: DataFrame, pairs: bool) -> DataFrame:
-    """The chunks rewritten in the ranks of their symbols, words or pairs, and the new neighbours counted."""
-    chunks = parts.filter("seq is not null").select("chunk", "lang", "body", "width", "seq")
-    # each chunk gets the ranks of what it holds itself
-    wanted = parts.filter("code is not null").select("chunk", "lang", "code", "word").join(
-        ranks.select("lang", *(["code"] if pairs else ["word"]), "id"), ["lang", "code" if pairs else "word"]
-    ).select(F.col("chunk").alias("holder"), "code", "id")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = [_batch(0, "")]
-        code, rank = right.column("code").to_numpy(), right.column("id").to_numpy()
-        order = np.argsort(code)
-        code, rank = np.r_[code[order], np.iinfo(np.int64).max], np.r_[rank[order], -1]
-        for chunk, lang, body, size, data in zip(*(c.to_pylist() for c in left.columns)):  # one row
-            old = _unpacked(size, data)
-            old = _neighbours(old) if pairs else old
-            at = np.searchsorted(code, old)
-            seq = np.where(code[at] == old, rank[at], -1)
-            keep = (seq >= 0) | np.r_[True, seq[:-1] >= 0]  # one mark for a run of rare symbols
-            body, seq = int(keep[:body].sum()), seq[keep]
-            begins = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-            ahead, begins = begins[begins >= body], begins[begins < body]
-            codes, counts = tiled(seq[begins], seq[begins + 1])
-            if len(ahead):  # counted in the next chunk, but needed here to go on
-                more = np.setdiff1d(seq[ahead] << CODE | seq[ahead + 1], codes)
-                codes, counts = np.r_[codes, more], np.r_[counts, np.zeros(len(more), np.int64)]
-            made += [_batch(chunk, lang, body, seq), _batch(chunk, lang, code=codes, n=counts)]
-        return pa.Table.from_batches(made)
-
-    return chunks.groupBy("chunk").cogroup(wanted.groupBy("holder")).applyInArrow(run, _ROWS)
+    return np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1].astype(np.int64) << CODE | seq[1:], -1)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes once each, in order, with the sums of their counts."""
+    codes, counts = (np.concatenate(p) for p in zip(*parts))
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def pair_counts(chunks: DataFrame, by_chunk: bool = False) -> DataFrame:
+    """(holder, lang, code, n): the neighbours of the chunks, counted in tiles and added up inside a task.
+
+    By chunk, every pair of the chunk is there, those that begin no phrase in it with 0; else ``holder`` is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def sent(name: str, chunk: int | None = None) -> Iterator[pa.RecordBatch]:
+            codes, counts = _merged(held.pop(name))
+            for at in range(0, len(codes), 65_536):
+                z = slice(at, at + 65_536)
+                rows = len(codes[z])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * rows, pa.int64()), pa.array([name] * rows, pa.string()), pa.array(codes[z]), pa.array(counts[z])],
+                    ["holder", "lang", "code", "n"],
+                )
+
+        for batch in batches:
+            for chunk, lang, body, _, seq, _, _ in _opened(batch):
+                begins = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+                ahead, begins = begins[begins >= body], begins[begins < body]
+                found = held.setdefault(lang, [])
+                found.append(tiled(seq[begins], seq[begins + 1]))
+                if by_chunk:
+                    found.append((seq[ahead].astype(np.int64) << CODE | seq[ahead + 1], np.zeros(len(ahead), np.int64)))
+                    yield from sent(lang, chunk)
+                elif sum(len(c) for c, _ in found) > MERGED:
+                    held[lang] = [_merged(found)]
+                    if len(held[lang][0][0]) > MERGED // 2:
+                        yield from sent(lang)
+        for name in list(held):
+            yield from sent(name)
+
+    return chunks.mapInArrow(run, "holder long, lang string, code long, n long")
+
+
+def rewritten(chunks: DataFrame, ranks: DataFrame, pairs: bool) -> DataFrame:
+    """The chunks in the ranks of their symbols, words or pairs; ``ranks`` has lang, word or code, and id.
+
+    Up to ``RANKS`` symbols, counted first, go to every task. More are joined to the symbols of each chunk, and a chunk meets
+    only its own.
+    """
+    key = "code" if pairs else "word"
+
+    def renewed(row: tuple, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """``codes`` in order, with a last one that never occurs."""
+        chunk, lang, body, n, seq, _, _ = row
+        old = _neighbours(seq) if pairs else seq
+        at = np.searchsorted(codes, old)
+        new = np.where(codes[at] == old, ids[at], -1)
+        keep = (new >= 0) | np.r_[True, new[:-1] >= 0]  # one mark for a run of rare symbols
+        return _row(chunk, lang, int(keep[:body].sum()), n, new[keep])
+
+    last, none = np.iinfo(np.int64).max, np.full(1, -1)
+    if ranks.limit(RANKS + 1).count() <= RANKS:
+        table = ranks.select("lang", key, "id").toArrow()
+        by_lang = {}
+        for name in set(table.column("lang").to_pylist()):
+            part = table.filter(pc.equal(table.column("lang"), name)).sort_by(key)
+            by_lang[name] = part.column(key).combine_chunks(), part.column("id").to_numpy()
+        shared = chunks.sparkSession.sparkContext.broadcast(by_lang)
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in _opened(batch):
+                    symbols, ids = shared.value.get(row[1], (None, none[:0]))
+                    if not len(ids):
+                        codes = none[:0]
+                    elif pairs:
+                        codes = symbols.to_numpy()
+                    else:
+                        place = pc.index_in(pa.array(row[5].split(), pa.binary()), value_set=symbols).to_numpy(zero_copy_only=False)
+                        codes = np.flatnonzero(~np.isnan(place))
+                        ids = ids[place[codes].astype(np.int64)]
+                    yield renewed(row, np.append(codes, last), np.append(ids, -1))
+
+        return chunks.mapInArrow(known, _CHUNK)
+    held = pair_counts(chunks, True) if pairs else word_counts(chunks)
+    wanted = held.join(ranks.select("lang", key, "id"), ["lang", key]).select("holder", "code", "id")
+
+    def own(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
+        order = np.argsort(codes)
+        made = [renewed(row, np.append(codes[order], last), np.append(ids[order], -1)) for row in _opened(left)]
+        return pa.Table.from_batches(made) if made else left
+
+    return chunks.groupBy("chunk").cogroup(wanted.groupBy("holder")).applyInArrow(own, _CHUNK)
 
 
 def ranked(frequent: DataFrame, symbol: str, name: str) -> DataFrame:
@@ -248,18 +340,17 @@ def collocations(
     A null or empty text has no words; a null language is ``und``, together with rows that say so. Repeated rows count each
     time. Other columns play no part; no rows give no rows.
     """
-    parts = stored(encoded(docs, lang, text, longest, tokens, slab), "phrases-words")
-    counted = parts.filter("word is not null")
-    totals = stored(counted.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
-    frequent = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrases-frequent")
+    chunks = stored(encoded(docs, lang, text, longest, tokens, slab), "phrases-chunks")
+    totals = stored(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    counted = word_counts(chunks).groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    frequent = stored(counted.filter(F.col("f") >= least), "phrases-frequent")
     empty = F.array().cast("array<long>")
     level = ranked(frequent, "word", "phrases-ranked").withColumns({"last": F.col("word"), "phrase": F.col("word"), "starts": empty, "ends": empty})
     level = stored(level.select("lang", "id", "f", "word", "phrase", "last", "starts", "ends"), "phrases-1")
     found = None
     for size in range(2, longest + 1):
-        symbol = "word" if size == 2 else "code"
-        parts = stored(advanced(parts, level.select("lang", symbol, "id"), size > 2), f"phrases-parts-{size}")
-        sums = parts.filter("code is not null").groupBy("lang", "code").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        chunks = stored(rewritten(chunks, level, size > 2), f"phrases-chunks-{size}")
+        sums = pair_counts(chunks).groupBy("lang", "code").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         pairs = ranked(stored(sums, "phrases-frequent"), "code", "phrases-ranked")
         pairs = pairs.select("lang", "id", "f", "code", F.shiftright("code", CODE).alias("x"), F.col("code").bitwiseAND((1 << CODE) - 1).alias("y"))
         head = level.select("lang", F.col("id").alias("x"), F.col("phrase").alias("head"), F.col("f").alias("fx"), F.col("starts").alias("sx"))
