@@ -13,7 +13,8 @@ import numpy as np
 TREES_PER_BLOCK = 64
 LEAVES_PER_BLOCK = 128
 ROWS_PER_TILE = 256
-TABLE_FEATURES = 10  # leaves with more distinct features are weighted path by path instead of by table
+BRANCH_BITS = 8  # features on the path and splits inside of a branch that is tabulated
+ATTRIBUTED_ROWS = 4096
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _DE_BRUIJN = np.uint64(0x03F79D71B4CB0A89)
 _PLACE = np.zeros(64, np.int64)
@@ -174,72 +175,148 @@ class Scorer(Leaves):
 
 
 class Attributions:
-    """Contributions of every feature: per leaf, the Shapley value given which of its path's features agree."""
+    """Contributions of every feature.
 
-    def __init__(self, leaves, features: list[str], trees):
-        """``leaves`` are path summaries: features, tests, share, value."""
+    A tree is cut into branches. What a branch adds depends only on one bit for each feature on the path to it (whether the row
+    passes all of that path's tests on it) and one for each split inside, so it is tabulated over these bits: the
+    Shapley values of its leaves, summed, for each feature. A batch makes the bits of every split once, and each branch
+    is one look-up per feature for all rows together, in a table that stays in cache. A leaf with too many features on its path for
+    a table is weighted on its own.
+    """
+
+    def __init__(self, trees, features: list[str], bits: int = BRANCH_BITS):
         self.intervals = Intervals(trees, features)
-        self.n, self.known = len(features), {}
-        self.blocks, self.large = [], []
+        self.n, self.trees, self.large, self.splits = len(features), [], [], []
         by_length: dict[int, list] = {}
-        for leaf in leaves:
-            by_length.setdefault(len(leaf.features), []).append(leaf)
-        for d, found in sorted(by_length.items()):
-            if d > TABLE_FEATURES:
-                self.large += [self._large(x) for x in found]
-            else:
-                self.blocks += [self._block(found[i:i + LEAVES_PER_BLOCK], d) for i in range(0, len(found), LEAVES_PER_BLOCK)]
-        self.known.clear()
-
-    def _agree(self, tests) -> tuple[int, np.ndarray]:
-        """The feature, and per interval of it, whether a value there passes all the tests."""
-        f = self.intervals.index[tests[0][0].feature]
-        key = (f, *((n.threshold, bool(n.missing_left), left) for n, left in tests))
-        if key not in self.known:
-            t = self.intervals.thresholds[f]
-            ok = np.ones(len(t) + 2, bool)
-            for node, left in tests:
-                goes = np.arange(len(t) + 2) <= int(np.searchsorted(t, node.threshold))
-                goes[-1] = bool(node.missing_left)
-                ok &= goes == left
-            self.known[key] = ok
-        return f, self.known[key]
-
-    def _block(self, leaves, d: int):
-        """Leaves of d features: marks per interval (bit k, times d), tables, and the entries in order of their feature."""
-        table = shapley_table(np.array([x.share for x in leaves]), np.array([x.value for x in leaves]))
-        marks: dict[int, np.ndarray] = {}
-        entries = []
-        for at, leaf in enumerate(leaves):
-            for k, tests in enumerate(leaf.tests):
-                f, ok = self._agree(tests)
-                if f not in marks:
-                    marks[f] = np.zeros((len(ok), len(leaves)), np.int32)
-                marks[f][:, at] += ok * np.int32(d << k)
-                entries.append((f, at, k))
-        entries.sort()
-        f, at, k = (np.array(c) for c in zip(*entries))
-        starts = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-        return sorted(marks.items()), table.ravel(), at, (at * (d << d) + k).astype(np.int32), starts, f[starts]
-
-    def _large(self, leaf):
-        return [self._agree(t) for t in leaf.tests], np.array(leaf.share), leaf.value
+        for tree in trees:
+            splits = [i for i, node in tree.items() if not node.is_leaf]
+            place = {i: k for k, i in enumerate(splits)}
+            self.splits.append(place)
+            inner = dict.fromkeys(tree, 0)
+            for i in _below(tree):
+                if not tree[i].is_leaf:
+                    inner[i] = 1 + inner[tree[i].left] + inner[tree[i].right]
+            branches, work = [], [(0, {})]
+            while work:
+                at, path = work.pop()
+                if len(path) + inner[at] <= bits:
+                    if path or inner[at]:
+                        branches.append(self._branch(tree, at, path, place, by_length))
+                elif tree[at].is_leaf:
+                    self.large.append(self._large(tree[at], path))
+                else:
+                    work += [(child, self._longer(tree, at, child, path)) for child in (tree[at].left, tree[at].right)]
+            tests = [(self.intervals.index[tree[i].feature], self._place(tree[i]), bool(tree[i].missing_left)) for i in splits]
+            self.trees.append((tests, branches))
+        self._tabulate(by_length)
+
+    def _place(self, node) -> int:
+        return int(np.searchsorted(self.intervals.thresholds[self.intervals.index[node.feature]], node.threshold))
+
+    def _longer(self, tree, at: int, child: int, path: dict) -> dict:
+        """A path with the split that leads to the child: per feature its tests as (node, left) and its share of the cover."""
+        node = tree[at]
+        f = self.intervals.index[node.feature]
+        tests, share = path.get(f, ((), 1.0))
+        return {**path, f: ((*tests, (at, child == node.left)), share * (tree[child].cover / node.cover if node.cover else 0.0))}
+
+    def _branch(self, tree, top: int, above: dict, place: dict, by_length: dict):
+        """(tests of each bit, features, table still empty); its leaves are filed by their number of features."""
+        bits = [tuple((place[i], left) for i, left in tests) for tests, _ in above.values()]
+        need = {f: ((k, True),) for k, f in enumerate(above)}
+        leaves, work = [], [(top, above, need)]
+        while work:
+            at, path, wanted = work.pop()
+            node = tree[at]
+            if node.is_leaf:
+                leaves.append((node.value, path, wanted))
+                continue
+            f, bit = self.intervals.index[node.feature], len(bits)
+            bits.append(((place[at], True),))
+            for child in (node.left, node.right):
+                work.append((child, self._longer(tree, at, child, path), {**wanted, f: (*wanted.get(f, ()), (bit, child == node.left))}))
+        owners = sorted({f for _, path, _ in leaves for f in path})
+        table = np.zeros((len(owners), 1 << len(bits)))
+        for value, path, wanted in leaves:
+            order = list(path)
+            entry = ([path[f][1] for f in order], value, [wanted[f] for f in order], [owners.index(f) for f in order], table)
+            by_length.setdefault(len(order), []).append(entry)
+        return bits, owners, table
+
+    def _tabulate(self, by_length: dict) -> None:
+        columns: dict[int, np.ndarray] = {}
+        for entries in by_length.values():
+            for start in range(0, len(entries), LEAVES_PER_BLOCK):
+                part = entries[start:start + LEAVES_PER_BLOCK]
+                values = shapley_table(np.array([e[0] for e in part]), np.array([e[1] for e in part]))
+                for (_, _, wanted, owners, table), value in zip(part, values):
+                    size = table.shape[1]
+                    if size not in columns:
+                        columns[size] = (np.arange(size) >> np.arange(max(1, size.bit_length() - 1))[:, None]) & 1
+                    mask = np.zeros(size, np.int64)
+                    for k, tests in enumerate(wanted):
+                        ok = np.ones(size, bool)
+                        for bit, left in tests:
+                            ok &= columns[size][bit] == left
+                        mask |= ok.astype(np.int64) << k
+                    table[owners] += value[mask].T
+
+    def _large(self, leaf, path: dict):
+        return path, np.array([share for _, share in path.values()]), leaf.value, len(self.trees)
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        phi = np.zeros((len(x), self.n))
-        for start in range(0, len(x), ROWS_PER_TILE):
-            rows = slice(start, start + ROWS_PER_TILE)
-            numbers = self.intervals.of(x[rows])
-            for marks, table, at, base, starts, owners in self.blocks:
-                mask = sum(m[numbers[f]] for f, m in marks)
-                place = np.take(mask, at, axis=1)
-                place += base
-                phi[rows][:, owners] += np.add.reduceat(np.take(table, place), starts, axis=1)
-            for tests, share, value in self.large:
-                agree = np.column_stack([ok[numbers[f]] for f, ok in tests]).astype(float)
-                for k, (f, _) in enumerate(tests):
-                    phi[rows, f] += value * (agree[:, k] - share[k]) * _others(agree, share[None], k)
-        return phi
+        phi = np.zeros((self.n, len(x)))
+        for start in range(0, len(x), ATTRIBUTED_ROWS):
+            rows = slice(start, start + ATTRIBUTED_ROWS)
+            self._add(phi[:, rows], x[rows])
+        return phi.T
+
+    def _add(self, phi: np.ndarray, x: np.ndarray) -> None:
+        count = phi.shape[1]
+        low, high = [], []  # interval numbers with missing values before all, and after all
+        for k, numbers in enumerate(self.intervals.of(x)):
+            kind = np.int16 if len(self.intervals.thresholds[k]) < 32_000 else np.int32
+            high.append(numbers.astype(kind))
+            low.append(np.where(np.isnan(x[:, k]), kind(-1), high[-1]))
+        found, pattern, at = np.empty(count), np.empty(count, np.uint16), np.empty(count, np.intp)
+        large = {}
+        for leaf in self.large:
+            large.setdefault(leaf[3], []).append(leaf)
+        for number, (tests, branches) in enumerate(self.trees):
+            left = [(low if missing_left else high)[f] <= place for f, place, missing_left in tests]
+            right = [~a for a in left]
+            for bits, owners, table in branches:
+                pattern[:] = 0
+                for bit in reversed(bits):
+                    pattern += pattern
+                    split, is_left = bit[0]
+                    passed = left[split] if is_left else right[split]
+                    for split, is_left in bit[1:]:
+                        passed = passed & (left[split] if is_left else right[split])
+                    pattern |= passed
+                at[:] = pattern
+                for f, values in zip(owners, table):
+                    np.take(values, at, out=found, mode="clip")
+                    phi[f] += found
+            for path, share, value, _ in large.get(number, ()):
+                place = self.splits[number]
+                agree = np.ones((count, len(path)))
+                for k, (steps, _) in enumerate(path.values()):
+                    for i, is_left in steps:
+                        agree[:, k] *= (left if is_left else right)[place[i]]
+                for k, f in enumerate(path):
+                    phi[f] += value * (agree[:, k] - share[k]) * _others(agree, share[None], k)
+
+
+def _below(tree) -> list[int]:
+    """Nodes with every child before its parent."""
+    order, work = [], [0]
+    while work:
+        at = work.pop()
+        order.append(at)
+        if not tree[at].is_leaf:
+            work += [tree[at].left, tree[at].right]
+    return order[::-1]
 
 
 def shapley_table(share: np.ndarray, value: np.ndarray) -> np.ndarray:

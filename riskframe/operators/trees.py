@@ -115,9 +115,12 @@ def load_ensemble(nodes: DataFrame, baseline: float = 0.0, max_nodes: int = MAX_
 
 # ---------------------------------------------------------------- scoring
 
-def _goes_left(node: Node) -> str:
-    """NaN counts as missing; Spark itself would order it above all numbers."""
-    value = f"nullif(double(`{node.feature}`), double('NaN'))"
+CLEANED = "__clean_"
+
+
+def _goes_left(node: Node, cleaned: bool = False) -> str:
+    """NaN counts as missing; Spark itself would order it above all numbers. ``cleaned`` reads a column without NaN."""
+    value = f"`{CLEANED}{node.feature}`" if cleaned else f"nullif(double(`{node.feature}`), double('NaN'))"
     test = f"{value} <= {sql_double(node.threshold)}"
     return f"coalesce({test}, {'true' if node.missing_left else 'false'})"
 
@@ -284,14 +287,15 @@ def _leaves(tree: dict[int, Node]) -> list[Leaf]:
 
 
 def attribution_expressions(ensemble: Ensemble) -> dict[str, Column]:
-    """Contribution of each used feature to the log-odds, as generated code."""
+    """Contribution of each used feature to the log-odds, as generated code over the ``CLEANED`` features: every split
+    is tested in several terms, so NaN is taken off once before, which keeps the code small enough to be compiled."""
     terms: dict[str, list[str]] = {f: [] for f in ensemble.features}
     for tree in ensemble.trees:
         for leaf in _leaves(tree):
             if not leaf.features:
                 continue
             agree = [
-                " and ".join(_goes_left(n) if left else f"not {_goes_left(n)}" for n, left in tests)
+                " and ".join(_goes_left(n, True) if left else f"not {_goes_left(n, True)}" for n, left in tests)
                 for tests in leaf.tests
             ]
             mask = " + ".join(f"(int({a}) * {1 << k})" for k, a in enumerate(agree))
@@ -305,8 +309,7 @@ def attribution_expressions(ensemble: Ensemble) -> dict[str, Column]:
 def attributions_vectorised(spark, ensemble: Ensemble) -> Column:
     """Contributions as an array in the order of ``ensemble.features``."""
     features = ensemble.features
-    leaves = [leaf for tree in ensemble.trees for leaf in _leaves(tree) if leaf.features]
-    shipped = spark.sparkContext.broadcast(Attributions(leaves, features, ensemble.trees))
+    shipped = spark.sparkContext.broadcast(Attributions(ensemble.trees, features))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(rows: pd.DataFrame) -> pd.Series:
@@ -332,7 +335,8 @@ def with_attributions(df: DataFrame, ensemble: Ensemble, name: str = "contributi
             )
             for f in features
         ]
-        return df.withColumn(name, F.array(*parts))
+        clean_ = df.withColumns({f"{CLEANED}{f}": clean(F.col(f)) for f in features})
+        return clean_.withColumn(name, F.array(*parts)).drop(*[f"{CLEANED}{f}" for f in features])
     explained = df.withColumn("__phi", attributions_vectorised(df.sparkSession, ensemble))
     parts = [
         F.struct(

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from riskframe.operators.bitscore import Attributions, Scorer
+from riskframe.operators.bitscore import Attributions, Scorer, _others
 from riskframe.operators.trees import Ensemble, Node, _leaves, raw_score_expression, raw_score_vectorised, with_donors
 
 
@@ -63,11 +63,30 @@ def test_scores_equal_walking(case):
 def test_attributions_add_up(case):
     forest, names, x, _ = case
     x = x[:40]
-    phi = Attributions([leaf for t in forest for leaf in _leaves(t) if leaf.features], names, forest).of(x)
+    phi = Attributions(forest, names).of(x)
     base = sum(sum(n.value * n.cover for n in t.values() if n.is_leaf) / t[0].cover for t in forest)
     assert phi.sum(axis=1) + base == pytest.approx(Scorer(forest, names, 0.0).raw(x))
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3, 8])
+def test_attributions_equal_a_sum_over_leaves(case, bits):
+    """Branch tables of any size give what the polynomials of the single leaves give."""
+    forest, names, x, _ = case
+    forest, x = forest[:3], x[:25]
+    want = np.zeros((len(x), len(names)))
+    for tree in forest:
+        for leaf in _leaves(tree):
+            agree = np.ones((len(x), len(leaf.features)))
+            for k, tests in enumerate(leaf.tests):
+                for node, left in tests:
+                    v = x[:, names.index(node.feature)]
+                    agree[:, k] *= np.where(np.isnan(v), node.missing_left, v <= node.threshold) == left
+            share = np.array(leaf.share)
+            for k, f in enumerate(leaf.features):
+                want[:, names.index(f)] += leaf.value * (agree[:, k] - share[k]) * _others(agree, share[None], k)
+    assert Attributions(forest, names, bits).of(x) == pytest.approx(want, abs=1e-9)
+
+
 def test_both_forms_on_missing_and_infinite_inputs(spark):
     rng = np.random.default_rng(4)
     model = Ensemble([grown(rng, 3, 3, 7) for _ in range(4)], -0.5)
