@@ -14,16 +14,17 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from riskframe.llm.common import stored, width
 
-TOKENS = 1_500_000  # words of a chunk; a task holds four times as many over all languages
+TOKENS = 1_000_000  # words of a chunk; a task holds four times as many over all languages
 SLAB = 1 << 20  # bytes of a text that are cut into words at once
 BITS = 10  # a tile has 2^BITS by 2^BITS cells
 DENSE = 1 << 14  # pairs from which a tile is counted by its cells
@@ -32,7 +33,7 @@ SALTS = 64
 # . , ; : ! ? and line feed to carriage return end a piece; bytes so that letters of any script stay whole
 _PIECES = bytes(0x2E if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 RANKS = 1_000_000  # symbols whose ranks are broadcast; more are joined to the chunks that hold them
-MERGED = 2_000_000  # pairs whose counts a task holds
+MERGED = 1_000_000  # pairs whose counts a task holds
 _CHUNK = "chunk long, lang string, body long, n long, width int, seq binary, words binary, counts binary"
 _NAMES = [c.split(" ")[0] for c in _CHUNK.split(", ")]
 
@@ -291,6 +292,18 @@ def rewritten(chunks: DataFrame, ranks: DataFrame, pairs: bool) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(wanted.groupBy("holder")).applyInArrow(own, _CHUNK)
 
 
+@contextmanager
+def one_chunk_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of one row: a chunk is megabytes, and a batch of many would stand in memory twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ranked(frequent: DataFrame, symbol: str, name: str) -> DataFrame:
     """``id`` by falling frequency within the language, from 0, from one range-partitioned sort."""
     order = [F.col("lang"), F.desc("f"), F.col(symbol)]
@@ -343,15 +356,18 @@ def collocations(
     chunks = stored(encoded(docs, lang, text, longest, tokens, slab), "phrases-chunks")
     totals = stored(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     counted = word_counts(chunks).groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    frequent = stored(counted.filter(F.col("f") >= least), "phrases-frequent")
+    with one_chunk_at_a_time(docs.sparkSession):
+        frequent = stored(counted.filter(F.col("f") >= least), "phrases-frequent")
     empty = F.array().cast("array<long>")
     level = ranked(frequent, "word", "phrases-ranked").withColumns({"last": F.col("word"), "phrase": F.col("word"), "starts": empty, "ends": empty})
     level = stored(level.select("lang", "id", "f", "word", "phrase", "last", "starts", "ends"), "phrases-1")
     found = None
     for size in range(2, longest + 1):
-        chunks = stored(rewritten(chunks, level, size > 2), f"phrases-chunks-{size}")
-        sums = pair_counts(chunks).groupBy("lang", "code").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        pairs = ranked(stored(sums, "phrases-frequent"), "code", "phrases-ranked")
+        with one_chunk_at_a_time(docs.sparkSession):
+            chunks = stored(rewritten(chunks, level, size > 2), f"phrases-chunks-{size}")
+            sums = pair_counts(chunks).groupBy("lang", "code").agg(F.sum("n").alias("f"))
+            sums = stored(sums.filter(F.col("f") >= least), "phrases-frequent")
+        pairs = ranked(sums, "code", "phrases-ranked")
         pairs = pairs.select("lang", "id", "f", "code", F.shiftright("code", CODE).alias("x"), F.col("code").bitwiseAND((1 << CODE) - 1).alias("y"))
         head = level.select("lang", F.col("id").alias("x"), F.col("phrase").alias("head"), F.col("f").alias("fx"), F.col("starts").alias("sx"))
         tail = level.select("lang", F.col("id").alias("y"), F.col("last").alias("tail"), F.col("f").alias("fy"), F.col("ends").alias("ey"))
