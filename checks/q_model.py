@@ -17,7 +17,8 @@ from riskframe.operators import calibration as C, distributions as S, fairness a
 from riskframe.operators.history import logged_outcomes, logged_scores
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.operators.silver import silver_rejected
-from riskframe.plans.scoring import score_requests
+from riskframe.plans import scoring as P
+from riskframe.session import scratch_path
 
 USED = ["dti", "fico_score", "loan_to_income"]
 
@@ -206,9 +207,14 @@ SELECT request_id, applicant_id, error, CASE WHEN error IS NULL THEN round(s, 5)
   CASE WHEN error IS NULL THEN {Q.points('pd')} END AS scaled_score, CASE WHEN error IS NULL THEN {Q.decision('pd')} END AS decision,
   CASE WHEN error IS NULL THEN fico_score END AS fico_score, CASE WHEN error IS NULL THEN grade END AS grade FROM graded""", M14_PARTS))
 def score_all(spark, d):
+    """Both tables read back after one write; the second write of the same batch changes nothing."""
     model = T.load_ensemble(T.node_covers(V.gold(spark, d), V.tree_nodes(spark)), V.BASELINE)
-    done = score_requests(V.requests(spark, d), V.feature_store(spark, d), model, V.CALIBRATOR, V.now(), V.MODEL_VERSION, 1)
-    return done.select("request_id", "applicant_id", "error", "score", "calibrated_pd", "scaled_score", "decision", "fico_score", "grade")
+    done = P.score_requests(V.requests(spark, d), V.feature_store(spark, d), model, V.CALIBRATOR, V.now(), V.MODEL_VERSION, 1)
+    table = P.scored_table(spark, scratch_path(spark, "scored"))
+    P.write_scored(table, done, batch=0)
+    P.write_scored(table, done, batch=0)
+    both = P.written_results(table).unionByName(P.written_errors(table), allowMissingColumns=True)
+    return both.select("request_id", "applicant_id", "error", "score", "calibrated_pd", "scaled_score", "decision", "fico_score", "grade")
 
 
 # ---------------------------------------------------------------- training

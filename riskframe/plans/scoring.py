@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.parsing import applicant_id_problem
@@ -10,6 +10,7 @@ from riskframe.functions.scorecard import calibrated, decision, points
 from riskframe.functions.numeric import round_away
 from riskframe.operators.joins import admissibility, lookup_features
 from riskframe.operators.trees import Ensemble, with_attributions, with_probability, with_reasons
+from riskframe.sources.versions import VersionedTable
 
 
 def decide(
@@ -44,7 +45,7 @@ def score_requests(
     """One row per request; ``error`` is NULL for a decision and names the failure otherwise.
 
     ``requests`` has request_id and applicant_id. Nothing is dropped: results()
-    and errors() split the frame.
+    and errors() split the frame, write_scored() writes both.
     """
     checked = requests.withColumn("problem", applicant_id_problem(F.col("applicant_id")))
     found = admissibility(
@@ -85,3 +86,26 @@ def results(scored: DataFrame) -> DataFrame:
 
 def errors(scored: DataFrame) -> DataFrame:
     return scored.where("error is not null").select("request_id", "applicant_id", "scored_at", "error")
+
+
+def scored_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Where scoring jobs write: decisions and failures as two partitions of one versioned table."""
+    return VersionedTable(spark, path, "kind")
+
+
+def write_scored(table: VersionedTable, scored: DataFrame, batch: int | None = None, writer: str = "batch") -> bool:
+    """Write decisions and errors in one pass and commit them together.
+
+    Both are computed once and staged under a directory of this write; readers see all of the batch or nothing of it. A batch
+    number that this writer has committed before changes nothing and returns False.
+    """
+    kind = F.when(F.col("error").isNull(), F.lit("results")).otherwise(F.lit("errors"))
+    return table.append(scored.withColumn("kind", kind), None if batch is None else writer, batch)
+
+
+def written_results(table: VersionedTable) -> DataFrame:
+    return results(table.read(["results"])).drop("kind")
+
+
+def written_errors(table: VersionedTable) -> DataFrame:
+    return errors(table.read(["errors"]))

@@ -234,7 +234,8 @@ def test_align_rejected(spark):
 
 
 def test_scoring_job_sorts_out_failures(spark):
-    from riskframe.plans.scoring import errors, results, score_requests
+    from riskframe.plans.scoring import errors, results, score_requests, scored_table, write_scored, written_errors, written_results
+    from riskframe.session import scratch_path
 
     now = datetime(2024, 2, 15)
     old = datetime(2024, 1, 1)
@@ -251,3 +252,10 @@ def test_scoring_job_sorts_out_failures(spark):
     bad = {r["applicant_id"]: r["error"] for r in errors(done).collect()}
     assert bad["stale"] == "stale" and bad["other"] == "version_missing" and bad["absent"] == "feature_missing" and bad["nobody"] == "not_found"
     assert "only letters" in bad["bad id"] and bad[""] == "applicant_id is required"
+
+    table = scored_table(spark, scratch_path(spark, "scored"))
+    assert write_scored(table, done, batch=3) and not write_scored(table, done, batch=3) and not write_scored(table, done, batch=2)
+    assert sorted(written_results(table).drop("feature_snapshot").collect()) == sorted(results(done).drop("feature_snapshot").collect())
+    assert sorted(written_errors(table).collect()) == sorted(errors(done).collect())
+    assert table.manifest().number == 1 and write_scored(table, results(done).withColumn("error", F.lit(None).cast("string")), batch=4)
+    assert written_results(table).count() == 4 and written_errors(table).count() == 6

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.functions.binning import linspace
+from riskframe.functions.scorecard import calibrated
 from riskframe.operators import calibration as C, distributions as S, eda as E, order, ranking as R
 
 
@@ -281,3 +282,42 @@ def test_no_window_runs_over_all_rows(spark, data):
     assert windows, "the running window is partitioned by range"
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert linspace(0.0, 1.0, 3) == [0.0, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("per_range", [3, 40, 50_000])
+@pytest.mark.parametrize("shape", ["rising", "falling", "waves", "noise"])
+def test_isotonic_rounds_end_in_the_pooled_solution(spark, per_range, shape):
+    """Falls across the borders of ranges, whole tables that fall, and small ranges: always the fit of one pass."""
+    rng = np.random.default_rng(3)
+    n = 600
+    base = {"rising": np.arange(n) / n, "falling": 1 - np.arange(n) / n, "waves": np.sin(np.arange(n) / 40) + np.arange(n) / n, "noise": rng.random(n)}[shape]
+    y = base + 0.05 * rng.random(n)
+    frame = spark.createDataFrame([(float(i), float(v)) for i, v in enumerate(y)], "s double, y double").repartition(5)
+    got = sorted(tuple(r) for r in C.fit_isotonic(frame, "y", "s", per_range).collect())
+    first, last, total, weight = C.pooled((np.arange(n), np.arange(n)), y, np.ones(n))
+    want = sorted({(float(x), t / w) for a, b, t, w in zip(first, last, total, weight) for x in (a, b)})
+    assert [x for x, _ in got] == [x for x, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-9)
+
+
+def test_a_million_steps_fit_and_apply_without_lists(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.col("id").cast("double").alias("s"), ((F.col("id") + F.when(F.col("id") % 1000 == 500, 2.5).otherwise(0)) / n).alias("y"))
+    points = C.fit_isotonic(rows, "y", "s").cache()
+    assert points.count() == n and points.select("y").distinct().count() == n - 1000  # every thousandth step holds two scores
+    asked = spark.createDataFrame([(v,) for v in (None, float("nan"), -5.0, 0.0, 10.25, 501.0, 999_999.0, 2e6, 7.0, 7.0)], "p double")
+    got = C.calibrated_by_table(asked, "p", points).collect()
+    assert len(got) == 10
+    value = {r.p: r.calibrated_pd for r in got if r.p is not None and r.p == r.p}
+    step = (500 + 2.5 + 501) / 2 / n
+    assert value == pytest.approx({-5.0: 0.0, 0.0: 0.0, 10.25: 10.25 / n, 501.0: step, 999_999.0: (n - 1) / n, 2e6: (n - 1) / n, 7.0: 7 / n})
+    assert all(r.calibrated_pd is None for r in got if r.p is None or r.p != r.p)
+
+
+def test_a_table_of_breakpoints_maps_as_the_lists_do(spark):
+    rng = np.random.default_rng(5)
+    xs, ys = np.sort(rng.random(50)).tolist(), np.sort(rng.random(50)).tolist()
+    frame = spark.createDataFrame([(float(v),) for v in [*rng.random(300) * 1.4 - 0.2, *xs]], "p double")
+    points = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    both = C.calibrated_by_table(frame, "p", points).withColumn("want", calibrated(F.col("p"), xs, ys)).collect()
+    assert len(both) == 350 and [r.calibrated_pd for r in both] == pytest.approx([r.want for r in both], abs=1e-12)
+    assert {r.calibrated_pd for r in C.calibrated_by_table(frame, "p", points.where("false")).collect()} == {None}
