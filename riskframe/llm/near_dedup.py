@@ -2,9 +2,10 @@
 
 Every text becomes its set of distinct five-word shingles. Many universal hash minima form its signature; bands of
 minima are bucket keys. Texts with equal sets are one class from the start. In a bucket no pairs are listed: every
-member is paired with the bucket's most connected member only. Members of buckets that still hold several components
-lose those whose own shingles, held by no other of them, rule out every link; the rest meet again in longer bands, first with a pseudo-random member, then only across the components that remain. A
-pair must pass the signature estimate and is confirmed on the full sets. Components come from alternating large-star and small-star
+member is paired with the bucket's most connected member only. A pair must pass
+the signature estimate and is confirmed on the full sets. Members of buckets that still hold several components lose those
+whose own shingles, held by no other of them, rule out every link; the rest are put together by longer bands and compared block by
+block on their full sets, where only the links that join components are returned. Components come from alternating large-star and small-star
 steps. Nothing but counts reaches the driver.
 """
 
@@ -23,6 +24,8 @@ WORDS = 5
 LEAST_PCT = 75
 BANDS, ROWS = 48, 5  # a pair at 0.75 is missed by all bands with probability 2.3e-6
 LONG_BANDS, LONG_ROWS = 224, 8  # of the second round, over the same minima: missed with probability 1.5e-6 at 0.75, a chance meeting is 1.9 % at 0.3
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 4_000_000  # of a block, on the average
+COLUMNS = 4096  # members that are compared at once
 SLACK = 0.14  # five deviations of the signature estimate at 0.75
 BROADCAST_IDS = 1_000_000  # ids of eight bytes; more are joined by shuffle
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -184,10 +187,82 @@ def _alike_in_size(n: str, m: str):
     return 100 * F.least(n, m) >= LEAST_PCT * F.greatest(n, m)
 
 
-def _shared_enough(n: str, m: str, a: str, b: str):
-    """Whether sets of n and m shingles, of which a and b occur elsewhere at all, can reach the threshold."""
-    most = F.least(a, b)
-    return 100 * most >= LEAST_PCT * (F.col(n) + F.col(m) - most)
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """[l, r]: how many members the sets share, from bit rows over the members that two of them hold at least."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, held = np.unique(flat, return_inverse=True, return_counts=True)
+    common = held > 1
+    column = np.cumsum(common) - 1
+    use = common[place]
+    owner, column = owner[use], column[place[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(common.sum()), COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        rows = np.zeros((len(sets), COLUMNS), np.float32)
+        rows[owner[low:high], column[low:high] - start] = 1
+        shared += rows[left] @ rows[right].T  # counts below 2^24 are exact
+    return shared.astype(np.int64)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The links that join what the links before them have not."""
+    root, out = list(range(n)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def block_links(rest: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links that join all texts which are alike enough among the members of the buckets ``rest`` (key, c, n, comp).
+
+    Buckets that share members form a group. A group is dealt into blocks of a bounded number of texts and shingles, and
+    every two blocks meet in one task, which compares their full sets as rows of bits and returns a spanning forest
+    of the links it finds: rows grow with the members and blocks, never with the pairs, and no pair is left out.
+    """
+    kind = dict(rest.dtypes)["c"]
+    low = rest.groupBy("key").agg(F.min("c").alias("low"))
+    chained = components(rest.join(low, "key").filter("c != low").select(*_pair("c", "low")).distinct())
+    members = rest.groupBy("c", "comp").agg(F.max("n").alias("n")).join(chained, "c", "left").withColumn("g", F.coalesce("root", "c")).drop("root")
+    members = stored(members, "dedup-members")
+    sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = stored(full_sets(docs, members.select("c").distinct(), doc_id, text), "dedup-sets")
+    met = dealt.join(sets, "c").select(
+        "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "comp", "members"
+    )
+
+    def test(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, comp = table.column("block").to_numpy(), table.column("comp").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("members")]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            size = np.array([len(s) for s in sets])
+            shared = overlaps(sets, left, right)
+            union = size[left][:, None] + size[right][None, :] - shared
+            near = (100 * shared >= LEAST_PCT * union) & (comp[left][:, None] != comp[right][None, :])
+            a, b = np.nonzero(near)
+            found = _forest(left[a], right[b], len(sets))
+        ids = table.column("c").combine_chunks()
+        a, b = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+
+    return met.groupBy("g", "i", "j").applyInArrow(test, f"a {kind}, b {kind}").select(*_pair("a", "b"))
 
 
 def _pair(a, b):
@@ -222,12 +297,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of_one = with_ids(named, several, "doc_id").select("doc_id", "set_key").distinct().join(classes, "set_key")
     own_links = of_one.filter("doc_id != c").select(*_pair("doc_id", "c")).distinct()
 
-    def star(frame: DataFrame, order, possible=lambda: F.lit(True)) -> DataFrame:
-        center = frame.groupBy("key").agg(F.max_by(F.struct(*[c for c in frame.columns if c != "key"]), order).alias("center"))
-        paired = frame.join(center, "key").filter((F.col("c") != F.col("center.c")) & _alike_in_size("n", "center.n") & possible())
-        return paired.select(*_pair("c", "center.c")).distinct()
-
-    tried = stored(star(ranked, F.struct("degree", F.xxhash64("c"), "c")), "dedup-tried")
+    center = ranked.groupBy("key").agg(F.max_by(F.struct("c", "n"), F.struct("degree", F.xxhash64("c"), "c")).alias("center"))
+    paired = ranked.join(center, "key").filter((F.col("c") != F.col("center.c")) & _alike_in_size("n", "center.n"))
+    tried = stored(paired.select(*_pair("c", "center.c")).distinct(), "dedup-tried")
     edges = stored(confirmed(tried, involved, docs, doc_id, text).union(own_links), "dedup-links")
 
     def uncovered(frame: DataFrame, roots: DataFrame) -> DataFrame:
@@ -236,9 +308,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
         return stored(labelled.join(mixed, "key", "left_semi"), "dedup-mixed")
 
-    def grown(edges: DataFrame, tried: DataFrame) -> DataFrame:
-        return stored(edges.union(confirmed(tried, involved, docs, doc_id, text)), "dedup-links")
-
     roots = components(edges)
     rest = uncovered(ranked, roots).select("c", "n").distinct()
     if not rest.isEmpty():
@@ -249,17 +318,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         rest = rest.join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
         rest = rest.filter(100 * F.col("common") >= LEAST_PCT * F.col("n"))
         # texts that share no more than a passage met in a short band: longer bands of the same minima part them
-        longer = involved.join(rest, "c").select("c", "n", "common", F.explode(_long_bands("signature")).alias("key"))
+        longer = involved.join(rest, "c").select("c", "n", F.explode(_long_bands("signature")).alias("key"))
         rest = uncovered(stored(longer, "dedup-longer"), roots)
-        possible = lambda: _shared_enough("n", "center.n", "common", "center.common")
-        edges = grown(edges, star(rest, F.struct(F.xxhash64("c", "key"), "c"), possible).join(tried, ["a", "b"], "left_anti"))
-        roots = components(edges)
-        rest = uncovered(rest.drop("comp"), roots)
-        other = rest.select("key", *[F.col(x).alias(f"{x}_") for x in ("c", "n", "common", "comp")])
-        across = rest.join(other, "key").filter(
-            (F.col("comp") < F.col("comp_")) & _alike_in_size("n", "n_") & _shared_enough("n", "n_", "common", "common_")
-        )
-        edges = grown(edges, across.select(*_pair("c", "c_")).distinct())
+        edges = stored(edges.union(block_links(rest, docs, doc_id, text)), "dedup-links")
         roots = components(edges)
 
     named = rows.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

@@ -215,3 +215,34 @@ def test_pipeline_on_odd_rows(llm, data, odd, none):
             docs = stage(llm, docs, data).persist()
             kept.append(docs.count())
         assert kept[1] <= 1 if kept[0] else kept == [0] * 5
+
+
+def near_copies(n, words, edits, seed, vocabulary=4000):
+    """Copies of one text with so many words replaced, each at places of its own."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(vocabulary)}" for _ in range(words)]
+    for _ in range(n):
+        copy = list(base)
+        for at in draw.sample(range(words), draw.randrange(*edits)):
+            copy[at] = f"e{draw.randrange(vocabulary)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("blocks", [256, 40])
+def test_groups_of_many_near_copies_around_the_threshold(llm, monkeypatch, blocks):
+    """Hundreds of copies that are 0.5 to 0.8 alike to each other: links are rare, and none is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", blocks)
+    texts = dict(enumerate([*near_copies(450, 120, (2, 7), 1), *near_copies(60, 80, (0, 4), 2), *near_copies(40, 200, (5, 9), 3)]))
+    roots, sizes = plain_groups(texts)
+    rows = near_dedup.near_duplicates(llm.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == roots and {r.doc_id: r.n_shingles for r in rows} == sizes
+    assert len(set(roots.values())) > 20
+
+
+def test_overlaps_and_forest():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 9000, draw.integers(0, 6000))) for _ in range(14)]
+    left, right = np.arange(5), np.arange(5, 14)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    assert near_dedup.overlaps(sets, left, right).tolist() == want
+    assert near_dedup._forest(np.array([0, 1, 2, 0, 5]), np.array([1, 2, 0, 2, 6]), 8) == [(0, 1), (1, 2), (5, 6)]
