@@ -353,7 +353,7 @@ def collocations(
     A null or empty text has no words; a null language is ``und``, together with rows that say so. Repeated rows count each
     time. Other columns play no part; no rows give no rows.
     """
-    chunks = stored(encoded(docs, lang, text, longest, tokens, slab), "phrases-chunks")
+    chunks = stored(encoded(docs, lang, text, longest, tokens, slab), "phrases-chunks", 1)
     totals = stored(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     counted = word_counts(chunks).groupBy("lang", "word").agg(F.sum("n").alias("f"))
     with one_chunk_at_a_time(docs.sparkSession):
@@ -364,7 +364,7 @@ def collocations(
     found = None
     for size in range(2, longest + 1):
         with one_chunk_at_a_time(docs.sparkSession):
-            chunks = stored(rewritten(chunks, level, size > 2), f"phrases-chunks-{size}")
+            chunks = stored(rewritten(chunks, level, size > 2), f"phrases-chunks-{size}", 1)
             sums = pair_counts(chunks).groupBy("lang", "code").agg(F.sum("n").alias("f"))
             sums = stored(sums.filter(F.col("f") >= least), "phrases-frequent")
         pairs = ranked(sums, "code", "phrases-ranked")

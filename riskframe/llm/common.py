@@ -35,10 +35,14 @@ def remainder(doc_id: str | Column, divisor: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % divisor
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: lineage ends there, executors may be lost."""
+def stored(df: DataFrame, name: str, rows_per_page: int | None = None) -> DataFrame:
+    """Write a frame once to the shared folder and read it back: lineage ends there, executors may be lost.
+
+    A page of few rows keeps rows of megabytes from being compressed, and read, many at a time.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("parquet.page.row.count.limit", rows_per_page) if rows_per_page else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
