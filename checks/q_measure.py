@@ -8,7 +8,7 @@ from checks import sql as Q, views as V
 from riskframe.functions.numeric import round_away
 from checks.registry import query, rounded
 from riskframe.functions.binning import linspace
-from riskframe.functions.tables import PROTECTED_ATTRIBUTES
+from riskframe.functions.tables import FEATURES, PROTECTED_ATTRIBUTES
 from riskframe.operators import calibration as C, distributions as S, eda as E, fairness as X, ranking as R
 
 
@@ -352,6 +352,17 @@ def correlations(spark, d):
     return rounded(E.correlations(V.gold(spark, d), CORRELATED))
 
 
+ALL_CORRELATED = [*FEATURES, "default"]
+
+
+@query("a30_correlation_matrix", Q.build(["gold"], " UNION ALL ".join(
+    f"""SELECT '{a}' AS a, '{b}' AS b, {r(f'corr("{a}", "{b}")', 5)} AS corr FROM gold"""
+    for i, a in enumerate(ALL_CORRELATED) for b in ALL_CORRELATED[i + 1:])))
+def correlation_matrix(spark, d):
+    """All features and the target."""
+    return rounded(E.correlations(V.gold(spark, d), ALL_CORRELATED), 5)
+
+
 SMALLER = ["annual_inc", "dti", "fico_score", "loan_amnt", "installment", "revol_bal", "int_rate", "open_acc", "total_acc", "revol_util",
            "credit_history_months", "grade_numeric", "sub_grade_numeric", "log_annual_inc", "loan_to_income", "dti_x_income", "home_ownership", "purpose"]
 

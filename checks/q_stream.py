@@ -122,6 +122,44 @@ def scored_stream(spark, d):
     return spark.read.parquet(path).select("request_id", "applicant_id", "error", "score", "scaled_score", "decision")
 
 
+# requests in three files by time; every seventh comes a file late, every fifth twice
+ARRIVED = {
+    "timed": "SELECT event_id, user_id, ts, least(2, floor(3 * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events))) AS third FROM events",
+    "arrived": """SELECT *, CAST(third AS INTEGER) + CAST(event_id % 7 = 0 AS INTEGER) AS file FROM timed
+  UNION ALL SELECT *, CAST(third AS INTEGER) FROM timed WHERE event_id % 5 = 0 AND event_id % 7 <> 0""",
+    "floors": "SELECT file, max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM arrived GROUP BY file",
+    "judged": """SELECT event_id, user_id, file, count(*) AS copies, coalesce(min(ts) < max(latest) - INTERVAL 10 MINUTE, false) AS late
+  FROM arrived JOIN floors USING (file) GROUP BY event_id, user_id, file""",
+    "requests": "SELECT event_id::VARCHAR AS request_id, 'LC_' || user_id::VARCHAR AS applicant_id FROM judged WHERE NOT late",
+}
+
+
+@query("st4_request_log", Q.build(["feature_store"], f"""
+SELECT request_id, error, CAST(0 AS BIGINT) AS repeats, CASE WHEN error IS NULL THEN {Q.decision('pd')} END AS decision FROM graded
+UNION ALL SELECT event_id::VARCHAR, CASE WHEN late THEN 'late' ELSE 'repeated' END, CASE WHEN late THEN copies ELSE copies - 1 END, NULL
+FROM judged WHERE late OR copies > 1""", {**ARRIVED, **M14_PARTS}))
+def logged_requests(spark, d):
+    """Every request of four files, taken one by one: decided, failed, late or repeated."""
+    store = V.feature_store(spark, d)
+    model = T.load_ensemble(T.node_covers(V.gold(spark, d), V.tree_nodes(spark)), V.BASELINE)
+    events = V.table(spark, d, "events").select(F.col("event_id").cast("string").alias("request_id"), "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    bounds = events.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    third = F.least(F.lit(2), F.floor(3 * (F.unix_micros("ts") - bounds["low"]) / (bounds["high"] - bounds["low"] + 1))).cast("int")
+    timed = events.withColumn("file", third + (F.col("event_id") % 7 == 0).cast("int"))
+    arrived = timed.unionByName(timed.where("event_id % 5 = 0 and event_id % 7 <> 0"))
+    folder = scratch_path(spark, "requests")
+    for file in range(4):
+        arrived.where(F.col("file") == file).select("request_id", "user_id", "ts").coalesce(1).write.mode("append").parquet(folder)
+
+    def score(batch):
+        asked = batch.select("request_id", F.concat(F.lit("LC_"), F.col("user_id").cast("string")).alias("applicant_id"))
+        return score_requests(asked, store, model, V.CALIBRATOR, V.now(), V.MODEL_VERSION, 1)
+
+    table = ST.request_log(spark, scratch_path(spark, "request-log"))
+    ST.start_request_log(ST.event_stream(spark, folder, per_trigger=1), score, table, scratch_path(spark, "offsets-requests")).awaitTermination()
+    return table.read().select("request_id", "error", "repeats", "decision")
+
+
 @query("st5_rolling_drift", Q.build(["scored_gold"], f"""
 SELECT {text('w')} AS window_start, CAST(sum(a) AS BIGINT) AS n, {r('sum((sa - es) * ln(sa / es))')} AS psi FROM (
   SELECT *, (e + 1) / (sum(e) OVER (PARTITION BY w) + 10)::DOUBLE AS es, (a + 1) / (sum(a) OVER (PARTITION BY w) + 10)::DOUBLE AS sa FROM (

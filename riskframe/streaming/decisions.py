@@ -6,10 +6,13 @@ TIMESTAMP; wall-clock columns are cast at the source.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.functions.literals import sql_double, sql_doubles
+from riskframe.sources.versions import VersionedTable
 
 
 WINDOW = "5 minutes"
@@ -145,6 +148,69 @@ def start_scoring(requests: DataFrame, score, log_path: str, checkpoint: str, ts
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def request_log(spark: SparkSession, path: str) -> VersionedTable:
+    """Where a scored stream writes: results and errors, one partition per kind and day of the event time."""
+    return VersionedTable(spark, path, "part")
+
+
+def start_request_log(
+    requests: DataFrame, score, table: VersionedTable, checkpoint: str, ts: str = "ts", lateness_minutes: int = 10,
+    available_now: bool = True, writer: str = "stream",
+) -> StreamingQuery:
+    """Score a request stream into a log in which every request shows: decided, failed, late, repeated or without a time.
+
+    A request is late if its event time lies more than the lateness before the latest one of the earlier micro-batches, and
+    repeated if its id was accepted with an event time at most that much before its own, in this micro-batch or an earlier
+    one; older ids are forgotten. Of equal ids in a micro-batch the earliest is accepted. Such rows have ``error`` late,
+    repeated or no_time, and ``repeats`` says how many there were; ``score`` turns the others into envelopes with
+    ``request_id`` and ``error``. Results, errors and the latest event time are committed together under the number of the
+    micro-batch: one that runs again after a crash finds its number and changes nothing. Of the log only the days within the
+    lateness are read.
+    """
+    lateness = lateness_minutes * 60 * 1_000_000
+
+    def write(batch: DataFrame, number: int) -> None:
+        base = table.manifest()
+        if number <= base.batches.get(writer, -1):
+            return
+        floor = int(base.notes[writer]) if writer in base.notes else None
+        at = F.unix_micros(F.col(ts))
+        rows = batch.groupBy(*batch.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__at", at).persist()
+        try:
+            bounds = rows.agg(F.min("__at").alias("low"), F.max("__at").alias("high")).first()
+            late = F.lit(False) if floor is None else F.col("__at") < floor - lateness
+            marked = rows.withColumn("__wrong", F.when(F.col("__at").isNull(), "no_time").when(late, "late"))
+            if floor is not None and bounds["low"] is not None:
+                since = datetime.fromtimestamp((max(bounds["low"], floor - lateness) - lateness) / 1e6, timezone.utc).date().isoformat()
+                days = [p for p in base.parts if p.rsplit(" ", 1)[-1] >= since]
+                known = table.read(days, base.number).where("error is null or error not in ('late', 'repeated', 'no_time')")
+                known = known.groupBy("request_id").agg(F.max(F.unix_micros("event_at")).alias("__known"))
+                marked = marked.join(known, "request_id", "left")
+                again = F.col("__wrong").isNull() & (F.col("__known") >= F.col("__at") - lateness)
+                marked = marked.withColumn("__wrong", F.when(again, "repeated").otherwise(F.col("__wrong"))).drop("__known")
+            order = F.struct("__at", F.xxhash64(*batch.columns))
+            fresh = marked.where("__wrong is null")
+            firsts = fresh.groupBy("request_id").agg(F.min(order).alias("__first"))
+            placed = marked.join(firsts, "request_id", "left").withColumn("__accepted", F.col("__wrong").isNull() & (order == F.col("__first")))
+            accepted = placed.where("__accepted")
+            refused = placed.withColumn("repeats", F.col("__copies") - F.col("__accepted").cast("long")).where("repeats > 0").groupBy(
+                "request_id", F.col(ts).alias("event_at"), F.coalesce("__wrong", F.lit("repeated")).alias("error")
+            ).agg(F.sum("repeats").alias("repeats"))
+            times = accepted.select(F.col("request_id").alias("__id"), F.col(ts).alias("event_at"))
+            done = score(accepted.select(*batch.columns))
+            done = done.join(times, F.col("request_id").eqNullSafe(F.col("__id"))).drop("__id").withColumn("repeats", F.lit(0).cast("long"))
+            out = done.unionByName(refused, allowMissingColumns=True)
+            kind = F.when(F.col("error").isNull(), F.lit("results ")).otherwise(F.lit("errors "))
+            part = F.concat(kind, F.coalesce(F.date_format("event_at", "yyyy-MM-dd"), F.lit("0000-00-00")))
+            latest = max((x for x in (floor, bounds["high"]) if x is not None), default=None)
+            table.append(out.withColumn("part", part), writer, number, None if latest is None else str(latest))
+        finally:
+            rows.unpersist()
+
+    query = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if available_now else query).start()
+
+
 def window_drift(histograms: DataFrame, training: DataFrame) -> DataFrame:
     """PSI of each window's ten-bin score histogram against the training histogram.
 

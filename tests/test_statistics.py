@@ -284,6 +284,33 @@ def test_no_window_runs_over_all_rows(spark, data):
     assert linspace(0.0, 1.0, 3) == [0.0, 0.5, 1.0]
 
 
+def test_correlations_of_pairs_with_missing_infinite_and_constant_values(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 5)) + 1e6
+    x[:, 1] += x[:, 0]
+    x[:, 2] = 0.1
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5, 4] = np.inf
+    table = pd.DataFrame(x, columns=list("abcde"))
+    got = {(r.a, r.b): (r.n, r.corr) for r in E.co_moments(spark.createDataFrame(table).repartition(6), list("abcde"), list("abcde")).collect()}
+    assert len(got) == 25
+    for a in "abcde":
+        for b in "abcde":
+            both = table[[a, b]].dropna() if a != b else table[[a]].dropna()
+            n, corr = got[a, b]
+            assert n == len(both) - (1 if "e" in (a, b) and np.isinf(both).any().any() else 0)
+            if np.isinf(both).any().any():
+                assert corr != corr
+            elif "c" in (a, b):
+                assert corr is None
+            else:
+                assert corr == pytest.approx(1.0 if a == b else both.corr().iloc[0, 1], abs=1e-9)
+    none = E.co_moments(spark.createDataFrame(table).where("false"), ["a"], ["b"]).collect()
+    assert all(r.corr is None and r.n == 0 for r in none)
+
+
 @pytest.mark.parametrize("per_range", [3, 40, 50_000])
 @pytest.mark.parametrize("shape", ["rising", "falling", "waves", "noise"])
 def test_isotonic_rounds_end_in_the_pooled_solution(spark, per_range, shape):

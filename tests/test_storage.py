@@ -245,6 +245,38 @@ def test_scored_stream_is_replay_safe(spark):
     assert sorted(r["request_id"] for r in spark.read.parquet(out).select("request_id").collect()) == ["1", "2"]
 
 
+def test_request_log_keeps_late_and_repeated_requests(spark):
+    path, state = scratch_path(spark, "rl"), scratch_path(spark, "rl")
+    table = ST.request_log(spark, scratch_path(spark, "rl"))
+    requests = None
+
+    def run(lateness=10):
+        def score(b):
+            return b.select("request_id", F.when(F.col("score") < 0, F.lit("negative")).alias("error"), (F.col("score") * 2).alias("s"))
+
+        ST.start_request_log(requests, score, table, state, lateness_minutes=lateness).awaitTermination()
+
+    def rows():
+        return sorted((str(r.request_id), str(r.error), r.repeats, r.s) for r in table.read().collect())
+
+    write_events(spark, path, [("1", minute(0), 0.2, "a"), ("1", minute(0), 0.2, "a"), ("1", minute(1), 0.3, "a"), ("2", minute(30), 0.4, "a"), ("3", minute(5), -1.0, "a"), ("4", None, 0.5, "a")])
+    requests = ST.event_stream(spark, path)
+    run()
+    first = [("1", "None", 0, 0.4), ("1", "repeated", 1, None), ("1", "repeated", 1, None), ("2", "None", 0, 0.8), ("3", "negative", 0, -2.0), ("4", "no_time", 1, None)]
+    assert rows() == sorted(first)
+    assert {p.split(" ")[0] for p in table.manifest().parts} == {"results", "errors"} and len(table.manifest().parts) == 3
+    # late by the first file's latest time; repeated within ten minutes; the same id long after is a new request
+    write_events(spark, path, [("5", minute(19), 0.1, "a"), ("6", minute(21), 0.1, "a"), ("2", minute(31), 0.4, "a"), ("1", minute(40), 0.3, "a"), ("5", minute(19), 0.1, "a")])
+    run()
+    second = [("5", "late", 2, None), ("6", "None", 0, 0.2), ("2", "repeated", 1, None), ("1", "None", 0, 0.6)]
+    assert rows() == sorted(first + second)
+    before = table.manifest()
+    run()  # nothing new
+    layers.remove_directory(spark, layers_commits(spark, state)[-1])
+    run()  # the last batch runs again and finds its number
+    assert rows() == sorted(first + second) and table.manifest().number == before.number
+
+
 def layers_commits(spark, state):
     fs, target = layers._filesystem(spark, f"{state}/commits")
     return sorted((str(s.getPath()) for s in fs.listStatus(target) if s.getPath().getName().isdigit()), key=lambda p: int(p.rsplit("/", 1)[1]))
