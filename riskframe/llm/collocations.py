@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from riskframe.llm.common import stored, width
 
-TOKENS = 1_000_000  # words of a chunk; a task holds four times as many over all languages
+TOKENS = 120_000  # words of a chunk, so that its row is no large object; a task holds HELD words over all languages
+HELD = 1_000_000
 SLAB = 1 << 20  # bytes of a text that are cut into words at once
 BITS = 10  # a tile has 2^BITS by 2^BITS cells
 DENSE = 1 << 14  # pairs from which a tile is counted by its cells
@@ -88,7 +89,7 @@ class _Words:
         names = list(self.numbers)
         body = len(seq) - ahead
         counts = np.bincount(seq[:body], minlength=len(names))[1:]
-        return body, seq.astype(np.int64) - 1, names[1:], counts, [names[i] for i in seq[body:]]
+        return body, seq - 1, names[1:], counts, [names[i] for i in seq[body:]]
 
 
 def encoded(docs: DataFrame, lang: str, text: str, longest: int, tokens: int = TOKENS, slab: int = SLAB) -> DataFrame:
@@ -131,7 +132,7 @@ def encoded(docs: DataFrame, lang: str, text: str, longest: int, tokens: int = T
                     open_[name].add([b"."])
                     if open_[name].size >= tokens:
                         yield from closed(name)
-            while sum(w.size for w in open_.values()) > 4 * tokens:
+            while sum(w.size for w in open_.values()) > max(HELD, 4 * tokens):
                 yield from closed(max(open_, key=lambda x: open_[x].size))
         for name in list(open_):
             yield from closed(name)
@@ -293,15 +294,17 @@ def rewritten(chunks: DataFrame, ranks: DataFrame, pairs: bool) -> DataFrame:
 
 
 @contextmanager
-def one_chunk_at_a_time(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of one row: a chunk is megabytes, and a batch of many would stand in memory twice."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "1")
+def few_chunks_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Few rows at once between Parquet, Spark and Python: the rows of many chunks would stand in memory several times."""
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.parquet.columnarReaderBatchSize": "8"}
+    before = {name: spark.conf.get(name) for name in few}
+    for name, value in few.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def ranked(frequent: DataFrame, symbol: str, name: str) -> DataFrame:
@@ -356,14 +359,14 @@ def collocations(
     chunks = stored(encoded(docs, lang, text, longest, tokens, slab), "phrases-chunks", 1)
     totals = stored(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     counted = word_counts(chunks).groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    with one_chunk_at_a_time(docs.sparkSession):
+    with few_chunks_at_a_time(docs.sparkSession):
         frequent = stored(counted.filter(F.col("f") >= least), "phrases-frequent")
     empty = F.array().cast("array<long>")
     level = ranked(frequent, "word", "phrases-ranked").withColumns({"last": F.col("word"), "phrase": F.col("word"), "starts": empty, "ends": empty})
     level = stored(level.select("lang", "id", "f", "word", "phrase", "last", "starts", "ends"), "phrases-1")
     found = None
     for size in range(2, longest + 1):
-        with one_chunk_at_a_time(docs.sparkSession):
+        with few_chunks_at_a_time(docs.sparkSession):
             chunks = stored(rewritten(chunks, level, size > 2), f"phrases-chunks-{size}", 1)
             sums = pair_counts(chunks).groupBy("lang", "code").agg(F.sum("n").alias("f"))
             sums = stored(sums.filter(F.col("f") >= least), "phrases-frequent")

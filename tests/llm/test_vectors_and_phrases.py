@@ -140,7 +140,7 @@ def corpus(n, seed):
         yield draw.choice(["x", "y", None, "und", ""]), draw.choice([text, text, "a b c d e f " * 3, None, "", "..."])
 
 
-@pytest.mark.parametrize("tokens, slab, ranks", [(1_000_000, 1 << 20, 10), (1_000_000, 1 << 20, 10**6), (50, 16, 10**6)])
+@pytest.mark.parametrize("tokens, slab, ranks", [(120_000, 1 << 20, 10), (120_000, 1 << 20, 10**6), (50, 16, 10**6)])
 def test_phrases_by_brute_force(llm, monkeypatch, tokens, slab, ranks):
     monkeypatch.setattr(phrases, "RANKS", ranks)  # more symbols than that are joined to the chunks
     rows = list(corpus(300, 1))
