@@ -18,6 +18,7 @@ from riskframe.operators.history import logged_outcomes, logged_scores
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.operators.silver import silver_rejected
 from riskframe.plans import scoring as P
+from riskframe.plans.retrain import retrain
 from riskframe.session import scratch_path
 
 USED = ["dti", "fico_score", "loan_to_income"]
@@ -419,6 +420,16 @@ def advice(spark, d):
     return W.promotion_advice(row, gate).select("gate", "advice", "score_psi")
 
 
+@query("m16_retrain_job")
+def retrain_job(spark, d):
+    """A challenger trained with its shipped parameters, calibrated and compared with the champion on the test rows."""
+    rows = labelled(spark, d)
+    train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
+    champion = T.load_ensemble(T.node_covers(V.gold(spark, d), V.tree_nodes(spark)), V.BASELINE)
+    before = X.fairness_report(T.with_probability(test, champion, "score"), "default", "score")
+    return retrain(train, val, test, MODEL_FEATURES, "default", "id", scratch_path(spark, "retrain"), champion, before)["comparison"]
+
+
 @query("m16_reject_inference_advice", Q.build(["scored_gold"], f"""
 SELECT auc_delta, score_psi, violations, CASE WHEN violations <> '' THEN 'DO NOT PROMOTE' WHEN auc_delta > 0 AND score_psi < 0.25 THEN 'PROMOTE'
   WHEN auc_delta > 0 THEN 'CAUTION' ELSE 'KEEP CHAMPION' END AS advice

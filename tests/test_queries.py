@@ -7,7 +7,7 @@ from checks.compare import compare, connect
 
 DECLARED_ROWS_ONLY = {
     "t9_seeded_sample", "m2_boosted_trees", "m3_export_nodes", "m9_permutation_importance",
-    "m15_augmented_training",
+    "m15_augmented_training", "m16_retrain_job",
 }
 
 
