@@ -4,8 +4,8 @@ Every text becomes its set of distinct five-word shingles. Many universal hash m
 minima are bucket keys. Texts with equal sets are one class from the start. In a bucket no pairs are listed: every
 member is paired with the bucket's most connected member only. A pair must pass
 the signature estimate and is confirmed on the full sets. Members of buckets that still hold several components lose those
-whose own shingles, held by no other of them, rule out every link; the rest are put together by longer bands and compared block by
-block on their full sets, where only the links that join components are returned. Components come from alternating large-star and small-star
+whose own shingles, held by no other of them, rule out every link; the rest are compared block by block on their full
+sets, and only the links that join components are returned. Components come from alternating large-star and small-star
 steps. Nothing but counts reaches the driver.
 """
 
@@ -16,14 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from riskframe.llm.common import strings, stored, words_of
 
 WORDS = 5
 LEAST_PCT = 75
 BANDS, ROWS = 48, 5  # a pair at 0.75 is missed by all bands with probability 2.3e-6
-LONG_BANDS, LONG_ROWS = 224, 8  # of the second round, over the same minima: missed with probability 1.5e-6 at 0.75, a chance meeting is 1.9 % at 0.3
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 4_000_000  # of a block, on the average
 COLUMNS = 4096  # members that are compared at once
 SLACK = 0.14  # five deviations of the signature estimate at 0.75
@@ -118,21 +117,6 @@ def _agreement(a: str, b: str):
     return share(a, b)
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _long_bands(signatures: pa.Array) -> pa.Array:
-    """Keys of ``LONG_BANDS`` seeded choices of ``LONG_ROWS`` places of the signature."""
-    places = np.random.default_rng(20260202).integers(0, BANDS * ROWS, (LONG_BANDS, LONG_ROWS))
-    salt = np.arange(LONG_BANDS, dtype=np.uint64) * _PLACES[2]
-    out = []
-    for s in signatures.to_pylist():
-        picked = np.frombuffer(s, np.uint8)[places].astype(np.uint64)
-        key = salt.copy()
-        for k in range(LONG_ROWS):
-            key = _mixed(key + picked[:, k] + _PLACES[0])
-        out.append(key.view(np.int64))
-    return pa.array(out, pa.list_(pa.int64()))
-
-
 def full_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(c, members): the shingle sets of the documents with these ids."""
     wanted = with_ids(docs.select(F.col(doc_id).alias("c"), F.col(text).cast("string").alias("text")), ids, "c")
@@ -309,17 +293,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return stored(labelled.join(mixed, "key", "left_semi"), "dedup-mixed")
 
     roots = components(edges)
-    rest = uncovered(ranked, roots).select("c", "n").distinct()
+    mixed = uncovered(ranked, roots).drop("comp")
+    rest = mixed.select("c", "n").distinct()
     if not rest.isEmpty():
-        # a shingle that no other of these texts holds can only part its text from them: most such texts need no pair
+        # a shingle that no other of these texts holds can only part its text from them: most such texts need no comparison
         held = full_sets(docs, rest.select("c").distinct(), doc_id, text).select("c", F.explode("members").alias("shingle"))
         own = held.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c = d").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
         own = with_ids(own, several.withColumnRenamed("doc_id", "c"), "c", "left_anti")
-        rest = rest.join(own, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-        rest = rest.filter(100 * F.col("common") >= LEAST_PCT * F.col("n"))
-        # texts that share no more than a passage met in a short band: longer bands of the same minima part them
-        longer = involved.join(rest, "c").select("c", "n", F.explode(_long_bands("signature")).alias("key"))
-        rest = uncovered(stored(longer, "dedup-longer"), roots)
+        able = rest.join(own, "c", "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= LEAST_PCT * F.col("n"))
+        rest = uncovered(mixed.join(able.select("c").distinct(), "c", "left_semi"), roots)
         edges = stored(edges.union(block_links(rest, docs, doc_id, text)), "dedup-links")
         roots = components(edges)
 

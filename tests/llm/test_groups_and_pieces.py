@@ -121,15 +121,6 @@ def test_band_recall_at_the_threshold():
         assert same.all(axis=1).any() and abs(same.mean() - 0.749) < near_dedup.SLACK
 
 
-def test_long_bands_miss_no_more_than_the_short_ones():
-    """Summed over the number of the minima that agree, which both rounds share."""
-    n, p = near_dedup.BANDS * near_dedup.ROWS, 0.75
-    k = range(n + 1)
-    chance = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in k]
-    missed = sum(x * (1 - (i / n) ** near_dedup.LONG_ROWS) ** near_dedup.LONG_BANDS for i, x in zip(k, chance))
-    assert missed <= (1 - p**near_dedup.ROWS) ** near_dedup.BANDS
-
-
 @pytest.fixture(scope="module")
 def model():
     return pieces.read_model()
