@@ -155,6 +155,17 @@ def test_seeded_sample(spark, n):
     assert (first != other) == (0 < n < 1000)
 
 
+@pytest.mark.parametrize("n, total", [(1, 3000), (10, 3000), (1700, 3000), (2999, 3000)])
+def test_seeded_sample_is_the_first_rows_by_hash(spark, n, total):
+    """By brute force: all hashes, sorted."""
+    rows = spark.range(total).repartition(5).selectExpr("id", "id % 3 as other")
+    hashed = sorted((r["h"], r["id"]) for r in rows.select("id", F.xxhash64(F.lit(42), F.col("id")).alias("h")).collect())
+    # the order is that of the hash as an unsigned number
+    unsigned = sorted((h % 2**64, i) for h, i in hashed)
+    got = sorted(r["id"] for r in H.seeded_sample(rows, "id", n).collect())
+    assert got == sorted(i for _, i in unsigned[:n])
+
+
 def test_carve_out_is_exact_and_repeatable(spark):
     rows = spark.range(2000).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
     first = M.carve_out(rows, "y", "id", 0.3)
