@@ -18,7 +18,7 @@ from riskframe.operators.history import logged_outcomes, logged_scores
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.operators.silver import silver_rejected
 from riskframe.plans import scoring as P
-from riskframe.plans.retrain import retrain
+from riskframe.plans.retrain import retrain as train_challenger
 from riskframe.session import scratch_path
 
 USED = ["dti", "fico_score", "loan_to_income"]
@@ -427,7 +427,7 @@ def retrain_job(spark, d):
     train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
     champion = T.load_ensemble(T.node_covers(V.gold(spark, d), V.tree_nodes(spark)), V.BASELINE)
     before = X.fairness_report(T.with_probability(test, champion, "score"), "default", "score")
-    return retrain(train, val, test, MODEL_FEATURES, "default", "id", scratch_path(spark, "retrain"), champion, before)["comparison"]
+    return train_challenger(train, val, test, MODEL_FEATURES, "default", "id", scratch_path(spark, "retrain"), champion, before)["comparison"]
 
 
 @query("m16_reject_inference_advice", Q.build(["scored_gold"], f"""
