@@ -23,7 +23,7 @@ from riskframe.llm.common import strings, stored, words_of
 WORDS = 5
 LEAST_PCT = 75
 BANDS, ROWS = 48, 5  # a pair at 0.75 is missed by all bands with probability 2.3e-6
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 4_000_000  # of a block, on the average
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 250_000  # of a block, on the average
 COLUMNS = 4096  # members that are compared at once
 SLACK = 0.14  # five deviations of the signature estimate at 0.75
 BROADCAST_IDS = 1_000_000  # ids of eight bytes; more are joined by shuffle
