@@ -188,3 +188,18 @@ def mllib_auc(carved, names):
     scored = model.transform(rows.where("held_out")).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("s"))
     best = max(best, roc_auc(scored, "y", "s").first()["auc"])
     return best
+
+
+def test_a_window_of_trees_is_grown_on_held_blocks(spark, monkeypatch):
+    x, y, names, rows = table(spark, 3000, 5)
+    plans, plain = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **k: plans.append(1) or plain(self, *a, **k))
+    monkeypatch.setattr(B, "IN_TASK_ROWS", 500)
+    found = []
+    for collected in (32, 0):
+        monkeypatch.setattr(B, "COLLECTED_TASKS", collected)
+        plans.clear()
+        fitted = M.train_boosted(rows, names, "y", parameters=B.BoostingParameters(6, 4, 0.3, 20))
+        assert len(fitted.grown) == 6 and len(plans) <= 4  # both sides' blocks and the held-out counts, not every level of every tree
+        found.append([(r["tree_id"], r["node_id"], r["threshold"], r["value"]) for r in M.export_nodes(spark, fitted).collect()])
+    assert found[0] == found[1]
