@@ -176,6 +176,7 @@ def start_request_log(
         floor = int(base.notes[writer]) if writer in base.notes else None
         at = F.unix_micros(F.col(ts))
         rows = batch.groupBy(*batch.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__at", at).persist()
+        placed = None
         try:
             bounds = rows.agg(F.min("__at").alias("low"), F.max("__at").alias("high")).first()
             late = F.lit(False) if floor is None else F.col("__at") < floor - lateness
@@ -192,6 +193,7 @@ def start_request_log(
             fresh = marked.where("__wrong is null")
             firsts = fresh.groupBy("request_id").agg(F.min(order).alias("__first"))
             placed = marked.join(firsts, "request_id", "left").withColumn("__accepted", F.col("__wrong").isNull() & (order == F.col("__first")))
+            placed = placed.persist()  # the scoring reads the accepted rows several times
             accepted = placed.where("__accepted")
             refused = placed.withColumn("repeats", F.col("__copies") - F.col("__accepted").cast("long")).where("repeats > 0").groupBy(
                 "request_id", F.col(ts).alias("event_at"), F.coalesce("__wrong", F.lit("repeated")).alias("error")
@@ -205,6 +207,8 @@ def start_request_log(
             latest = max((x for x in (floor, bounds["high"]) if x is not None), default=None)
             table.append(out.withColumn("part", part), writer, number, None if latest is None else str(latest))
         finally:
+            if placed is not None:
+                placed.unpersist()
             rows.unpersist()
 
     query = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -35,3 +35,11 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r["split"] for r in rows} == {"train", "val", "test"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_request_log_takes_an_arrival_of_several_files_as_one_micro_batch(spark, data, duck, monkeypatch):
+    from checks import q_stream
+
+    assert [q_stream.arrival_parts(n) for n in (0, 100, 6_000_000)] == [1, 1, 12]
+    monkeypatch.setattr(q_stream, "arrival_parts", lambda n: 2)
+    assert compare(duck, q_stream.logged_requests(spark, data), ORACLES["st4_request_log"]) is None
