@@ -152,10 +152,15 @@ def exact_quantiles(
     Only the ranges that hold a wanted rank are ordered. With ``weight`` the
     frame already has one row per (groups, value). ``group_limit`` is the known
     largest number of groups; it bounds the table of wanted ranges, which may
-    then be broadcast.
+    then be broadcast. Without ``weight`` the rows are then counted per range
+    first, and only those of the wanted ranges per value: what a task holds
+    follows from the ranges, not from the number of distinct values.
     """
     groups = list(groups)
-    if weight is None:
+    by_range = weight is None and (not groups or group_limit is not None)
+    if by_range:
+        counts, bounds_from = df.where(F.col(value).isNotNull()).withColumn("n", F.lit(1).cast("bigint")), df if bounds_from is None else bounds_from
+    elif weight is None:
         counts, bounds_from = value_counts(df, value, groups), df if bounds_from is None else bounds_from
     else:
         counts = df.withColumnRenamed(weight, "n")
@@ -171,6 +176,9 @@ def exact_quantiles(
     ).where("size(__ranks) > 0")
     if not groups or group_limit is not None:
         wanted = F.broadcast(wanted)  # at most ranges x group_limit rows
+    if by_range:
+        ranged = ranged.join(F.broadcast(wanted.select(*groups, RANGE)), [*groups, RANGE], "left_semi")
+        ranged = ranged.groupBy(*groups, RANGE, value).agg(F.sum("n").alias("n"))
     ordered = _running(ranged, wanted, value, ["n"], groups, ["__ranks"])
     # at most two rows per probability and group pass this filter
     held = ordered.where("exists(__ranks, r -> r >= n_before and r < n_before + n)")

@@ -12,7 +12,7 @@ from riskframe.functions.tables import (
     CORE_COLUMNS, DEFAULT_STATUSES, MEDIAN_COLUMNS, ORIGINATION_COLUMNS, PAID_STATUSES,
     REJECTED_RENAMES,
 )
-from riskframe.operators.order import exact_quantiles
+from riskframe.operators.order import exact_quantiles, value_counts
 
 NEVER_DELINQUENT = 999.0
 LENGTH_UNKNOWN = -1
@@ -79,8 +79,10 @@ def column_medians(df: DataFrame, columns=MEDIAN_COLUMNS) -> DataFrame:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "feature", "value"
     )
+    # loan columns repeat their values: counted per value, the long rows are read once less
+    counts = value_counts(long, "value", ["feature"])
     return exact_quantiles(
-        long.where("value is not null"), "value", [0.5], ["feature"], group_limit=len(columns)
+        counts, "value", [0.5], ["feature"], weight="n", group_limit=len(columns), bounds_from=long
     ).select("feature", F.get("quantiles", F.lit(0)).alias("median"))
 
 

@@ -348,3 +348,17 @@ def test_a_table_of_breakpoints_maps_as_the_lists_do(spark):
     both = C.calibrated_by_table(frame, "p", points).withColumn("want", calibrated(F.col("p"), xs, ys)).collect()
     assert len(both) == 350 and [r.calibrated_pd for r in both] == pytest.approx([r.want for r in both], abs=1e-12)
     assert {r.calibrated_pd for r in C.calibrated_by_table(frame, "p", points.where("false")).collect()} == {None}
+
+
+def test_quantiles_count_values_of_the_wanted_ranges_only(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.random()) for g in "ab" for _ in range(2000)] + [("a", 0.5)] * 700 + [("b", None)]
+    df = frame(spark, rows, "g string, v double")
+    quantiles = order.exact_quantiles(df, "v", [0.0, 0.5, 1.0], ["g"], group_limit=2, n_ranges=40)
+    got = {r["g"]: (r["quantiles"], r["n"]) for r in quantiles.collect()}
+    for g in "ab":
+        xs = [v for h, v in rows if h == g and v is not None]
+        np.testing.assert_allclose(got[g][0], np.quantile(xs, [0.0, 0.5, 1.0]), rtol=0, atol=1e-12)
+        assert got[g][1] == len(xs)
+    plan = quantiles._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and order.RANGE in plan.split("LeftSemi")[0]
