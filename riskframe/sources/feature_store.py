@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.functions.binning import linspace
 from riskframe.functions.parsing import applicant_id, clean
 from riskframe.functions.numeric import round_away
 from riskframe.operators.distributions import histogram
+from riskframe.operators.order import small_table
 from riskframe.sources.versions import Manifest, VersionedTable
 
 KEY = ["applicant_id", "feature_version"]
@@ -42,20 +46,33 @@ def snapshots(gold: DataFrame, features: list[str], version: int, computed_at: C
     )
 
 
-def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """The store after a batch: a batch row replaces the stored row of its key.
+def latest_rows(batch: DataFrame) -> DataFrame:
+    """One row per key: the latest ``computed_at``, then the larger hash of the row.
 
-    Only the batch is reduced to one row per key (latest ``computed_at``, then
-    the larger hash of the row); the store is filtered by an anti join and not
-    regrouped.
+    Keys that occur once, as a rule nearly all, are not grouped: only the keys are counted, and the rows of repeated ones
+    meet. These keys are broadcast when there are few, by a count.
     """
+    repeated = small_table(batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"__{k}") for k in KEY]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY])
     payload = F.struct(*[c for c in batch.columns if c not in KEY])
     latest = (
-        batch.groupBy(*KEY)
+        batch.join(repeated, same, "left_semi")
+        .groupBy(*KEY)
         .agg(F.max_by(payload, F.struct("computed_at", F.xxhash64(F.to_json(payload)))).alias("r"))
         .select(*KEY, "r.*")
     )
-    return store.join(latest.select(*KEY), KEY, "left_anti").unionByName(latest.select(*store.columns))
+    return batch.join(repeated, same, "left_anti").unionByName(latest.select(*batch.columns))
+
+
+def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """The store after a batch: a batch row replaces the stored row of its key.
+
+    Only the batch is reduced to one row per key (latest ``computed_at``, then
+    the larger hash of the row); the store is filtered by an anti join and not
+    regrouped.
+    """
+    kept = store.join(batch.select(*KEY), KEY, "left_anti")
+    return kept.unionByName(latest_rows(batch).select(*store.columns))
 
 
 def feature_table(spark: SparkSession, path: str) -> VersionedTable:
@@ -66,7 +83,7 @@ def feature_table(spark: SparkSession, path: str) -> VersionedTable:
 def write_upsert(table: VersionedTable, batch: DataFrame) -> Manifest:
     """Upsert a batch: only the feature versions in it are read and written anew, all others stay where they are.
 
-    The batch is read twice, for its versions and for its rows. Readers see the store before or after it. An empty
+    The batch is read for its versions, its repeated keys and its rows. Readers see the store before or after it. An empty
     batch makes no version.
     """
     base = table.manifest()
