@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.contract import DEFAULT, Contract
 from riskframe.functions.parsing import loan_id
@@ -67,34 +67,49 @@ def backfill_report(log: DataFrame, outcomes: DataFrame, now: Column, delay_days
     )
 
 
+SNAPSHOT = ["feature_version", "computed_at", "features", "data_completeness", "fico_score", "grade"]
+STORE_ROWS_PER_TASK, REQUESTS_PER_TASK = 100_000, 500_000  # a snapshot takes about 1.5 KB of a task's memory
+FEW_APPLICANTS = 100_000  # so many are broadcast to the store
+
+
+def lookup_parts(width: int, requests: int, stored: int) -> int:
+    """How many tasks share a lookup: the shuffle width, more if a task would hold too many snapshots or requests."""
+    return max(width, stored // STORE_ROWS_PER_TASK, requests // REQUESTS_PER_TASK)
+
+
 def lookup_features(requests: DataFrame, store: DataFrame, version: int) -> DataFrame:
     """Requests with their stored snapshot and a status: found, not_found, version_missing.
 
-    Version 0 asks for the latest stored version. Which version a request gets
-    comes from a narrow aggregate of (applicant, version) over the requested
-    applicants; the snapshots are filtered, by an exact version in the scan,
-    and joined without being grouped or sorted by their content. The store has
-    one row per applicant and version.
+    Version 0 asks for the latest stored version; an exact one is filtered in
+    the scan. The store has one row per applicant and version. Requests and their
+    applicants are counted: of few applicants only their rows of the store go
+    on, for many the store is counted too, and both sides are cut by applicant
+    into as many parts as their rows need. A snapshot moves and is sorted once,
+    and columns that the caller does not read do not move.
     """
-    payload = F.struct(
-        "feature_version", "computed_at", "features", "data_completeness", "fico_score", "grade"
-    )
-    asked = requests.select("applicant_id").distinct()
-    versions = store.select("applicant_id", "feature_version").join(asked, "applicant_id", "left_semi")
-    known = versions.groupBy("applicant_id").agg(F.max("feature_version").alias("latest"))
-    snapshots = store.join(asked, "applicant_id", "left_semi")
+    width = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = requests.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("applicant_id").alias("applicants")).first()
+    few = asked["applicants"] <= FEW_APPLICANTS
+    if few:
+        store = store.join(F.broadcast(requests.select("applicant_id").distinct()), "applicant_id", "left_semi")
+    parts = lookup_parts(width, asked["n"], 0 if few else store.count())
+    # cut like the requests, or the join would bring both to the shuffle width
+    known = store.select("applicant_id").repartition(parts, "applicant_id").groupBy("applicant_id").agg(F.lit(True).alias("__known"))
+    snapshots = store
     if version:
-        snapshots = snapshots.where(F.col("feature_version") == version)
-    held = snapshots.select("applicant_id", F.col("feature_version").alias("held"), payload.alias("snapshot"))
-    wanted = known.select("applicant_id", F.lit(True).alias("known"), (F.col("latest") if not version else F.lit(version).cast("int")).alias("held"))
-    stored = wanted.join(held, ["applicant_id", "held"], "left").drop("held")
-    return requests.join(stored, "applicant_id", "left").select(
+        snapshots = store.where(F.col("feature_version") == version)
+    else:
+        latest = F.max("feature_version").over(Window.partitionBy("applicant_id"))
+        snapshots = store.repartition(parts, "applicant_id").withColumn("__latest", latest).where("feature_version = __latest")
+    held = snapshots.select("applicant_id", F.lit(True).alias("__held"), *[F.col(c).alias(f"__snapshot_{c}") for c in SNAPSHOT])
+    joined = requests.repartition(parts, "applicant_id").join(known, "applicant_id", "left").join(held, "applicant_id", "left")
+    return joined.select(
         *requests.columns,
-        F.when(F.col("known").isNull(), "not_found")
-        .when(F.col("snapshot").isNull(), "version_missing")
+        F.when(F.col("__known").isNull(), "not_found")
+        .when(F.col("__held").isNull(), "version_missing")
         .otherwise("found")
         .alias("status"),
-        F.col("snapshot.*"),
+        *[F.col(f"__snapshot_{c}").alias(c) for c in SNAPSHOT],
     )
 
 

@@ -290,3 +290,60 @@ def test_window_drift_matches_psi(spark):
     got = ST.window_drift(histograms, training).first()
     e, a = [11 / 23, 11 / 23, 1 / 23], [6 / 13, 1 / 13, 6 / 13]
     assert got["n"] == 10 and got["psi"] == pytest.approx(sum((y - x) * math.log(y / x) for x, y in zip(e, a)))
+
+
+def test_lookup_of_many_applicants_is_cut_by_its_rows(spark, monkeypatch):
+    assert J.lookup_parts(12, 990_000, 562_000) == 12 and J.lookup_parts(12, 59_000_000, 36_000_000) == 360 and J.lookup_parts(12, 59_000_000, 0) == 118
+    store = store_rows(spark, [(f"a{i}", v, NOW, float(10 * i + v)) for i in range(60) for v in (1, 2) if i % 3 or v == 2])
+    ask = spark.createDataFrame([(str(i), f"a{i % 80}") for i in range(200)] + [("x", None)], "request_id string, applicant_id string")
+
+    def want(version):
+        held = {(r["applicant_id"], r["feature_version"]): r["features"]["x"] for r in store.collect()}
+        for r in ask.collect():
+            of = sorted(v for a, v in held if a == r["applicant_id"])
+            v = version or (of[-1] if of else None)
+            yield r["request_id"], "not_found" if not of else "found" if v in of else "version_missing", held.get((r["applicant_id"], v))
+
+    few = {v: J.lookup_features(ask, store, v) for v in (0, 1)}
+    monkeypatch.setattr(J, "FEW_APPLICANTS", 5)
+    monkeypatch.setattr(J, "STORE_ROWS_PER_TASK", 10)
+    many = {v: J.lookup_features(ask, store, v) for v in (0, 1)}
+    for found in (few, many):
+        for v, rows in found.items():
+            assert sorted((r["request_id"], r["status"], r["features"] and r["features"]["x"]) for r in rows.collect()) == sorted(want(v))
+    plan = many[1].select("request_id", "status", "grade")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 10), ") == plan.count("hashpartitioning(applicant_id#") == 3
+    assert many[1].columns == ["request_id", "applicant_id", "status", *J.SNAPSHOT]
+
+
+def test_lookup_moves_only_the_columns_that_are_read(spark):
+    store = store_rows(spark, [("a", 1, NOW, 1.0)]).repartition(2)
+    ask = spark.createDataFrame([("a",)], "applicant_id string")
+    plan = J.lookup_features(ask, store, 1).select("status", "grade")._jdf.queryExecution().optimizedPlan().toString()
+    assert "features" not in plan.split("LogicalRDD")[0]
+
+
+def test_scored_stream_scores_no_empty_batch_and_reads_a_batch_once(spark):
+    path, out, state = (scratch_path(spark, "se") for _ in range(3))
+    write_events(spark, path, [("1", minute(0), 0.2, "a"), ("1", minute(0), 0.2, "a"), ("2", minute(30), 0.4, "a")])
+    calls = []
+
+    def score(batch):
+        calls.append((batch.is_cached, batch.count()))
+        return batch.select("request_id")
+
+    ST.start_scoring(ST.event_stream(spark, path), score, out, state).awaitTermination()
+    assert calls == [(True, 2)] and spark.read.parquet(out).count() == 2
+
+
+def test_only_repeated_keys_of_a_batch_are_grouped(spark):
+    rows = [("a", 1, NOW, 1.0), ("a", 1, NOW - timedelta(days=1), 2.0), ("b", 1, NOW, 3.0), ("b", 2, NOW, 4.0), ("c", 1, NOW, 5.0), ("c", 1, NOW, 6.0),
+            (None, 1, NOW, 7.0), (None, 1, NOW - timedelta(days=2), 8.0)]
+    batch = store_rows(spark, rows)
+    payload = F.struct(*[c for c in batch.columns if c not in S.KEY])
+    grouped = batch.groupBy(*S.KEY).agg(F.max_by(payload, F.struct("computed_at", F.xxhash64(F.to_json(payload)))).alias("r")).select(*S.KEY, "r.*")
+    read = lambda df: sorted(((r["applicant_id"] or "", r["feature_version"], r["features"]["x"]) for r in df.collect()))
+    got = S.latest_rows(batch)
+    assert read(got) == read(grouped) and got.columns == batch.columns
+    once = S.latest_rows(batch.where("applicant_id = 'b'"))
+    assert len(once.collect()) == 2 and "Join LeftAnti" in once._jdf.queryExecution().analyzed().toString()
