@@ -136,13 +136,20 @@ def start_scoring(requests: DataFrame, score, log_path: str, checkpoint: str, ts
 
     ``score`` turns a batch of requests into decision envelopes. A replayed
     batch finds its number under ``log_path`` and overwrites exactly that part.
+    The rows of a batch are kept while the scoring reads them several times; a
+    batch without rows, as one that only moves the watermark, is not scored.
     """
     unique = requests.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["request_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{log_path}/batch={number}"
-        )
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                score(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+                    f"{log_path}/batch={number}"
+                )
+        finally:
+            rows.unpersist()
 
     writer = unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
