@@ -124,3 +124,9 @@ def test_contract_refuses_nonsense():
     for bad in ({"approve_below": 0.4}, {"psi_warning": 0.3}, {"dir_threshold": 1.2}, {"dir_worsen_tolerance": 0.9}, {"min_drift_scores": 0}):
         with pytest.raises(ValueError):
             Contract(**bad)
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    from riskframe.session import configure
+
+    assert configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
