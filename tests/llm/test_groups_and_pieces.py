@@ -1,5 +1,6 @@
 """Near-duplicate groups, pieces and the pipeline: brute force, the model's own encoder, odd rows, empty tables."""
 
+import cProfile
 import collections
 import math
 import random
@@ -162,6 +163,30 @@ def test_remembered_segments_are_bounded(model, monkeypatch):
     assert encoder.batch(["six"])[0].tolist() and encoder.batch(["one two three four five"])[0].tolist() == first
 
 
+def test_encoding_takes_few_calls_a_segment(model):
+    draw, v = random.Random(10), pieces.Vocabulary(model)
+    text = " ".join("".join(draw.choices("etaoinshrdlu…", k=8)) for _ in range(16_000))
+
+    def calls(encoder):
+        profile = cProfile.Profile()
+        assert profile.runcall(encoder.batch, [text])[0].size
+        return sum(e.callcount for e in profile.getstats())
+
+    pieces.Encoder(v).batch([text])  # judges the pairs
+    encoder = pieces.Encoder(v)
+    assert calls(encoder) < 10 * 16_000  # new words
+    assert calls(encoder) < 500  # words seen before
+
+
+def test_judged_pairs_are_bounded(model, texts, monkeypatch):
+    batch = list(texts.values())[:40]
+    ids, ends = pieces.Encoder(pieces.Vocabulary(model)).batch(batch)
+    monkeypatch.setattr(pieces, "JUDGED", 7)
+    v = pieces.Vocabulary(model)
+    again = pieces.Encoder(v).batch(batch)
+    assert ids.tolist() == again[0].tolist() and ends.tolist() == again[1].tolist() and len(v.follows) == 7
+
+
 def test_pieces_of_odd_rows(odd, none, model):
     out = pieces.encode_documents(odd, model=model)
     rows = out.collect()
