@@ -203,3 +203,53 @@ def test_a_window_of_trees_is_grown_on_held_blocks(spark, monkeypatch):
         assert len(fitted.grown) == 6 and len(plans) <= 4  # both sides' blocks and the held-out counts, not every level of every tree
         found.append([(r["tree_id"], r["node_id"], r["threshold"], r["value"]) for r in M.export_nodes(spark, fitted).collect()])
     assert found[0] == found[1]
+
+
+def test_features_of_few_bins_are_counted_together():
+    """The sums of every bin are those of each feature alone, in far fewer passes over the rows."""
+    rng = np.random.default_rng(3)
+    sizes = [256, 5, 4, 4, 100, 2, 3, 256, 7]
+    bins = B.Bins([f"f{k}" for k in range(len(sizes))], [np.arange(n - 2.0) for n in sizes])
+    joint = B.Joint.of(bins)
+    assert sorted(f for g in joint.groups for f in g) == list(range(len(sizes))) and len(joint.groups) == 4
+    assert max(joint.cells(g) for g in joint.groups) <= B.JOINT_CELLS
+    x = np.stack([np.where(rng.random(500) < 0.1, bins.missing, rng.integers(0, n - 1, 500)) for n in sizes]).astype(np.uint8)
+    g, h = rng.normal(size=500), rng.random(500)
+    rows = [(0, np.arange(0, 300, 2)), (1, np.array([], int)), (2, np.arange(301, 500))]
+    total, order = joint.empty(3), np.concatenate([r for _, r in rows])
+    joint.add(total, x, g[order], h[order], rows)
+    made = joint.histograms(total, 3)
+    for slot, at in rows:
+        for f in range(len(sizes)):
+            for k, weight in enumerate((g[at], h[at], None)):
+                assert made[slot, f, :, k] == pytest.approx(np.bincount(x[f, at], weight, bins.missing + 1), abs=1e-12)
+
+
+def test_open_leaves_are_sent_to_tasks_only_when_few_rows_are_left(spark, monkeypatch):
+    """All rows of a large table do not move for every tree."""
+    _, _, names, frame = table(spark, 3000, 9)
+    sent, plain = [], B._finished
+    monkeypatch.setattr(B, "_finished", lambda *a: sent.append(sum(a[3].sums[at][2] for at in a[4])) or plain(*a))
+    monkeypatch.setattr(B, "IN_TASK_ROWS", 1400)
+    M.train_boosted(frame, names, "y", parameters=M.BoostingParameters(3, 5, 0.3, 20))
+    assert all(n <= 1400 for n in sent)
+    assert [B.block_tasks(n, 8) for n in (1400, 1401, 8 * 64 * 32_768, 8 * 64 * 32_768 + 1)] == [1, 8, 8, 16]
+
+
+def test_bins_are_quantiles_however_the_rows_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    values = np.concatenate([rng.normal(size=6000), np.full(3000, 0.5), [np.nan] * 500, [math.inf] * 20])
+    frame = spark.createDataFrame(pd.DataFrame({"x": values, "few": np.arange(len(values)) % 3.0})).withColumn("none", F.lit(None).cast("double"))
+    ranked = np.sort(values[~np.isnan(values)])
+    want = np.unique([ranked[math.ceil(len(ranked) * i / 20) - 1] for i in range(1, 20)])
+    monkeypatch.setattr(B, "SKETCH_ROWS", 10**6)
+    monkeypatch.setattr(B, "SKETCH_POINTS", 10**4)
+    exact = B.fit_bins(frame.repartition(7), ["x", "few", "none"], 20)
+    assert exact.thresholds[0].tolist() == want.tolist() and exact.thresholds[1].tolist() == [0.0, 1.0, 2.0] and len(exact.thresholds[2]) == 0
+    monkeypatch.setattr(B, "SKETCH_ROWS", 500)
+    monkeypatch.setattr(B, "SKETCH_POINTS", 64)
+    thinned = B.fit_bins(frame.repartition(7), ["x"], 20).thresholds[0]
+    for t in thinned:  # within the promised ranks of a wanted quantile
+        low, high = np.searchsorted(ranked, t, "left"), np.searchsorted(ranked, t, "right")
+        assert any(low - len(ranked) * 3 / 1280 <= len(ranked) * i / 20 <= high + len(ranked) * 3 / 1280 for i in range(1, 20))
+    assert len(thinned) == len(want)
