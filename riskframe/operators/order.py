@@ -27,14 +27,11 @@ def range_count(df: DataFrame, rows: int) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE)
 
 
-def range_index(df: DataFrame, value: str, n_ranges: int | None = None) -> Column:
-    """Index of the value range of a numeric column, monotone in the value.
+def range_bounds(df: DataFrame, value: str, n_ranges: int | None = None) -> list[float]:
+    """The lowest value of each range of a numeric column but the first.
 
-    The bounds are read once and become constants, so every later evaluation
-    cuts the values alike. Input partitions are sketched in groups, each group
-    by a task of its own; what is read is a fixed number of points per group.
-    Few bounds are compared one by one in generated code, many are searched by
-    halving.
+    Input partitions are sketched in groups, each group by a task of its own;
+    what is read is a fixed number of points per group.
     """
     points = [i / SKETCH_POINTS for i in range(1, SKETCH_POINTS)]
     v = F.col(value).cast("double")
@@ -48,7 +45,17 @@ def range_index(df: DataFrame, value: str, n_ranges: int | None = None) -> Colum
         passed += n
         if passed >= step * (len(bounds) + 1) and len(bounds) < count - 1:
             bounds += [x] * (int(min(count - 1, passed // step)) - len(bounds))
-    bounds = sorted(set(bounds))
+    return sorted(set(bounds))
+
+
+def range_index(df: DataFrame, value: str, n_ranges: int | None = None) -> Column:
+    """Index of the value range of a numeric column, monotone in the value.
+
+    The bounds are read once and become constants, so every later evaluation
+    cuts the values alike. Few bounds are compared one by one in generated code,
+    many are searched by halving.
+    """
+    bounds = range_bounds(df, value, n_ranges)
     if not bounds:
         return F.lit(0)
     v = f"double(`{value}`)"

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.parsing import clean
+from riskframe.operators.bitscore import Scorer
 from riskframe.operators.boosting import Boosted, BoostingParameters, boost
 from riskframe.operators.history import row_positions
 from riskframe.operators.joins import augmented_rows
-from riskframe.operators.order import exact_quantiles, running_sums
-from riskframe.operators.ranking import ranking_metrics
+from riskframe.operators.order import exact_quantiles, range_bounds
 from riskframe.operators.silver import median_values
-from riskframe.operators.trees import Ensemble, load_ensemble, with_donors, with_probability, with_raw_score
+from riskframe.operators.trees import Ensemble, load_ensemble, with_probability, with_raw_score
 
 # The two parameter sets, champion first.
 CHAMPION = BoostingParameters(trees=1000, depth=6, learning_rate=0.05, min_rows=20, leaves=63, ridge=1.0)
 CHALLENGER = BoostingParameters(trees=1200, depth=7, learning_rate=0.03, min_rows=30, leaves=63, ridge=2.0)
 
+COUNTED_ROWS = 65_536  # scored rows whose distinct values are counted together
+
 
 def carve_out(df: DataFrame, label: str, key: str, fraction: float | Column, seed: int = 42) -> DataFrame:
     """Add ``held_out``: per label, the rows with the lowest key hashes, as many as
@@ -77,6 +82,65 @@ def verify_export(rows: DataFrame, model: Boosted, nodes: DataFrame, tolerance:
     )
 
 
+def _variant_counts(paired: DataFrame, ensemble: Ensemble, used: list[str], repeat: int, bounds: list[float]) -> DataFrame:
+    """Distinct log-odds of the rows as they are (variant 0) and with each used feature from the donor, with their counts of
+    both labels, packed per range of the log-odds. Every pair is scored once."""
+    spark, place = paired.sparkSession, [1 + ensemble.features.index(f) for f in used]
+    shipped, n, cuts = spark.sparkContext.broadcast(Scorer(ensemble.trees, ensemble.features, ensemble.baseline)), len(used), np.array(bounds)
+
+    def counted(raw: np.ndarray, label: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(raw)
+        value, bad = raw[order], np.cumsum(label[order])
+        last = np.flatnonzero(np.append(value[1:] != value[:-1], True))
+        value, bad, rows = value[last], np.diff(bad[last], prepend=0), np.diff(last, prepend=-1)
+        edges = [0, *np.searchsorted(value, cuts, "left"), len(value)]
+        for at, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if hi > lo:
+                yield at, value[lo:hi].tobytes(), bad[lo:hi].astype(np.int32).tobytes(), (rows - bad)[lo:hi].astype(np.int32).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, model = [], 0, shipped.value
+
+        def packed() -> pa.RecordBatch:
+            raws, labels = (np.concatenate(p) for p in zip(*held))
+            found = [(k, *part) for k in range(n + 1) for part in counted(raws[:, k], labels)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([repeat] * len(found), pa.int32()), *columns], ["repeat", "variant", "part", "v", "pos", "neg"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            x = np.column_stack(columns[1:n + 1])
+            donor = np.column_stack(columns[n + 1:])
+            held.append((model.raw_with_donors(x, donor)[:, [0, *place]], columns[0].astype(np.int64)))
+            size += batch.num_rows
+            if size >= COUNTED_ROWS:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    return paired.mapInArrow(run, "repeat int, variant int, part int, v binary, pos binary, neg binary")
+
+
+def _variant_wins(counts: DataFrame) -> DataFrame:
+    """Rows of both labels per (repeat, variant, part), and the pairs inside it that are in order; ties count half."""
+
+    def ranked(table: pa.Table) -> pa.Table:
+        v = np.concatenate([np.frombuffer(a.as_buffer()) for a in table.column("v")])
+        pos, neg = (np.concatenate([np.frombuffer(a.as_buffer(), np.int32) for a in table.column(c)]).astype(np.int64) for c in ("pos", "neg"))
+        order = np.argsort(v)
+        v, pos, neg = v[order], pos[order], neg[order]
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        pos, neg = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+        won = float(np.sum(pos * (np.cumsum(neg) - neg + neg / 2)))
+        key = [pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("repeat", "variant", "part")]
+        return pa.Table.from_arrays([*key, pa.array([int(pos.sum())]), pa.array([int(neg.sum())]), pa.array([won])], ["repeat", "variant", "part", "pos", "neg", "won"])
+
+    return counts.groupBy("repeat", "variant", "part").applyInArrow(ranked, "repeat int, variant int, part int, pos long, neg long, won double")
+
+
 def permutation_importance(
     df: DataFrame, ensemble: Ensemble, features: list[str], label: str, key: str,
     repeats: int = 5, seed: int = 42,
@@ -85,34 +149,40 @@ def permutation_importance(
 
     Each repeat puts the rows into a random circle and gives every row the next
     row as its donor: one join per repeat serves all features. The variants of
-    a row are scored in place and ranked together, grouped by feature.
+    a row are scored in place, once; their log-odds are counted per distinct value in the tasks that
+    score them, and ranked per repeat, variant and range of values.
     """
-    used = [f for f in features if f in set(ensemble.features)]
-    rows = df.select(key, F.col(label).cast("int").alias("label"), *[clean(F.col(f)).alias(f) for f in used])
-    scored = None
-    for repeat in range(repeats):
+    used = [f for f in ensemble.features if f in set(features)]
+    inputs = ensemble.features
+    rows = df.select(key, F.col(label).cast("int").alias("label"), *[clean(F.col(f)).alias(f) for f in inputs])
+    bounds = range_bounds(with_raw_score(rows, ensemble, "raw").select("raw"), "raw") if used else []
+    wins = None
+    for repeat in range(repeats if used else 0):
         placed = row_positions(rows, key, seed + repeat)
         donors = placed.select(
             F.pmod(F.col("position") + 1, F.col("size")).alias("position"),
-            *[F.col(f).alias(f"donor_{f}") for f in used],
+            *[F.col(f).alias(f"donor_{f}") for f in inputs],
         )
-        paired = placed.join(donors, "position")
-        one = paired.select("label", with_donors(ensemble, used).alias("raws")).select(
-            F.lit(repeat).alias("repeat"), "label", F.posexplode("raws").alias("at", "raw")
-        ).select("repeat", "label", F.get(F.array(*[F.lit(f) for f in ["", *used]]), F.col("at")).alias("feature"), "raw")
-        scored = one if scored is None else scored.unionByName(one)
-    auc = ranking_metrics(
-        scored, "label", "raw", ["repeat", "feature"], group_limit=repeats * (len(used) + 1),
-        bounds_from=with_raw_score(rows, ensemble, "raw").select("raw"),
-    ).select("repeat", "feature", "auc")
-    base = auc.where("feature = ''").select("repeat", F.col("auc").alias("base"))
+        paired = placed.join(donors, "position").where("label is not null").select("label", *inputs, *[f"donor_{f}" for f in inputs])
+        one = _variant_counts(paired, ensemble, used, repeat, bounds)
+        wins = one if wins is None else wins.unionByName(one)
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    if wins is None:
+        return names.withColumn("importance", F.lit(0.0))
+    # from here on one row per repeat, variant and part
+    variant = Window.partitionBy("repeat", "variant")
+    below = variant.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    auc = (
+        _variant_wins(wins).withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0)))
+        .groupBy("repeat", "variant")
+        .agg(F.try_divide(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+        .withColumn("base", F.max(F.when(F.col("variant") == 0, F.col("auc"))).over(Window.partitionBy("repeat")))
+    )
     found = (
-        auc.where("feature <> ''")
-        .join(F.broadcast(base), "repeat")  # one row per repeat
-        .groupBy("feature")
+        auc.where("variant > 0")
+        .groupBy(F.element_at(F.array(*[F.lit(f) for f in used]), F.col("variant")).alias("feature"))
         .agg(F.avg(F.col("base") - F.col("auc")).alias("importance"))
     )
-    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(F.broadcast(found), "feature", "left").select(
         "feature", F.coalesce("importance", F.lit(0.0)).alias("importance")
     )

@@ -270,3 +270,29 @@ def test_scoring_job_sorts_out_failures(spark):
     assert sorted(written_errors(table).collect()) == sorted(errors(done).collect())
     assert table.manifest().number == 1 and write_scored(table, results(done).withColumn("error", F.lit(None).cast("string")), batch=4)
     assert written_results(table).count() == 4 and written_errors(table).count() == 6
+
+
+def test_importance_scores_every_permuted_row_once_and_ranks_ties_exactly(spark, signal, monkeypatch):
+    from riskframe.operators.bitscore import Scorer
+    from riskframe.operators.history import row_positions
+
+    node = lambda f, t, left, right: T.Node(f, t, True, left, right, None, 1.0)
+    leaf = lambda v: T.Node(None, None, None, None, None, v, 1.0)
+    model = T.Ensemble([{0: node("b", 0.0, 1, 2), 1: leaf(-0.5), 2: leaf(0.25)}, {0: node("a", 0.2, 1, 2), 1: node("b", -0.3, 3, 4), 2: leaf(0.5), 3: leaf(-1.0), 4: leaf(0.0)}], 0.0)
+    monkeypatch.setattr(M, "COUNTED_ROWS", 50)
+    made = M.permutation_importance(signal, model, ["a", "unused", "b"], "y", "id", repeats=2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan and "Generate" not in plan
+    scorer, order, want = Scorer(model.trees, model.features, 0.0), model.features, {f: 0.0 for f in ("a", "unused", "b")}
+
+    def auc(score, y):
+        gap = score[y == 1][:, None] - score[y == 0][None, :]
+        return ((gap > 0) + (gap == 0) / 2).mean()
+
+    for seed in (42, 43):
+        rows = row_positions(signal.select("id", "y", "a", "b"), "id", seed).orderBy("position").toPandas()
+        x, y = rows[order].to_numpy(float, na_value=float("nan")), rows["y"].to_numpy()
+        raws = scorer.raw_with_donors(x, x[[len(x) - 1, *range(len(x) - 1)]])
+        for k, f in enumerate(order):
+            want[f] += (auc(raws[:, 0], y) - auc(raws[:, 1 + k], y)) / 2
+    assert {r["feature"]: r["importance"] for r in made.collect()} == pytest.approx(want, abs=1e-12)
