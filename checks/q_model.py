@@ -20,6 +20,7 @@ from riskframe.operators.silver import silver_rejected
 from riskframe.plans import scoring as P
 from riskframe.plans.retrain import retrain as train_challenger
 from riskframe.session import scratch_path
+from riskframe.sources.layers import write_once
 
 USED = ["dti", "fico_score", "loan_to_income"]
 
@@ -259,8 +260,10 @@ def trained(spark, d) -> M.Boosted:
 @query("m2_boosted_trees")
 def boosted_trees(spark, d):
     """Ranking power per split of a freshly trained model, and its number of trees."""
-    fitted = trained(spark, d)
-    scored = T.with_probability(labelled(spark, d), fitted.ensemble(spark), "score")
+    fitted, path = trained(spark, d), scratch_path(spark, "boosted-scores")
+    # ranking reads the scores several times
+    write_once(T.with_probability(labelled(spark, d), fitted.ensemble(spark), "score").select("split", "default", "score"), path)
+    scored = spark.read.parquet(path)
     return ranking_metrics(scored, "default", "score", ["split"], group_limit=3).withColumn("trees", F.lit(fitted.trees))
 
 

@@ -105,6 +105,20 @@ class Tree:
                     side = np.flatnonzero(left if keep else ~left)
                     open_.append((child, side if rows is None else rows.take(side)))
 
+    def walked(self, x: np.ndarray, missing: int) -> np.ndarray:
+        """The leaf of every column, all of them one level at a time: for few columns, where the nodes are many."""
+        nodes, columns = np.arange(len(self.feature)), np.arange(x.shape[1])
+        ends, flat = self.feature < 0, np.ascontiguousarray(x).ravel()
+        start = np.where(ends, 0, self.feature) * x.shape[1]
+        following = np.stack([np.where(ends, nodes, self.right), np.where(ends, nodes, self.left)], axis=1).ravel()
+        at = np.zeros(x.shape[1], np.int64)
+        while not ends.take(at).all():
+            code = flat.take(start.take(at) + columns)
+            left = code <= self.bin.take(at)
+            left |= (code == missing) & self.missing_left.take(at)
+            at = following.take(2 * at + left)
+        return at
+
     def moved(self, x: np.ndarray, missing: int, score: np.ndarray) -> np.ndarray:
         """The scores with the value of each column's leaf added."""
         out = score.copy()
@@ -177,7 +191,7 @@ class Boosted:
         """Log-odds from bin numbers, one column per row: the form that the training used."""
         out = np.zeros(codes.shape[1])
         for tree in self.grown[:self.trees]:
-            out = tree.moved(codes, self.bins.missing, out)
+            out += tree.value[tree.walked(codes, self.bins.missing)]
         return out
 
 

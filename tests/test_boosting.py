@@ -253,3 +253,29 @@ def test_bins_are_quantiles_however_the_rows_are_dealt(spark, monkeypatch):
         low, high = np.searchsorted(ranked, t, "left"), np.searchsorted(ranked, t, "right")
         assert any(low - len(ranked) * 3 / 1280 <= len(ranked) * i / 20 <= high + len(ranked) * 3 / 1280 for i in range(1, 20))
     assert len(thinned) == len(want)
+
+
+def test_walking_by_levels_ends_in_the_same_leaves():
+    """All columns move a level at a time, with as many steps as levels, not one for each node."""
+    rng = np.random.default_rng(11)
+    x, g = rng.integers(0, 21, (4, 3000)).astype(np.uint8), rng.normal(size=3000)
+    bins = B.Bins([f"f{k}" for k in range(4)], [np.arange(19.0)] * 4)
+    tree = B.grown_in_task(x, g, np.ones(3000), B.Joint.of(bins), M.BoostingParameters(1, 5, 0.1, 5, 20), 5).tree(M.BoostingParameters(1, 5, 0.1, 5, 20))
+    at = tree.walked(x, bins.missing)
+    assert len(tree.feature) > 20 and (tree.feature[at] < 0).all() and tree.missing_left.any()
+    for leaf, rows in tree.reached(x, bins.missing):
+        assert (at[rows] == leaf).all() and len(rows) == tree.cover[leaf] == (at == leaf).sum()
+
+
+def test_the_model_query_ranks_stored_scores(spark, monkeypatch):
+    from checks import q_model as QM
+
+    data = "/root/testdata/sf0.001"
+    rows = QM.labelled(spark, data).withColumn("held_out", F.lit(False))
+    fitted = M.train_boosted(rows, QM.MODEL_FEATURES, "default", parameters=M.BoostingParameters(2, 3, 0.3, 10, leaves=5))
+    monkeypatch.setattr(QM, "trained", lambda spark, d: fitted)
+    made = QM.boosted_trees(spark, data)
+    scans = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Location:" in line]
+    assert scans and all("boosted-scores" in line for line in scans)
+    again = roc_auc(T.with_probability(rows, fitted.ensemble(), "score"), "default", "score", ["split"]).collect()
+    assert {r["split"]: r["auc"] for r in made.collect()} == pytest.approx({r["split"]: r["auc"] for r in again})
